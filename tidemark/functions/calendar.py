@@ -68,17 +68,22 @@ def day_table(spark: SparkSession, start: str, end: str) -> DataFrame:
     Columns: day, prev_strict, prev_incl, next_incl, next_strict (dates), ord_incl (ordinal of the last
     session on or before the day).
     """
+    return spark.createDataFrame(_day_arrow(start, end))
+
+
+@lru_cache(maxsize=16)
+def _day_arrow(start: str, end: str) -> pa.Table:
     s = _session_list(start, end)
     first, last = date.fromisoformat(start), date.fromisoformat(end)
     days = [first + timedelta(days=i) for i in range((last - first).days + 1)]
     at = lambda i: s[i] if 0 <= i < len(s) else None
     left, right = [bisect_left(s, d) for d in days], [bisect_right(s, d) for d in days]
     dates = lambda idx: pa.array([at(i) for i in idx], pa.date32())
-    return spark.createDataFrame(pa.table({
+    return pa.table({
         "day": pa.array(days, pa.date32()),
         "prev_strict": dates(i - 1 for i in left), "prev_incl": dates(i - 1 for i in right),
         "next_incl": dates(left), "next_strict": dates(right),
-        "ord_incl": pa.array([i - 1 if i else None for i in right], pa.int32())}))
+        "ord_incl": pa.array([i - 1 if i else None for i in right], pa.int32())})
 
 
 def align(df: DataFrame, day_col: str, days: DataFrame, out: dict[str, str]) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +11,9 @@ from .quantiles import exact_quantiles
 def medians(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """Exact medians of several columns per key."""
     n = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    parts = [exact_quantiles(df, keys, c, {c: 0.5}) for c in cols]
-    return reduce(lambda a, b: a.join(b, keys, "left"), parts, n)
+    long = df.unpivot(keys, cols, "_name", "_x")
+    q = exact_quantiles(long, [*keys, "_name"], "_x", {"_m": 0.5})
+    return n.join(q.groupBy(*keys).pivot("_name", cols).agg(F.first("_m")), keys, "left")
 
 
 def example_entity(summary: DataFrame) -> DataFrame:
@@ -27,7 +26,7 @@ def wide_board(long: DataFrame, horizons: list[str]) -> DataFrame:
     """Mean per horizon as text, starred when the normal interval excludes zero."""
     g = long.groupBy("strategy", "horizon").agg(F.avg("pnl").alias("m"), F.stddev_samp("pnl").alias("sd"), F.count("pnl").alias("n"))
     star = F.when(F.abs("m") > 1.96 * F.col("sd") / F.sqrt("n"), "*").otherwise("")
-    cell = F.concat(F.format_string("%.6f", F.round("m", 6)), star)
+    cell = F.concat(F.format_string("%.6f", "m"), star)
     w = g.withColumn("cell", cell).groupBy("strategy").pivot("horizon", horizons).agg(F.first("cell"))
     return w.toDF("strategy", *[f"h_{h}" for h in horizons])
 
@@ -61,10 +60,10 @@ def decay(results: DataFrame) -> DataFrame:
 
 def headline(results: DataFrame) -> DataFrame:
     """A39."""
-    r = results.withColumn("_abs", F.abs("realized")).withColumn("_all", F.lit(1))
-    share = r.groupBy("_all").agg(F.avg((F.col("_abs") > F.col("implied_move")).cast("int")).alias("share_realized_above"))
-    return (share.join(exact_quantiles(r, ["_all"], "implied_move", {"median_implied": 0.5}), "_all")
-            .join(exact_quantiles(r, ["_all"], "_abs", {"median_realized": 0.5}), "_all").drop("_all"))
+    r = results.select(F.lit(1).alias("_all"), "implied_move", F.abs("realized").alias("realized"))
+    share = r.groupBy("_all").agg(F.avg((F.col("realized") > F.col("implied_move")).cast("int")).alias("share_realized_above"))
+    m = medians(r, ["_all"], ["implied_move", "realized"]).toDF("_all", "n", "median_implied", "median_realized")
+    return share.join(m, "_all").drop("_all", "n")
 
 
 def net_summary(long: DataFrame, plans: DataFrame) -> DataFrame:

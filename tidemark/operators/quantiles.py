@@ -2,7 +2,8 @@
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one aggregation buffer. Here an
 approximate sketch (mergeable, bounded) brackets the wanted order statistics, rows below the bracket are
-only counted, and the exact value is read from the value counts inside the bracket.
+only counted, and the exact value is read from the value counts inside the bracket. `df` is read twice, so
+callers pass a scan or a staged table.
 """
 
 from __future__ import annotations
@@ -24,24 +25,22 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
         edges += [max(p - _SLACK, 0.0), min(p + _SLACK, 1.0)]
     sketch = v.groupBy(*keys).agg(F.count("_v").alias("_n"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"),
                                   F.percentile_approx("_v", F.array(*map(F.lit, edges)), _ACCURACY).alias("_e"))
-    brackets = F.explode(F.array(*[
+    brackets = F.inline(F.array(*[
         F.struct(F.lit(name).alias("_q"), F.lit(p).alias("_p"),
                  (F.col("_mn") if p <= _SLACK else F.col("_e")[2 * i]).alias("_lo"),
                  (F.col("_mx") if p >= 1 - _SLACK else F.col("_e")[2 * i + 1]).alias("_hi"))
-        for i, (name, p) in enumerate(probs.items())])).alias("_b")
-    wanted = sketch.select(*keys, "_n", brackets).select(*keys, "_n", "_b.*")
-    joined = v.join(wanted, list(keys)) if keys else v.crossJoin(F.broadcast(wanted))
-    below = joined.groupBy(*keys, "_q").agg(F.count_if(F.col("_v") < F.col("_lo")).alias("_below"))
-    inside = (joined.where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-              .groupBy(*keys, "_q", "_v", "_p", "_n").agg(F.count("*").alias("_c")))
-    inside = inside.join(below, [*keys, "_q"])
-    w = W.partitionBy(*keys, "_q").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+        for i, (name, p) in enumerate(probs.items())]))
+    wanted = sketch.select(*keys, "_n", brackets)
+    group = [*keys, "_q"]
+    # Values under the bracket collapse into one NULL entry per map task; NULL sorts first in the window.
+    counts = (v.join(wanted, list(keys)).where("_v <= _hi")
+              .groupBy(*group, "_p", "_n", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v"))
+              .agg(F.count("*").alias("_c")))
+    w = W.partitionBy(*group).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
     pos = F.col("_p") * (F.col("_n") - 1)
-    ranked = (inside.withColumn("_last", F.col("_below") + F.sum("_c").over(w) - 1)
-              .withColumn("_first", F.col("_last") - F.col("_c") + 1)
-              .withColumn("_f", F.floor(pos)).withColumn("_cl", F.ceil(pos)).withColumn("_w", pos - F.floor(pos)))
-    pick = lambda c: F.max(F.when(F.col(c).between(F.col("_first"), F.col("_last")), F.col("_v")))
-    got = ranked.groupBy(*keys, "_q").agg(pick("_f").alias("_a"), pick("_cl").alias("_z"),
-                                          F.max("_w").alias("_wt"))
-    out = got.withColumn("_x", F.col("_a") + F.col("_wt") * (F.col("_z") - F.col("_a")))
+    ranked = counts.withColumn("_last", F.sum("_c").over(w) - 1).withColumn("_first", F.col("_last") - F.col("_c") + 1)
+    pick = lambda at: F.max(F.when(at.between(F.col("_first"), F.col("_last")), F.col("_v")))
+    got = ranked.groupBy(*group).agg(pick(F.floor(pos)).alias("_a"), pick(F.ceil(pos)).alias("_z"),
+                                     F.max(pos - F.floor(pos)).alias("_w"))
+    out = got.withColumn("_x", F.col("_a") + F.col("_w") * (F.col("_z") - F.col("_a")))
     return out.groupBy(*keys).agg(*[F.max(F.when(F.col("_q") == name, F.col("_x"))).alias(name) for name in probs])

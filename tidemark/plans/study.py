@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import calendar as cal
 from ..operators import boards, chains, events as ev, study as st
+from ..staging import stage
 from .calendar_events import CAL_CTE, days
 from .registry import query, table
 
@@ -39,8 +40,8 @@ def bars(spark, sf_dir):
     keys = ["ticker", "contract_type", "strike", "expiration_date", "session", "ord"]
     b = trades(spark, sf_dir).groupBy(*keys).agg(
         (F.sum("cents") / F.sum("l_quantity") / 10000).alias("close"), F.sum("l_quantity").alias("volume"))
-    return b.withColumn("contract_ticker", F.concat_ws("|", "ticker", "contract_type", F.col("strike").cast("int").cast("string"),
-                                                       F.col("expiration_date").cast("string")))
+    return stage(b.withColumn("contract_ticker", F.concat_ws("|", "ticker", "contract_type", F.col("strike").cast("int").cast("string"),
+                                                             F.col("expiration_date").cast("string"))), "bars")
 
 
 def contracts(b):
@@ -54,18 +55,18 @@ def study_events(spark, sf_dir, tag):
     o = o.join(regions(spark, sf_dir, "c_custkey", "c_nationkey", "customer"), F.col("o_custkey") == F.col("c_custkey"))
     rows = o.select(F.col("ticker").alias("cik"), "filing_date", "ticker", F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("accession_number"),
                     F.lit(None).cast("string").alias("filing_url"), F.lit(None).cast("string").alias("supporting_text"))
-    return ev.collapse(rows, rows.select("ticker"), days(spark)).withColumnRenamed("filing_date", "event_date")
+    return stage(ev.collapse(rows, rows.select("ticker"), days(spark)).withColumnRenamed("filing_date", "event_date"), "events")
 
 
 def priced(spark, sf_dir, tag=TAG):
     b = bars(spark, sf_dir)
     p, dropped = st.price(study_events(spark, sf_dir, tag), contracts(b), b)
-    return p, dropped, b
+    return stage(p, "priced"), dropped, b
 
 
 def results(spark, sf_dir, tag=TAG):
     p, _, b = priced(spark, sf_dir, tag)
-    return st.evaluate(p, b, AS_OF)
+    return stage(st.evaluate(p, b, AS_OF), "results")
 
 
 def sliced(df, entry=C.ENTRY, bucket=C.BASELINE_BUCKET, otm=C.OTM):
@@ -213,7 +214,7 @@ def nearest_expiry(spark, sf_dir):
 def strike_pick(spark, sf_dir):
     """J11."""
     e, b = study_events(spark, sf_dir, TAG), bars(spark, sf_dir)
-    rows = chains.ladders(chains.chain(e, contracts(b)))
+    rows = stage(chains.ladders(chains.chain(e, contracts(b))), "asks")
     picks = chains.by_bucket(rows.join(chains.locate_spot(rows, b), chains.ASK)).withColumn("legs", chains.selected_legs())
     return picks.select("ticker", "t_pre", "bucket", F.inline("legs")).drop("contract_type")
 
@@ -287,7 +288,7 @@ def priced_summary(spark, sf_dir):
 def bucket_medians(spark, sf_dir):
     """A6."""
     p, _, b = priced(spark, sf_dir)
-    return rounded(boards.medians(st.summarize(p, b), ["bucket"], ["moneyness", "implied_move", "atm_volume"]),
+    return rounded(boards.medians(stage(st.summarize(p, b), "summary"), ["bucket"], ["moneyness", "implied_move", "atm_volume"]),
                    ["moneyness", "implied_move", "atm_volume"])
 
 
@@ -295,7 +296,7 @@ def bucket_medians(spark, sf_dir):
 def example_entity(spark, sf_dir):
     """T3."""
     p, _, b = priced(spark, sf_dir)
-    return boards.example_entity(st.summarize(p, b))
+    return boards.example_entity(stage(st.summarize(p, b), "summary"))
 
 
 RESULT_COLS = ["s_entry", "s_exit", "realized", "implied_move", "implied_scaled", "ratio", *C.STRATEGIES]
@@ -316,7 +317,7 @@ def scoreboard(spark, sf_dir):
 
 
 @query("board_wide", f"""{RESULTS}, b AS (SELECT strategy, horizon, avg(pnl) AS m, stddev_samp(pnl) AS sd, count(pnl) AS n FROM long WHERE {BASE} AND horizon IN ('1', '5', '21', 'exp') GROUP BY ALL)
-SELECT strategy, {", ".join(f"max(round(m, 6)::VARCHAR || CASE WHEN abs(m) > 1.96::DOUBLE * sd / sqrt(n) THEN '*' ELSE '' END) FILTER (horizon = '{h}') AS h_{h}" for h in ("1", "5", "21", "exp"))}
+SELECT strategy, {", ".join(f"max(format('{{:.6f}}', m) || CASE WHEN abs(m) > 1.96::DOUBLE * sd / sqrt(n) THEN '*' ELSE '' END) FILTER (horizon = '{h}') AS h_{h}" for h in ("1", "5", "21", "exp"))}
 FROM b GROUP BY 1""")
 def board_wide(spark, sf_dir):
     """Wide board with a significance star."""
@@ -444,7 +445,7 @@ def net_cost_summary(spark, sf_dir):
     """Results joined to their trade plans, net of round-trip costs."""
     p, _, b = priced(spark, sf_dir)
     r = st.long_strategies(sliced(st.evaluate(p, b, AS_OF)).where("horizon = '21'"), ["ticker", "event_date", "bucket", "s_entry"])
-    return rounded(boards.net_summary(r, st.capacity(p, b, "post")), ["mean_gross", "mean_net", "median_net", "share_net_positive"])
+    return rounded(boards.net_summary(r, stage(st.capacity(p, b, "post"), "plans")), ["mean_gross", "mean_net", "median_net", "share_net_positive"])
 
 
 @query("in_out_sample", f"""{RESULTS}, s AS (SELECT strategy, horizon, avg(pnl) FILTER (event_date < DATE '1999-01-01') AS in_mean, avg(pnl) FILTER (event_date >= DATE '1999-01-01') AS out_mean
