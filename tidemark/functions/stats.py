@@ -17,14 +17,14 @@ def norm_cdf(x: Column) -> Column:
     """0.5 + phi(x)·(x + x³/3 + x⁵/15 + …); all terms share a sign, so the series loses no digits. |x| is held at 8."""
     z = F.greatest(F.least(x, F.lit(8.0)), F.lit(-8.0))
     sq = z * z
-    series = reduce(lambda acc, n: F.lit(1.0) + acc * sq / (2 * n + 1), range(_TERMS, 0, -1), F.lit(1.0))
+    series = F.aggregate(F.sequence(F.lit(_TERMS), F.lit(1)), F.lit(1.0), lambda acc, n: F.lit(1.0) + acc * sq / (2 * n + 1))
     return F.lit(0.5) + z * series * F.exp(-sq / 2) * F.lit(0.3989422804014327)
 
 
 def norm_cdf_sql(x: str) -> str:
     """The same series in plain SQL, summed in place of nested text."""
     z = f"greatest(least({x}, 8.0::DOUBLE), -8.0::DOUBLE)"
-    return (f"(0.5 + {z} * list_reduce(list_prepend(1.0::DOUBLE, reverse(range(1, {_TERMS + 1}))::DOUBLE[]), "
+    return (f"(0.5 + {z} * list_reduce(list_prepend(1.0::DOUBLE, range({_TERMS}, 0, -1)::DOUBLE[]), "
             f"lambda acc, n: 1.0 + acc * {z} * {z} / (2 * n + 1)) * exp(-{z} * {z} / 2) * 0.3989422804014327)")
 
 

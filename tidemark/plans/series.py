@@ -275,7 +275,7 @@ mo AS (SELECT series, n, m / sqrt((m2 - m * m) * n / (n - 1)) AS sr, (m3 - 3 * m
 def _psr_sql():
     from ..functions.stats import norm_cdf_sql
     # Normal quantiles of 1 - 1/47 and 1 - 1/(47 e)
-    z1, z2 = 2.0252403445216404, 2.417582283698226
+    z1, z2 = 2.028069144933906, 2.4168737829547298
     return f"""{BT}, {MOM}, st AS (SELECT *, sqrt(1.0::DOUBLE / n) * ((1 - 0.5772156649015329::DOUBLE) * {z1}::DOUBLE + 0.5772156649015329::DOUBLE * {z2}::DOUBLE) AS sr_star FROM mo),
 z AS (SELECT *, sr * sqrt(n - 1) / sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr) AS z0, (sr - sr_star) * sqrt(n - 1) / sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr) AS z1 FROM st)
 SELECT series, n, round(sr, 8) AS sr, round(skew, 5) AS skew, round(kurt, 5) AS kurt, round(sr_star, 8) AS sr_star, round({norm_cdf_sql('z0')}, 7) AS psr, round({norm_cdf_sql('z1')}, 7) AS dsr FROM z"""
