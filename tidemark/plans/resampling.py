@@ -92,7 +92,7 @@ def centred_p(spark, sf_dir):
 ob AS (SELECT sum(p * r) / n / sqrt((sum(p * r * p * r) - sum(p * r) * sum(p * r) / n) / (n - 1)) * sqrt(252) AS o FROM o, n GROUP BY n),
 dr AS (SELECT 1 + floor({hashed("'0'", "'shift'", "id")} * (n - 1))::INT AS shift, count(*) AS w FROM range(5000) t(id), n GROUP BY 1),
 mv AS MATERIALIZED (SELECT shift, w, p, (ord + shift) % n AS target FROM dr, n, o),
-g AS (SELECT shift, w, sum(p * b.r) AS s, sum(p * b.r * p * b.r) AS q FROM mv JOIN o b ON b.ord = target GROUP BY 1, 2),
+g AS (SELECT shift, w, sum(mv.p * b.r) AS s, sum(mv.p * b.r * mv.p * b.r) AS q FROM mv JOIN o b ON b.ord = target GROUP BY 1, 2),
 h AS (SELECT w, CASE WHEN (q - s * s / n) / (n - 1) > 1e-30 THEN s / n / sqrt((q - s * s / n) / (n - 1)) * sqrt(252) END AS sh FROM g, n)
 SELECT '1-URGENT' AS series, round(any_value(o), 6) AS observed, round(sum(CASE WHEN sh >= o THEN w ELSE 0 END) / sum(w), 6) AS p_value FROM h, ob WHERE sh IS NOT NULL""")
 def perm_test(spark, sf_dir):
