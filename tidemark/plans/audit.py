@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import gates, scalars as fn
 from ..operators import audit as au
+from ..operators.asof import running_total
 from ..staging import stage
 from .registry import query, table
 
@@ -74,17 +75,17 @@ l1 AS (SELECT *, sha256(to_json({'o_custkey': o_custkey, 'o_orderkey': o_orderke
 SELECT o_custkey, seq, CASE WHEN previous_hash IS DISTINCT FROM prev THEN 'previous_hash' ELSE 'record_hash' END AS broken FROM l3 WHERE previous_hash IS DISTINCT FROM prev OR record_hash <> digest""")
 def hash_chain(spark, sf_dir):
     """Per-customer order chains with altered rows and lost links."""
-    from pyspark.sql import Window as W
     o = table(spark, sf_dir, "orders")
-    # A ledger is numbered when it is written; here the number is derived from the order of keys.
-    l = o.withColumn("seq", F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")).cast("bigint"))
+    # A ledger is numbered when it is written; here the number follows the order keys, bucket by bucket.
+    l = running_total(o.withColumn("one", F.lit(1).cast("bigint")), ["o_custkey"], ["o_orderkey"], "one", "seq", F.floor(F.col("o_orderkey") / 100_000))
     h = fn.canonical_digest({"o_custkey": F.col("o_custkey"), "o_orderkey": F.col("o_orderkey"), "o_orderstatus": F.col("o_orderstatus")})
     l = l.withColumn("record_hash", h)
-    l = l.withColumn("previous_hash", F.lag("record_hash").over(W.partitionBy("o_custkey").orderBy("seq")))
+    l = stage(l.select("o_custkey", "seq", "o_orderkey", "o_orderstatus", "o_orderpriority", "record_hash"), "ledger")
+    l = l.join(l.select("o_custkey", (F.col("seq") + 1).alias("seq"), F.col("record_hash").alias("previous_hash")), ["o_custkey", "seq"], "left")
     l = l.withColumn("previous_hash", F.when(F.col("seq") % 40 == 0, "lost").otherwise(F.col("previous_hash")))
     now = F.when((F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderstatus") == "P"), "tampered").otherwise(F.col("o_orderstatus"))
     digest = fn.canonical_digest({"o_custkey": F.col("o_custkey"), "o_orderkey": F.col("o_orderkey"), "o_orderstatus": now})
-    return au.chain_breaks(stage(l, "ledger"), ["o_custkey"], "seq", digest)
+    return au.chain_breaks(l, ["o_custkey"], "seq", digest)
 
 
 def trials(spark, sf_dir):
