@@ -35,10 +35,10 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     # Values under the bracket collapse into one NULL entry per map task; NULL sorts first in the window.
     counts = (v.join(wanted, list(keys)).where("_v <= _hi")
               .groupBy(*group, "_p", "_n", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v"))
-              .agg(F.count("*").alias("_c")))
+              .agg(F.count("*").alias("_cnt")))
     w = W.partitionBy(*group).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
     pos = F.col("_p") * (F.col("_n") - 1)
-    ranked = counts.withColumn("_last", F.sum("_c").over(w) - 1).withColumn("_first", F.col("_last") - F.col("_c") + 1)
+    ranked = counts.withColumn("_last", F.sum("_cnt").over(w) - 1).withColumn("_first", F.col("_last") - F.col("_cnt") + 1)
     pick = lambda at: F.max(F.when(at.between(F.col("_first"), F.col("_last")), F.col("_v")))
     got = ranked.groupBy(*group).agg(pick(F.floor(pos)).alias("_a"), pick(F.ceil(pos)).alias("_z"),
                                      F.max(pos - F.floor(pos)).alias("_w"))

@@ -85,12 +85,12 @@ def next_session(spark, sf_dir):
     return ac.next_session(e, sessions(spark, sf_dir), "at", 300, 60, 300).select("event_id", "session_id", "reason")
 
 
-@query("quote_consumption", """WITH a AS (SELECT l_partkey AS quote, l_returnflag AS side, l_orderkey, l_linenumber, l_quantity, sum(l_quantity) OVER (PARTITION BY l_partkey, l_returnflag ORDER BY l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING) AS used FROM lineitem)
+@query("quote_consumption", """WITH a AS (SELECT l_partkey AS quote, l_returnflag AS side, l_orderkey, l_linenumber, l_quantity, sum(l_quantity) OVER (PARTITION BY l_partkey, l_returnflag ORDER BY l_orderkey, l_linenumber, l_shipdate, l_suppkey, l_quantity, l_extendedprice ROWS UNBOUNDED PRECEDING) AS used FROM lineitem)
 SELECT quote, side, l_orderkey, l_linenumber, used, CASE WHEN used > 150 THEN 'quote_size_exhausted' END AS reason FROM a""")
 def quote_consumption(spark, sf_dir):
     """Line items as orders against a part's size, first come first served."""
-    o = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("quote"), F.col("l_returnflag").alias("side"), "l_orderkey", "l_linenumber", "l_quantity", F.lit(150.0).alias("size"))
-    c = ac.consume(o, "quote", "side", ["l_orderkey", "l_linenumber"], "l_quantity", "size", F.floor(F.col("l_orderkey") / 10_000))
+    o = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("quote"), F.col("l_returnflag").alias("side"), "l_orderkey", "l_linenumber", "l_shipdate", "l_suppkey", "l_extendedprice", "l_quantity", F.lit(150.0).alias("size"))
+    c = ac.consume(o, "quote", "side", ["l_orderkey", "l_linenumber", "l_shipdate", "l_suppkey", "l_quantity", "l_extendedprice"], "l_quantity", "size", F.floor(F.col("l_orderkey") / 10_000))
     return c.select("quote", "side", "l_orderkey", "l_linenumber", "used", "reason")
 
 
