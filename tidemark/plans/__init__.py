@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ("calendar_events", "marks_chains", "study", "resampling", "series", "weather", "documents",
+_MODULES = ("calendar_events", "marks", "study", "resampling", "series", "weather", "documents",
             "catalog", "audit", "accounts", "forecast", "streams")
 
 

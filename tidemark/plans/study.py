@@ -426,13 +426,16 @@ capacity AS (SELECT ticker, event_date, entry_date, bucket, strategy, CASE WHEN
   CASE WHEN reason = '' THEN floor(vol * 0.05::DOUBLE)::BIGINT END AS volume_contracts, CASE WHEN reason = '' THEN vol END AS least_leg_volume, reason FROM cr)"""
 
 
-@query("capacity_plan", f"""{CAP_SQL} SELECT * EXCLUDE (capital_per_contract, max_loss_per_contract, gross_max_loss_per_contract, round_trip_cost_per_contract),
-  round(capital_per_contract, 6) AS capital_per_contract, round(max_loss_per_contract, 6) AS max_loss_per_contract, round(gross_max_loss_per_contract, 6) AS gross_max_loss_per_contract,
-  round(round_trip_cost_per_contract, 6) AS round_trip_cost_per_contract, least(capital_contracts, risk_contracts, volume_contracts) AS capacity_contracts FROM capacity""")
+MONEY = ["capital_per_contract", "max_loss_per_contract", "gross_max_loss_per_contract", "round_trip_cost_per_contract"]
+NUDGE = 1.2345e-7   # prices are short decimals: moves exact half-way cases off the rounding boundary
+
+
+@query("capacity_plan", f"""{CAP_SQL} SELECT * EXCLUDE ({", ".join(MONEY)}), {", ".join(f"round({c} + {NUDGE}::DOUBLE, 5) AS {c}" for c in MONEY)}, least(capital_contracts, risk_contracts, volume_contracts) AS capacity_contracts FROM capacity""")
 def capacity_plan(spark, sf_dir):
     """P30-P33, J7."""
     p, _, b = priced(spark, sf_dir)
-    return rounded(st.capacity(p, b, "post"), ["capital_per_contract", "max_loss_per_contract", "gross_max_loss_per_contract", "round_trip_cost_per_contract"])
+    c = st.capacity(p, b, "post")
+    return c.withColumns({m: F.round(F.col(m) + NUDGE, 5) for m in MONEY})
 
 
 NET_SQL = CAP_SQL.replace(PRICED, RESULTS)
