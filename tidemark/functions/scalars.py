@@ -11,6 +11,7 @@ LEGAL_WORDS = ("inc", "incorporated", "corp", "corporation", "co", "company", "l
 LEGAL_PATTERN = r"\b(" + "|".join(LEGAL_WORDS) + r")\b\.?"
 # Every character the reference treats as white space, as one regex class.
 WHITESPACE = r"\t-\r\x1c- \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+WHITESPACE_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 ITEM_PATTERN = r"(?i)\bItem[" + WHITESPACE + r"]+(\d{1,2}\.\d{2})\b"
 WORD_PATTERN = r"[A-Za-z]+(?:'[A-Za-z]+)?"
 AWARE_STAMP = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})$"
