@@ -11,10 +11,10 @@ from ..constants import SESSIONS_PER_YEAR
 from ..functions import gates
 from ..functions.scalars import finite
 from ..staging import stage
-from .asof import epoch_bucket, micro_bucket, next_after, prefix_max, running_total
+from .asof import epoch_bucket, prefix_max, running_total
 
 
-def entry_quote(orders: DataFrame, quotes: DataFrame, key: str, at: str, max_age: float, bucket_seconds: int = 86400) -> DataFrame:
+def entry_quote(orders: DataFrame, quotes: DataFrame, key: str, at: str, max_age: float, bucket_seconds: int = 3600) -> DataFrame:
     """Latest usable quote known at the clock, not older than `max_age` seconds.
 
     A quote counts from the moment it is both stamped and available; among those the greatest (event, available,
@@ -43,7 +43,7 @@ def fill_price(orders: DataFrame, quotes: DataFrame, key: str, oid: str, at: str
     buy = F.col(side) == "buy"
     ok = lambda p: F.when(buy, F.col(f"{p}ask_size")).otherwise(F.col(f"{p}bid_size")) >= F.col(quantity)
     price = lambda p: F.when(buy, F.col(f"{p}ask")).otherwise(F.col(f"{p}bid"))
-    first = stage(prefix_max(orders, q, [key], at, "_seen", best, "_q", epoch_bucket(86400)), "latest")
+    first = stage(prefix_max(orders, q, [key], at, "_seen", best, "_q", epoch_bucket(3600)), "latest")
     known = F.col("_q").isNotNull() & (age(F.col("_q.quote_at")) <= max_age)
     served = first.where(known & ok("_q.")).select(*orders.columns, price("_q.").alias("price"), F.col("_q.quote_id").alias("quote_id"))
     small = first.where(known & ~ok("_q.")).select(*orders.columns)
@@ -59,12 +59,24 @@ def fill_price(orders: DataFrame, quotes: DataFrame, key: str, oid: str, at: str
 
 
 def next_session(public: DataFrame, sessions: DataFrame, at: str, latency: int, entry_delay: int, exit_before: int) -> DataFrame:
-    """First session opening after public time plus latency, with entry and exit clocks and a reason."""
-    p = public.withColumn("_ready", F.col(at) + F.make_dt_interval(secs=F.lit(latency))).withColumn("_k", F.lit(0))
-    got = next_after(p, sessions.withColumn("_k", F.lit(0)), ["_k"], "_ready", "open_at", ["session_id", "close_at"], "", micro_bucket(30 * 86400))
+    """First session opening after public time plus latency, with entry and exit clocks and a reason.
+
+    Sessions become a dense per-day lookup (that day's sessions and the next later one), which is calendar-bounded
+    and broadcast; the rows themselves are neither sorted nor shuffled.
+    """
+    one = F.struct("open_at", "close_at", "session_id")
+    per_day = sessions.groupBy(F.to_date("open_at").alias("_d")).agg(F.array_sort(F.collect_list(one)).alias("_today"))
+    span = per_day.agg(F.min("_d").alias("a"), F.max("_d").alias("z"))
+    days = span.select(F.explode(F.sequence("a", "z")).alias("_d")).join(per_day, "_d", "left")
+    later = W.partitionBy(F.lit(0)).orderBy("_d").rowsBetween(1, W.unboundedFollowing)
+    days = days.select("_d", "_today", F.first(F.col("_today")[0], True).over(later).alias("_later"))
+    p = public.withColumn("_ready", F.col(at) + F.make_dt_interval(secs=F.lit(latency)))
+    p = p.withColumn("_d", F.greatest(F.to_date("_ready"), span.select("a").scalar()))
+    j = p.join(F.broadcast(days), "_d", "left")
+    got = j.withColumn("_s", F.coalesce(F.get(F.filter("_today", lambda x: x["open_at"] > F.col("_ready")), F.lit(0)), F.col("_later")))
+    got = got.select(*public.columns, "_s.open_at", "_s.close_at", "_s.session_id")
     got = got.withColumn("entry_at", F.col("open_at") + F.make_dt_interval(secs=F.lit(entry_delay))).withColumn("exit_at", F.col("close_at") - F.make_dt_interval(secs=F.lit(exit_before)))
-    reason = F.when(F.col("open_at").isNull(), "next_session_missing").when(F.col("entry_at") >= F.col("exit_at"), "session_too_short")
-    return got.withColumn("reason", reason).drop("_ready", "_k")
+    return got.withColumn("reason", F.when(F.col("open_at").isNull(), "next_session_missing").when(F.col("entry_at") >= F.col("exit_at"), "session_too_short"))
 
 
 def candidate_reasons(c: DataFrame, protocol: dict) -> DataFrame:

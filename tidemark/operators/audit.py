@@ -94,7 +94,8 @@ def frozen_config(ledger: DataFrame, seq: str) -> DataFrame:
 def holdout_access(ledger: DataFrame, seq: str) -> DataFrame:
     """V4, V7: more than one access, or a freeze naming another holdout after an access."""
     acc = ledger.where("kind = 'holdout_access'").agg(F.min(seq).alias("_first"), F.min_by("holdout_id", seq).alias("_id"), F.count("*").alias("accesses"))
-    j = ledger.crossJoin(F.broadcast(acc))
+    first = acc.select(F.struct("_first", "_id").alias("a")).scalar()
+    j = ledger.withColumn("_a", first).select("*", "_a.*")
     again = (F.col("kind") == "holdout_access") & (F.col(seq) > F.col("_first"))
     moved = (F.col("kind") == "freeze") & (F.col(seq) > F.col("_first")) & ~F.col("holdout_id").eqNullSafe(F.col("_id"))
     return j.where(again | moved).select("experiment_id", seq, F.when(again, "holdout_already_accessed").otherwise("holdout_changed_after_access").alias("reason"))

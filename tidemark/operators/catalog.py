@@ -80,11 +80,11 @@ def award_summary(companies: DataFrame, awards: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.sum(amt).alias("t"), F.count_if(exact).alias("ne"), F.sum(F.when(exact, amt)).alias("te"))
     g = per_agency.groupBy("cik").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum("ne").alias("ne"), F.coalesce(F.sum("te"), F.lit(0.0)).alias("te"),
                                       F.max_by("agency", F.when(F.col("ne") > 0, F.struct(F.round("te", 6), F.col("agency")))).alias("top"))
-    grand = g.agg(F.when(F.sum("te") != 0, F.sum("te")).otherwise(F.lit(1.0)).alias("grand"))
-    j = companies.join(g, "cik", "left").crossJoin(F.broadcast(grand))
+    grand = g.agg(F.when(F.sum("te") != 0, F.sum("te")).otherwise(F.lit(1.0)).alias("grand")).scalar()
+    j = companies.join(g, "cik", "left")
     z = lambda c, d: F.coalesce(F.col(c), F.lit(d))
     return j.select("cik", "company_name", z("n", 0).alias("award_count_all_matches"), F.round(z("t", 0.0), 2).alias("total_all_matches"), z("ne", 0).alias("award_count_exact_name"),
-                    F.round(z("te", 0.0), 2).alias("total_exact_name"), F.round(100 * z("te", 0.0) / F.col("grand"), 4).alias("share_of_exact_total_pct"),
+                    F.round(z("te", 0.0), 2).alias("total_exact_name"), F.round(100 * z("te", 0.0) / grand, 4).alias("share_of_exact_total_pct"),
                     z("top", "").alias("top_awarding_agency_exact"))
 
 
@@ -107,8 +107,8 @@ def industry_of(filers: DataFrame, first: DataFrame, second: DataFrame) -> DataF
 def industry_share(filers: DataFrame, group: Column) -> DataFrame:
     """Distinct filers and share of all filers, unclassified ones included."""
     g = filers.groupBy(group.alias("industry")).agg(F.countDistinct("cik").alias("filers"))
-    total = g.agg(F.sum("filers").alias("_t"))
-    return g.crossJoin(F.broadcast(total)).select("industry", "filers", F.round(100 * F.col("filers") / F.col("_t"), 2).alias("share_pct"))
+    total = g.agg(F.sum("filers")).scalar()
+    return g.select("industry", "filers", F.round(100 * F.col("filers") / total, 2).alias("share_pct"))
 
 
 def industry_filter(filers: DataFrame, sic: str) -> DataFrame:
@@ -141,6 +141,4 @@ def observed_range(parts: Sequence[DataFrame], instrument: str, at: str) -> Data
 def run_manifest(requested: DataFrame, failed: DataFrame, awards: DataFrame) -> DataFrame:
     """One row of run counts."""
     a = awards.agg(F.count("*").alias("award_rows"), F.count_if("exact_name_match").alias("exact_rows"), F.round(F.coalesce(F.sum(F.when(F.col("exact_name_match"), F.col("award_amount"))), F.lit(0.0)), 2).alias("exact_total"))
-    r = requested.agg(F.count("*").alias("requested"))
-    f = failed.agg(F.count("*").alias("failed"))
-    return a.crossJoin(r).crossJoin(f)
+    return a.select("*", requested.agg(F.count("*")).scalar().alias("requested"), failed.agg(F.count("*")).scalar().alias("failed"))

@@ -72,7 +72,7 @@ def fold_rows(rows: DataFrame, folds: DataFrame, group: str, start: str, end: st
                 .where("t AND v").select("fold_id", group, F.lit(True).alias("_cross")))
     j = j.join(crossing, ["fold_id", group], "left")
     val = j.where("role = 'validation'").select("fold_id", F.col(start).alias("_vs"), F.col(end).alias("_ve"))
-    train = overlaps_any(j.where("role = 'train'"), val, ["fold_id"], start, end, "_vs", "_ve", epoch_bucket(7 * 86400), "_over")
+    train = overlaps_any(j.where("role = 'train'"), val, ["fold_id"], start, end, "_vs", "_ve", epoch_bucket(3600), "_over")
     j = train.unionByName(j.where("role = 'validation'").withColumn("_over", F.lit(False)))
     late = F.when(F.col("role") == "train", F.when(F.col(available) > F.col("train_end"), "target_not_mature_at_train_cutoff")).otherwise(
         F.when(F.col(available) > F.col("validation_end"), "target_not_mature_at_validation_cutoff"))

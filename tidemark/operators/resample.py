@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..constants import SESSIONS_PER_YEAR
@@ -35,10 +35,10 @@ def units(df: DataFrame, keys: Sequence[str], row_id: str, value: str, seed: int
     return u.join(m, list(keys)).select(*keys, "m", pos.alias("idx"), "n_u", "s_u")
 
 
-def weights(spark: SparkSession, sizes: DataFrame, replicates: int, seed: int) -> DataFrame:
+def weights(sizes: DataFrame, replicates: int, seed: int) -> DataFrame:
     """(m, rep, idx, w): how often unit idx is drawn in each replicate, per distinct unit count m."""
-    grid = (spark.range(replicates).withColumnRenamed("id", "rep")
-            .join(F.broadcast(sizes.select("m").distinct())).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("m") - 1))))
+    grid = (sizes.select("m").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).repartition("m", "rep")
+            .withColumn("slot", F.explode(F.sequence(F.lit(0), (F.col("m") - 1).cast("int")))))
     drawn = grid.withColumn("idx", F.floor(hash_unit(F.lit(seed), F.col("rep"), F.col("slot")) * F.col("m")).cast("int"))
     return drawn.groupBy("m", "rep", "idx").agg(F.count("*").alias("w"))
 
@@ -46,7 +46,7 @@ def weights(spark: SparkSession, sizes: DataFrame, replicates: int, seed: int) -
 def replicate_means(df: DataFrame, keys: Sequence[str], row_id: str, value: str, replicates: int, seed: int) -> DataFrame:
     """(keys, rep, mean)."""
     u = stage(units(df, keys, row_id, value, seed), "units")
-    w = weights(df.sparkSession, u, replicates, seed)
+    w = weights(u, replicates, seed)
     return (w.join(u, ["m", "idx"]).groupBy(*keys, "rep")
             .agg((F.sum(F.col("w") * F.col("s_u")) / F.sum(F.col("w") * F.col("n_u"))).alias("mean")))
 
@@ -94,7 +94,7 @@ def block_sharpes(series: DataFrame, keys: Sequence[str], order: str, cols: Sequ
     """
     pre = stage(prefix_sums(series, keys, order, cols), "prefix")
     n = pre.groupBy(*keys).agg(F.max("ord").alias("n"))
-    grid = (series.sparkSession.range(draws).withColumnRenamed("id", "rep").join(F.broadcast(n))
+    grid = (n.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).repartition(*keys, "rep")
             .withColumn("slot", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / block) - 1).cast("int")))))
     start = F.floor(hash_unit(F.lit(seed), F.col("rep"), F.col("slot")) * (F.col("n") - block + 1)).cast("int")
     grid = grid.withColumn("a", start).withColumn("b", (F.col("a") + F.least(F.lit(block), F.col("n") - F.col("slot") * block)).cast("int"))
@@ -120,7 +120,7 @@ def shift_permutation(series: DataFrame, keys: Sequence[str], order: str, pos: s
     w = W.partitionBy(*keys).orderBy(order)
     o = stage(series.select(*keys, (F.row_number().over(w) - 1).alias("ord"), F.col(pos).alias("p"), F.col(ret).alias("r")), "shift")
     n = o.groupBy(*keys).agg(F.count("*").alias("n"), sharpe(F.sum(F.col("p") * F.col("r")), F.sum((F.col("p") * F.col("r")) ** 2), F.count("*")).alias("observed"))
-    drawn = (series.sparkSession.range(perms).join(F.broadcast(n))
+    drawn = (n.withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(perms - 1))))
              .withColumn("shift", (1 + F.floor(hash_unit(F.lit(seed), F.lit("shift"), F.col("id")) * (F.col("n") - 1))).cast("int"))
              .groupBy(*keys, "n", "observed", "shift").agg(F.count("*").alias("w")))
     moved = drawn.join(o.select(*keys, "ord", "p"), list(keys)).withColumn("at", (F.col("ord") + F.col("shift")) % F.col("n"))
@@ -161,7 +161,7 @@ def paired_block_interval(rows: DataFrame, block: str, group: str, diff: str, re
     comp = sums.join(block_components(rows, block, group), block).groupBy("component").agg(F.sum("n_u").alias("n_u"), F.sum("s_u").alias("s_u"))
     w1 = W.partitionBy(F.lit(0)).orderBy("component")   # calendar blocks only
     u = stage(comp.select((F.row_number().over(w1) - 1).alias("idx"), "n_u", "s_u", F.count("*").over(W.partitionBy(F.lit(0))).alias("m")), "components")
-    reps = (weights(rows.sparkSession, u, replicates, seed).join(u, ["m", "idx"]).groupBy("rep", "m")
+    reps = (weights(u, replicates, seed).join(u, ["m", "idx"]).groupBy("rep", "m")
             .agg((F.sum(F.col("w") * F.col("s_u")) / F.sum(F.col("w") * F.col("n_u"))).alias("est")))
     ranked = reps.withColumn("rn", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("est")) - 1)   # `replicates` rows
     at = lambda q: F.max(F.when(F.col("rn") == int(q * (replicates - 1)), F.col("est")))

@@ -154,7 +154,7 @@ def seasonal_z(d: DataFrame, keys: Sequence[str], day: str, value: str) -> DataF
     md = F.date_format(day, "MM-dd")
     past = W.partitionBy(*keys, md).orderBy(day).rowsBetween(W.unboundedPreceding, -1)
     full = d.groupBy(*keys).agg(F.avg(value).alias("_fm"), F.stddev_samp(value).alias("_fs"))
-    v = d.withColumn("_m", F.avg(value).over(past)).withColumn("_s", F.stddev_samp(value).over(past)).join(F.broadcast(full), list(keys))
+    v = d.withColumn("_m", F.avg(value).over(past)).withColumn("_s", F.stddev_samp(value).over(past)).join(full, list(keys))
     z = (F.col(value) - F.coalesce("_m", "_fm")) / (F.coalesce("_s", "_fs") + 1e-6)
     return v.withColumn("z", z).drop("_m", "_s", "_fm", "_fs")
 
