@@ -15,7 +15,7 @@ def disclosures(raw: DataFrame, tag: str, start: str, end: str) -> DataFrame:
 
 
 def explode_tickers(raw: DataFrame) -> DataFrame:
-    return raw.withColumn("ticker", ticker(F.explode_outer("tickers"))).drop("tickers")
+    return raw.select("*", F.explode_outer("tickers").alias("_t")).withColumn("ticker", ticker(F.col("_t"))).drop("tickers", "_t")
 
 
 def collapse(rows: DataFrame, universe: DataFrame, days: DataFrame) -> DataFrame:

@@ -25,10 +25,11 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
         edges += [max(p - _SLACK, 0.0), min(p + _SLACK, 1.0)]
     sketch = v.groupBy(*keys).agg(F.count("_v").alias("_n"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"),
                                   F.percentile_approx("_v", F.array(*map(F.lit, edges)), _ACCURACY).alias("_e"))
+    small = F.col("_n") <= _ACCURACY   # the slack is under one rank there; such a group is read whole
     brackets = F.inline(F.array(*[
         F.struct(F.lit(name).alias("_q"), F.lit(p).alias("_p"),
-                 (F.col("_mn") if p <= _SLACK else F.col("_e")[2 * i]).alias("_lo"),
-                 (F.col("_mx") if p >= 1 - _SLACK else F.col("_e")[2 * i + 1]).alias("_hi"))
+                 (F.col("_mn") if p <= _SLACK else F.when(small, F.col("_mn")).otherwise(F.col("_e")[2 * i])).alias("_lo"),
+                 (F.col("_mx") if p >= 1 - _SLACK else F.when(small, F.col("_mx")).otherwise(F.col("_e")[2 * i + 1])).alias("_hi"))
         for i, (name, p) in enumerate(probs.items())]))
     wanted = sketch.select(*keys, "_n", brackets)
     group = [*keys, "_q"]
