@@ -79,19 +79,3 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     inside = W.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     return (b.withColumn("_r", F.sum(value).over(inside)).join(carry, [*keys, "_b"])
             .withColumn(out, F.col("_r") + F.col("_c")).drop("_b", "_r", "_c"))
-
-
-def next_after(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str,
-               cols: Sequence[str], prefix: str, bucket: Callable[[Column], Column]) -> DataFrame:
-    """First right row strictly after the left time (forward as-of), through negated micro-times."""
-    neg = lambda c: -F.unix_micros(F.col(c).cast("timestamp"))
-    r = right.withColumn("_nt", neg(right_time))
-    l = left.withColumn("_lt", neg(left_time))
-    value = F.struct(F.col("_nt"), *[F.col(c) for c in [right_time, *cols]])
-    got = prefix_max(l, r, keys, "_lt", "_nt", value, "_n", bucket, strict=True)
-    return got.select(*left.columns, *[F.col(f"_n.{c}").alias(prefix + c) for c in [right_time, *cols]])
-
-
-def micro_bucket(seconds: int) -> Callable[[Column], Column]:
-    """Bucket for times already expressed as (possibly negated) epoch microseconds."""
-    return lambda t: F.floor(t / F.lit(seconds * 1_000_000))

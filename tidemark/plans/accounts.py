@@ -128,7 +128,6 @@ r AS (SELECT *, CASE WHEN missing THEN 'missing_mark' WHEN abs(nav0 - eq) > 0.00
 
 
 def nav_inputs(spark, sf_dir):
-    from ..operators import asof
     from pyspark.sql import Window as W
     o = table(spark, sf_dir, "orders")
     d = o.groupBy(F.col("o_orderpriority").alias("account"), F.to_date("o_orderdate").alias("day")).agg((F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")) / 100).alias("gain"))

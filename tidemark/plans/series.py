@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F, Window as W
 
-from ..operators import boards, inference as inf, series as se
+from ..operators import inference as inf, series as se
 from ..staging import stage
 from .registry import query, table
 from .study import rounded

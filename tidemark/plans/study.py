@@ -74,10 +74,6 @@ def sliced(df, entry=C.ENTRY, bucket=C.BASELINE_BUCKET, otm=C.OTM):
     return df.where((F.col("bucket") == bucket) & (F.col("entry") == entry) & (F.col("otm") == otm))
 
 
-def _leg_sql(alias=""):
-    return ", ".join(f"{alias}{c}" for c in ("c_k", "p_k", "cu3", "pl3", "cu5", "pl5", "cu10", "pl10"))
-
-
 BARS_CTE = """
 sup AS (SELECT s_suppkey, 'R' || n_regionkey AS ticker FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 bars AS (SELECT *, ticker || '|' || contract_type || '|' || strike::INT || '|' || expiration_date AS contract_ticker FROM (
