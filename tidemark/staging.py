@@ -2,11 +2,13 @@
 
 A stage that several branches read is written once as Parquet below the cluster's checkpoint folder
 (``spark.checkpoint.dir``). That cuts the lineage, survives lost executors and keeps column pruning and
-statistics for the readers. Only where the session names no folder is a temporary one chosen.
+statistics for the readers. A session that names no folder gets a temporary one only if driver and executors
+are one process (master ``local``); on a cluster it is an error, since executors would not see each other's files.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,6 +22,8 @@ def folder(spark: SparkSession) -> str:
     named = spark.conf.get(_KEY, None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError(f"set {_KEY} to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         _fallback[app] = tempfile.mkdtemp(prefix="tidemark-stage-")
