@@ -43,7 +43,7 @@ class Pieces:
         if len(self.number) > MEMORY:
             self.forget()
         number = self.number
-        new = [p for p in pieces if p not in number]
+        new = list(dict.fromkeys(p for p in pieces if p not in number))
         for at in range(0, len(new), 20_000):
             part = new[at:at + 20_000]
             found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
