@@ -28,7 +28,7 @@ from tidemark.llm.common import query, table
 from tidemark.staging import stage
 
 #: Bytes of the longest context; least share of positions a context needs.
-DEPTH, P_MIN = 4, 5e-5
+DEPTH, P_MIN = 6, 1e-5
 #: Symbols that one step of the automaton's lanes covers, and bytes taken at a time.
 STRETCH, STEP = 256, 1 << 21
 END = 10
