@@ -31,11 +31,11 @@ from tidemark.llm.components import components
 from tidemark.staging import stage
 
 #: Shingles counted as frequent are at most this many: those held by at least 1 / FREQUENT of all set elements.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 20
 #: A batch reports shingles that this many of its documents hold.
-REPORTED = 4
+REPORTED = 2
 #: Slots of the contraction; members up to which a region is joined pair by pair; sets of one side of a tile.
-SLOTS, SMALL, TILE = 64, 32, 128
+SLOTS, SMALL, TILE = 64, 512, 128
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -90,21 +90,23 @@ def _source(docs: DataFrame) -> DataFrame:
 
 
 def survey(docs: DataFrame, k: int) -> DataFrame:
-    """Staged: kind 0: doc_id, n (set size), id (signature of the set); kind 1: id (a shingle), n (documents of a batch that hold it)."""
+    """Staged: kind 0: doc_id, n (set size), id (signature of the set), slots (the set counted into SLOTS); kind 1: id (a shingle), n (documents of a batch that hold it)."""
 
     def run(batches):
         for batch in batches:
             flat, sizes = shingle_sets(batch.column(1), k)
-            ids = np.zeros(len(sizes), np.int64)
+            ids, slots = np.zeros(len(sizes), np.int64), np.zeros((len(sizes), SLOTS), np.int32)
             for d, own in _each(flat, sizes):
                 ids[d] = _signature(own)
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.zeros(len(sizes), np.int32)), "doc_id": batch.column(0), "n": pa.array(sizes), "id": pa.array(ids)})
+                slots[d] = np.bincount((own & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+            counted = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * SLOTS), pa.array(slots.reshape(-1)))
+            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.zeros(len(sizes), np.int32)), "doc_id": batch.column(0), "n": pa.array(sizes), "id": pa.array(ids), "slots": counted})
             shingles, counts = np.unique(flat, return_counts=True)
             keep = counts >= REPORTED
             n = int(keep.sum())
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(n, np.int32)), "doc_id": pa.nulls(n, pa.int64()), "n": pa.array(counts[keep].astype(np.int64)), "id": pa.array(shingles[keep].view(np.int64))})
+            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(n, np.int32)), "doc_id": pa.nulls(n, pa.int64()), "n": pa.array(counts[keep].astype(np.int64)), "id": pa.array(shingles[keep].view(np.int64)), "slots": pa.nulls(n, pa.list_(pa.int32()))})
 
-    return stage(_source(docs).mapInArrow(run, "kind int, doc_id long, n long, id long"), "jaccard-survey")
+    return stage(_source(docs).mapInArrow(run, "kind int, doc_id long, n long, id long, slots array<int>"), "jaccard-survey")
 
 
 def frequent(surveyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -147,32 +149,35 @@ def windows(docs: DataFrame, k: int, percent: int, common: tuple[np.ndarray, np.
     return stage(_source(docs).mapInArrow(run, "key long, id long, n int, pos int, rare int"), "jaccard-windows")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """Staged sets of the wanted (doc_id) documents: id, n, items, slots (the set counted into SLOTS)."""
+def sets_of(docs: DataFrame, profile: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """Staged sets of the given ids (one column): id, n, items. Reads the texts of their first documents only."""
 
     def run(batches):
         for batch in batches:
             flat, sizes = shingle_sets(batch.column(1), k)
             own = [x for _, x in _each(flat, sizes)]
-            yield pa.RecordBatch.from_pydict({"id": pa.array([_signature(x) for x in own], pa.int64()), "n": pa.array([len(x) for x in own], pa.int32()), "items": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes[sizes > 0])).astype(np.int32)), pa.array(flat.view(np.int64))),
-                                              "slots": pa.array([np.bincount((x & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS).astype(np.int32) for x in own], pa.list_(pa.int32()))})
+            yield pa.RecordBatch.from_pydict({"id": pa.array([_signature(x) for x in own], pa.int64()), "n": pa.array([len(x) for x in own], pa.int32()), "items": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes[sizes > 0])).astype(np.int32)), pa.array(flat.view(np.int64)))})
 
-    rows = keep_rows(_source(docs), wanted, "jaccard-wanted").mapInArrow(run, "id long, n int, items array<long>, slots array<int>")
-    return stage(rows.groupBy("id").agg(F.first("n").alias("n"), F.first("items").alias("items"), F.first("slots").alias("slots")), "jaccard-sets")
+    wanted, _ = staged_small(ids.toDF("w").distinct(), "jaccard-ids")
+    firsts = profile.join(wanted, profile["id"] == wanted["w"], "left_semi").select("first").distinct()
+    rows = keep_rows(_source(docs), firsts, "jaccard-wanted").mapInArrow(run, "id long, n int, items array<long>")
+    return stage(rows.groupBy("id").agg(F.first("n").alias("n"), F.first("items").alias("items")), "jaccard-sets")
 
 
 def _enough(both, na, nb, percent: int):
     return 100 * both >= percent * (na + nb - both)
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
+def linked(docs: DataFrame, profile: DataFrame, pairs: DataFrame, k: int, percent: int, name: str) -> DataFrame:
     """Those of `pairs` (a, b) whose sets are similar enough: first in the contraction, the rest exactly."""
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("slots").alias(f"s{c}"))
+    side = lambda c: profile.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("slots").alias(f"s{c}"))
     both = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(_enough(both, F.col("na"), F.col("nb"), percent)).select("a", "b")
-    near, _ = staged_small(near, f"{name}-near")
+    near, n = staged_small(pairs.join(side("a"), "a").join(side("b"), "b").where(_enough(both, F.col("na"), F.col("nb"), percent)).select("a", "b"), f"{name}-near")
+    if n == 0:
+        return pairs.limit(0).select("a", "b")
+    sets = sets_of(docs, profile, near.select("a").unionByName(near.select(F.col("b").alias("a"))), k)
     left, right = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia")), sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("items").alias("ib"))
-    exact = left.join(near, "a").join(right, "b")
+    exact = left.join(near, "a").join(right.join(near.select("b").distinct(), "b", "left_semi"), "b")
     return stage(exact.where(_enough(F.size(F.array_intersect("ia", "ib")), F.col("na"), F.col("nb"), percent)).select("a", "b"), f"{name}-links")
 
 
@@ -230,14 +235,16 @@ def _label(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, rows["id"] == labels["node"], "left").withColumn("label", F.coalesce("component", "id")).drop("node", "component")
 
 
-def _rings(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rings(docs: DataFrame, profile: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) inside large regions. members: key, id, label, pivot."""
     regions = components(members.select(F.col("id").alias("a"), F.col("pivot").alias("b")), "jaccard-regions")
     own = members.select("id", "label").distinct()
     own = own.join(regions, own["id"] == regions["node"], "left").select("id", "label", F.coalesce("component", "id").alias("region"))
-    own = stage(own, "jaccard-region-members")
+    own, _ = staged_small(own, "jaccard-region-members")
     # one pivot document for each region; its distance to all members
-    pivots = sets.select(F.col("id").alias("region"), F.col("items").alias("pivot_items"), F.col("n").alias("pivot_n"))
+    sets = sets_of(docs, profile, own.select("id"), k)
+    chosen, _ = staged_small(own.select("region").distinct(), "jaccard-region-pivots")
+    pivots = sets.select(F.col("id").alias("region"), F.col("items").alias("pivot_items"), F.col("n").alias("pivot_n")).join(chosen, "region", "left_semi")
     both = F.size(F.array_intersect("items", "pivot_items"))
     measured = own.join(sets.select("id", "n", "items"), "id").join(pivots, "region")
     step = 100 - percent
@@ -278,13 +285,12 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     cells, _ = staged_small(regions.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min(F.struct("rare", "id", "n")).alias("p")).where("least < most")
                             .select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.rare").alias("pivot_rare")), "jaccard-cells")
     live = stage(regions.join(cells, "key").select("key", "id", "n", "pos", "pivot", "pivot_n", "pivot_rare").distinct(), "jaccard-live")
-    nodes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("first"))
-    alive, _ = staged_small(live.select("id").distinct(), "jaccard-alive")
-    sets = sets_of(docs, nodes.join(alive, "id").select("first").distinct(), k)
+    profile = stage(surveyed.where("kind = 0 and n > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").cast("int").alias("n"), F.first("slots").alias("slots")), "jaccard-profile")
+    nodes = profile.select("id", "first")
     # round one: every set against one pivot of its regions
     fits = (100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")) & (F.col("id") != F.col("pivot"))
     first = live.where(fits).groupBy("id").agg(F.min(F.struct("pivot_rare", "pivot")).alias("p")).select(F.col("id").alias("a"), F.col("p.pivot").alias("b"))
-    links = linked(stage(first, "jaccard-first"), sets, percent, "jaccard-one")
+    links = linked(docs, profile, stage(first, "jaccard-first"), k, percent, "jaccard-one")
     labels = _labels(links, "jaccard-one")
     # regions that still hold several components
     named = _label(live.select("key", "id", "n", "pos", "pivot"), labels)
@@ -293,16 +299,16 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     small = still.where(F.col("members") <= SMALL)
     x, y = small.alias("x"), small.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & _possible(percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    links = links.unionByName(linked(stage(pairs, "jaccard-pairs"), sets, percent, "jaccard-two"))
+    links = links.unionByName(linked(docs, profile, stage(pairs, "jaccard-pairs"), k, percent, "jaccard-two"))
     large = still.where(F.col("members") > SMALL)
     if not large.isEmpty():
-        links = links.unionByName(_rings(large, sets, percent))
+        links = links.unionByName(_rings(docs, profile, large, k, percent))
     final = _labels(stage(links, "jaccard-all"), "jaccard-final")
     # the least doc_id of each component, and of each set
     firsts = _label(nodes, final).select("id", "first", "label")
     of_label = firsts.groupBy("label").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("sets")).where("sets > 1").select("label", "component_id")
     several, _ = staged_small(_label(final.select(F.col("node").alias("id")).unionByName(final.select(F.col("component").alias("id"))).distinct(), final).join(of_label, "label").select(F.col("id").alias("g"), "component_id"), "jaccard-several")
-    copies, _ = staged_small(rows.where("n_shingles > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select(F.col("id").alias("c"), "copy_of"), "jaccard-copies")
+    copies, _ = staged_small(profile.where("copies > 1").select(F.col("id").alias("c"), F.col("first").alias("copy_of")), "jaccard-copies")
     done = rows.join(several, rows["id"] == several["g"], "left").join(copies, rows["id"] == copies["c"], "left")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     return done.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component_id", "copy_of", "doc_id")).alias("component_id"))
