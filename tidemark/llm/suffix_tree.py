@@ -1,4 +1,4 @@
-"""Language-model scoring with a probabilistic suffix tree over bytes, beside a unigram base over words.
+"""Language-model scoring with a probabilistic suffix tree over bytes that smooths the words' counts, beside a unigram base over words.
 
 Texts are taken as their lower-case words joined by blanks and one end symbol. The tree keeps contexts of 1 to DEPTH bytes that are frequent
 enough (at least P_MIN of all positions, which bounds their number by DEPTH / P_MIN) and whose next-symbol distribution diverges from their
@@ -6,6 +6,9 @@ parent's by more than its parameters cost (count * KL divergence against half th
 is smoothed towards its nearest kept ancestor, with as much weight as it has different next symbols. A symbol is scored by the longest kept
 suffix of what stands before it. For that the contexts become one automaton, in which many stretches of text advance at once.
 
+A word's probability is the mean of its base share and of the tree's probability of its bytes, with the blank or end behind them, after what
+precedes them: common words are predicted by their counts, rare ones by how they are spelt. The end of a text has its base share.
+
 The corpus is read once. Each batch becomes its own dictionary of words, its texts as codes, and counts of byte (DEPTH + 1)-grams; words are
 counted over all batches in one shuffle of dictionary rows, never of one row per token, and go back to their batch with their counts.
 
@@ -24,14 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import query, table
+from tidemark.llm.common import query, staged_small, table
 from tidemark.staging import stage
 
 #: Bytes of the longest context; least share of positions a context needs.
-DEPTH, P_MIN = 6, 1e-5
+DEPTH, P_MIN = 5, 1e-5
 #: Symbols that one step of the automaton's lanes covers, and bytes taken at a time.
 STRETCH, STEP = 256, 1 << 21
 END = 10
+LN10 = float(np.log(10))
 _ROWS = "kind int, batch long, code int, word string, n long, doc_ids array<long>, words array<int>, held array<boolean>, codes binary"
 
 
@@ -143,12 +147,17 @@ def _merge(parts) -> tuple[np.ndarray, np.ndarray]:
 
 def tree(grams: DataFrame, depth: int = DEPTH, p_min: float = P_MIN) -> list[tuple[int, int, int, int]]:
     """(length, context, next, count) of the root and all kept contexts. At most depth / p_min contexts reach the driver."""
-    # a gram gives one pair of context and next symbol at every length
-    pairs = grams.select("n", (F.col("gram") % 256).alias("next"), F.posexplode(F.array(*[F.expr(f"shiftright(gram, 8) % {1 << 8 * d}L") for d in range(depth + 1)])).alias("len", "context"))
-    pairs = stage(pairs.groupBy("len", "context", "next").agg(F.sum("n").alias("n")), "suffix-pairs")
+    # each length from the next longer one; a gram is a context and its next symbol
+    levels, level = [], grams
+    for d in range(depth, -1, -1):
+        level = stage(level.groupBy(F.expr(f"gram % {1 << 8 * (d + 1)}L").alias("gram")).agg(F.sum("n").alias("n")), f"suffix-level-{d}")
+        levels.append(level.select(F.lit(d).alias("len"), F.expr("shiftright(gram, 8)").alias("context"), (F.col("gram") % 256).alias("next"), "n"))
+    everything = level.agg(F.sum("n")).first()[0] or 0
+    pairs = levels[0]
+    for more in levels[1:]:
+        pairs = pairs.unionByName(more)
     sums = pairs.groupBy("len", "context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("symbols"))
-    everything = pairs.where("len = 0").agg(F.sum("n")).first()[0] or 0
-    kept_sums = stage(sums.where(F.col("total") >= p_min * everything), "suffix-contexts")
+    kept_sums, _ = staged_small(sums.where(F.col("total") >= p_min * everything), "suffix-contexts")  # (depth + 1) / p_min at most
     rows = pairs.join(kept_sums, ["len", "context"])
     parent = rows.select((F.col("len") + 1).alias("len"), F.col("context").alias("parent"), "next", (F.col("n") / F.col("total")).alias("q"))
     child = rows.where("len > 0").withColumn("parent", F.expr("context % shiftleft(1L, 8 * (len - 1))"))
@@ -247,8 +256,16 @@ def score(docs: DataFrame) -> DataFrame:
         base = np.array([worth[codes[a:b]].sum() for a, b in zip(bounds, bounds[1:])]) + end_worth
         own = np.zeros(len(n))
         for i, j, stream, begin in _texts(codes, n, dictionary):
-            value = model.value.score(stream).astype(np.float64)
-            own[i:j] = [value[a:b].sum() for a, b in zip(begin[:-1] - DEPTH, begin[1:] - DEPTH - (DEPTH - 1))]
+            value = model.value.score(stream)
+            keep = np.ones(len(value), bool)
+            for k in range(1, DEPTH):
+                keep[begin[1:] - DEPTH - k] = False
+            some, empty = codes[bounds[i]:bounds[j]], np.flatnonzero(n[i:j] == 0)
+            # bytes of a word and what ends it; a text without words has only its end
+            size = np.insert(dictionary.size[some], bounds[i + empty] - bounds[i], 1)
+            spelt = np.add.reduceat(value[keep].astype(np.float64), np.cumsum(size) - size)
+            word = np.delete(spelt, bounds[i + empty] - bounds[i] + np.arange(len(empty)))
+            own[i:j] = np.diff(np.append(0, np.cumsum((np.logaddexp(worth[some] * LN10, word * LN10) - np.log(2)) / LN10))[bounds[i:j + 1] - bounds[i]]) + end_worth
         return pa.table({"doc_id": left["doc_ids"][0].values, "held_out": left["held"][0].values, "n_tokens": pa.array(n + 1), "n_known": pa.array(cut(total[codes] > 0).astype(np.int64) + (end_count > 0)),
                          "train_tokens": pa.array(np.full(len(n), all_tokens, np.int64)), "base_score": pa.array(base), "score": pa.array(own)})
 
