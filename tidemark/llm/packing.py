@@ -142,7 +142,7 @@ def layout(cut_pieces: DataFrame, limit: int = LIMIT, grain: int = GRAIN) -> Dat
     room = limit // grain
     rows = cut_pieces.withColumn("class", F.ceil(F.col("length") / grain).cast("int"))
     total = cut_pieces.count()
-    buckets = max(16, -(-total // BUCKET_ROWS))
+    buckets = max(256, -(-total // BUCKET_ROWS))
     # the row's place only has to be spread and fixed: pieces that agree in all of this are interchangeable
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"), F.lit(buckets)).cast("int"))
     sized = stage(rows.groupBy("class", "bucket").agg(F.count(F.lit(1)).alias("n")), "pack-buckets")

@@ -2,22 +2,35 @@
 
 Both vocabularies split a text at every blank that a visible character follows (or every blank at all), so the ids of a text are those of its
 blank-separated pieces one after another. A batch is cut into pieces and dictionary-encoded in Arrow, and only pieces not seen before by this
-worker go through the tokenizer; texts with other white space around a blank go through it whole.
+worker go through the tokenizer; texts with other white space around a blank go through it whole. A new piece that is one word of Latin-1
+letters, perhaps with a full stop, goes straight to the tokenizer's model: such words need no normalising and are one unit for it.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker remembers (about 200 bytes each); when full it starts anew.
-MEMORY = 400_000
+MEMORY = 500_000
 #: Bytes of text that are cut at a time.
-STEP = 1 << 24
+STEP = 1 << 22
 # White space that a piece must not start with.
 _AWKWARD = r" [ \t\n\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
+_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+
+
+def _visible() -> dict[int, str]:
+    """Latin-1 characters as byte-level vocabularies write their UTF-8 bytes: visible Latin-1 bytes as they are, the others from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    name = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    return {c: "".join(name[b] for b in chr(c).encode()) for c in range(256)}
+
 
 def vocabulary(name: str) -> str:
     """Place of a public tokenizer file; the parameter of every function that tokenizes."""
@@ -31,6 +44,8 @@ class Pieces:
     def __init__(self, path: str, blanks: bool):
         from tokenizers import Tokenizer
         self.tokenizer, self.blanks = Tokenizer.from_file(path), blanks
+        self.model, self.letters = self.tokenizer.model, _visible()
+        self.stop = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ".,"} | {"": []}
         self.forget()
 
     def forget(self) -> None:
@@ -46,7 +61,7 @@ class Pieces:
         new = list(dict.fromkeys(p for p in pieces if p not in number))
         for at in range(0, len(new), 20_000):
             part = new[at:at + 20_000]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            found = self._tokenize(part)
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
             first, end = len(number), len(number) + len(part)
@@ -61,6 +76,22 @@ class Pieces:
             number.update(zip(part, range(first, end)))
         return np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
 
+    def _tokenize(self, new: list[str]) -> list[list[int]]:
+        tokenize, letters, stop = self.model.tokenize, self.letters, self.stop
+        out, other = [], []
+        for i, p in enumerate(new):
+            m = _PLAIN.fullmatch(p)
+            if m is None:
+                other.append(i)
+                out.append(None)
+            else:
+                # without blanks the vocabulary is one of lower-case words
+                word = m[1] if self.blanks else m[1].lstrip(" ").lower()
+                out.append([t.id for t in tokenize(word.translate(letters))] + stop[m[2]])
+        for i, e in zip(other, self.tokenizer.encode_batch_fast([new[i] for i in other], add_special_tokens=False)):
+            out[i] = e.ids
+        return out
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each). Null is the empty text."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
