@@ -77,3 +77,14 @@ def test_panel_first_reasons(spark):
     got = {r.decision_id: r.reason for r in fc.panel(feats, labels, ["a"], "2025-01-01", "t", "h", units="u").collect()}
     assert got == {"ok": None, "late": "outside_development_window", "bad": "unqualified_target", "unit": "target_unit_contract_missing", "nof": "missing_features", "int": "invalid_outcome_interval",
                    "prot": "protected_holdout_row", "nan": "finite_number_required", "dup": "duplicate_instrument_decision"}
+
+
+def test_one_resampling_rule_at_every_size(spark):
+    """256 and 257 rows: weights of mean 1 and variance 1 for each row, intervals of nearly the same width."""
+    from tidemark.operators import resample as rs
+    rows = [(k, f"{k}-{i}", float(i % 16)) for k, n in (("a", 256), ("b", 257), ("c", 4)) for i in range(n)]
+    got = {r.k: r for r in rs.bootstrap_ci(spark.createDataFrame(rows, "k string, id string, v double"), ["k"], "id", "v").collect()}
+    assert got["c"].ci_lo is None
+    width = {k: got[k].ci_hi - got[k].ci_lo for k in "ab"}
+    expected = 2 * 1.96 * (sum((i - 7.5) ** 2 for i in range(16)) / 16) ** 0.5 / 16
+    assert all(abs(w / expected - 1) < 0.12 for w in width.values())

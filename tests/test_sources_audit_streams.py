@@ -108,9 +108,18 @@ def test_stream_restart_does_not_double_count(spark, tmp_path):
     src, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
     mk = lambda ids, d: spark.createDataFrame([(f"a{i}", datetime(2024, 1, d, 3), "c", "8-K") for i in ids], "accession string, at timestamp, company string, form string")
     mk(range(3), 1).write.mode("append").parquet(src)
-    run = lambda: sp.incremental_counts(sp.file_stream(spark, src, "*.parquet", mk([], 1).schema), "at", "accession", ["company", "form"], out, ck).awaitTermination()
+    run = lambda: sp.incremental_counts(sp.file_stream(spark, src, "*.parquet", mk([], 1).schema), "accession", ["company", "form"], out, ck).awaitTermination()
     run()
     mk([2, 3], 2).write.mode("append").parquet(src)   # a2 arrives again
     run()
     run()
     assert sp.counted(spark, out, ["company", "form"]).first().n == 4
+
+
+def test_stream_counts_filings_out_of_order(spark, tmp_path):
+    src, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+    mk = lambda ids, y: spark.createDataFrame([(f"a{i}", datetime(y, 1, 2, 3), "c", "8-K") for i in ids], "accession string, at timestamp, company string, form string")
+    for ids, year in ((range(4), 2024), (range(4, 9), 2003), ([0, 9, 10, 11], 2015)):   # years late, and a repeat with another clock
+        mk(ids, year).write.mode("append").parquet(src)
+        sp.incremental_counts(sp.file_stream(spark, src, "*.parquet", mk([], 2024).schema), "accession", ["company", "form"], out, ck).awaitTermination()
+    assert sp.counted(spark, out, ["company", "form"]).first().n == 12

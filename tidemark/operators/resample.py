@@ -1,8 +1,8 @@
 """Resampling as joins with hashed draw tables.
 
-Draws depend only on (seed, replicate, slot), never on the data, so they are generated beside it. Rows of a
-large group are first summed into a fixed number of hashed cells and the cells are resampled; groups no larger
-than the cell count are resampled row by row. Cost is one pass over the rows plus cells × replicates.
+Means of rows (R1, R2) are resampled by one rule at every size: each row has a Poisson(1) weight per replicate, drawn from a digest of
+seed, row and replicate, and a replicate is two weighted sums, so rows are combined before any shuffle. Blocks (R3-R7) draw their slots by
+(seed, replicate, slot), never from the data.
 """
 
 from __future__ import annotations
@@ -16,23 +16,10 @@ from ..constants import SESSIONS_PER_YEAR
 from ..staging import stage
 from .events import hash_unit
 
-CELLS = 256
-
-
-def units(df: DataFrame, keys: Sequence[str], row_id: str, value: str, seed: int, cells: int = CELLS) -> DataFrame:
-    """(keys, m, idx, n_u, s_u): the resampling units of each group."""
-    d = df.where(F.col(value).isNotNull()).select(*keys, F.col(row_id).alias("_id"), F.col(value).alias("_v"))
-    sizes = d.groupBy(*keys).agg(F.count("*").alias("n"))
-    big = (d.join(sizes.where(F.col("n") > cells), list(keys), "left_semi")
-           .withColumn("idx", F.floor(hash_unit(F.lit(seed), F.lit("cell"), F.col("_id")) * cells)))
-    big = big.groupBy(*keys, "idx").agg(F.count("*").alias("n_u"), F.sum("_v").alias("s_u"))
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy("_id")) - 1   # at most `cells` rows per group here
-    small = (d.join(sizes.where(F.col("n") <= cells), list(keys), "left_semi")
-             .select(*keys, rank.cast("bigint").alias("idx"), F.lit(1).cast("bigint").alias("n_u"), F.col("_v").alias("s_u")))
-    u = big.unionByName(small)
-    m = u.groupBy(*keys).agg(F.count("*").alias("m"))
-    pos = F.row_number().over(W.partitionBy(*keys).orderBy("idx")) - 1
-    return u.join(m, list(keys)).select(*keys, "m", pos.alias("idx"), "n_u", "s_u")
+#: Draws of 16 bits that one digest gives.
+DRAWS = 8
+# Cumulative Poisson(1) probabilities in 1/65536.
+POISSON = (24109, 48219, 60274, 64292, 65296, 65497, 65531)
 
 
 def weights(sizes: DataFrame, replicates: int, seed: int) -> DataFrame:
@@ -44,11 +31,15 @@ def weights(sizes: DataFrame, replicates: int, seed: int) -> DataFrame:
 
 
 def replicate_means(df: DataFrame, keys: Sequence[str], row_id: str, value: str, replicates: int, seed: int) -> DataFrame:
-    """(keys, rep, mean)."""
-    u = stage(units(df, keys, row_id, value, seed), "units")
-    w = weights(u, replicates, seed)
-    return (w.join(u, ["m", "idx"]).groupBy(*keys, "rep")
-            .agg((F.sum(F.col("w") * F.col("s_u")) / F.sum(F.col("w") * F.col("n_u"))).alias("mean")))
+    """(keys, rep, mean): the mean of each replicate; NULL if it drew no row."""
+    d = df.where(F.col(value).isNotNull()).select(*keys, F.col(row_id).alias("_id"), F.col(value).alias("_v"))
+    d = d.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // DRAWS))))
+    d = d.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_id").cast("string"), F.col("_g").cast("string"))))
+    d = d.select(*keys, "_v", "_g", F.posexplode(F.array(*[F.substring("_h", 1 + 4 * i, 4) for i in range(DRAWS)])).alias("_i", "_d"))
+    u = F.conv("_d", 16, 10).cast("int")
+    w = sum(((u >= p).cast("int") for p in POISSON), F.lit(0))
+    d = d.select(*keys, (F.col("_g") * DRAWS + F.col("_i")).alias("rep"), "_v", w.alias("_w")).where(F.col("rep") < replicates)
+    return d.groupBy(*keys, "rep").agg((F.sum(F.col("_w") * F.col("_v")) / F.nullif(F.sum("_w"), F.lit(0))).alias("mean"))
 
 
 def interval(reps: DataFrame, keys: Sequence[str], value: str, lo: float = 0.025, hi: float = 0.975) -> DataFrame:

@@ -26,18 +26,18 @@ def stream_counts(spark, sf_dir):
     keys = ["company", "filing_date", "form"]
     e = _events(spark, sf_dir).select("event_id", "at", F.col("user_id").alias("company"), F.to_date("at").alias("filing_date"), F.col("event_type").alias("form"))
     out = _place(spark, "counts")
-    sp.incremental_counts(e, "at", "event_id", keys, out, _place(spark, "checkpoint")).awaitTermination()
+    sp.incremental_counts(e, "event_id", keys, out, _place(spark, "checkpoint")).awaitTermination()
     return sp.counted(spark, out, keys)
 
 
-@query("stream_documents")
+@query("stream_documents", """SELECT page_id AS document_id, CASE WHEN html IS NULL THEN 'failed' ELSE 'completed' END AS status, CASE WHEN html IS NOT NULL THEN sha256(html) END AS source_sha256 FROM pages""")
 def stream_documents(spark, sf_dir):
     """A second run over the same pages adds nothing."""
     p = sp.file_stream(spark, sf_dir, "pages.parquet", table(spark, sf_dir, "pages").schema)
     out = _place(spark, "transcripts")
     for _ in range(2):
         sp.document_batches(p, "page_id", "html", out, _place(spark, "checkpoint")).awaitTermination()
-    return spark.read.parquet(out).select("document_id", "status", F.length("text").alias("n_chars"))
+    return spark.read.parquet(out).select("document_id", "status", "source_sha256")
 
 
 @query("stream_quotes", """WITH q AS (SELECT event_id AS quote_id, user_id AS k, ts AS quote_at FROM events WHERE event_type <> 'error'), o AS (SELECT event_id AS order_id, user_id AS k, ts AS order_at FROM events WHERE event_type = 'error')

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,22 +18,35 @@ def file_stream(spark: SparkSession, folder: str, pattern: str, schema, max_file
     return (r.option("maxFilesPerTrigger", max_files) if max_files else r).parquet(folder)
 
 
-def incremental_counts(filings: DataFrame, at: str, accession: str, keys: Sequence[str], out: str, checkpoint: str, late: str = "30 days") -> StreamingQuery:
-    """Counts that a restart never doubles.
+def written(spark: SparkSession, path: str) -> DataFrame | None:
+    """What was written to `path` before; None only if there is no such folder, any other error stays one."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
-    Accessions are deduplicated in state bounded by the watermark. Each micro-batch writes its increments under its
-    own batch folder, so a replayed batch replaces itself; the checkpoint is the resume point.
-    """
-    unique = filings.withWatermark(at, late).dropDuplicatesWithinWatermark([accession])
 
+def incremental_counts(filings: DataFrame, accession: str, keys: Sequence[str], out: str, checkpoint: str) -> StreamingQuery:
+    """Counts that neither a restart nor a late arrival falsifies.
+
+    Every micro-batch keeps the accessions that no earlier batch has, however old they are, and writes them and its increments to folders of
+    its own: a replayed batch replaces itself, the checkpoint is the resume point. State is a table, so nothing leaves it by age.
+    """
     def increment(df: DataFrame, batch: int) -> None:
-        df.groupBy(*keys).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        new, seen = df.dropDuplicates([accession]), written(df.sparkSession, f"{out}/seen")
+        if seen is not None:
+            new = new.join(seen.where(F.col("batch") < batch).select(accession), accession, "left_anti")
+        new.select(accession, *keys).write.mode("overwrite").parquet(f"{out}/seen/batch={batch}")
+        fresh = df.sparkSession.read.schema(new.select(accession, *keys).schema).parquet(f"{out}/seen/batch={batch}")
+        fresh.groupBy(*keys).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{out}/counts/batch={batch}")
 
-    return unique.writeStream.foreachBatch(increment).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return filings.writeStream.foreachBatch(increment).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def counted(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
-    return spark.read.parquet(out).groupBy(*keys).agg(F.sum("n").alias("n"))
+    return spark.read.parquet(f"{out}/counts").groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
 def document_batches(pages: DataFrame, doc: str, html: str, out: str, checkpoint: str) -> StreamingQuery:
@@ -40,15 +54,11 @@ def document_batches(pages: DataFrame, doc: str, html: str, out: str, checkpoint
     spark = pages.sparkSession
 
     def run(df: DataFrame, batch: int) -> None:
-        todo = df.withColumn("source_sha256", F.sha2(html, 256))
-        try:
-            done = spark.read.parquet(out).where("status = 'completed'").select(F.col("document_id").alias(doc), "source_sha256")
-        except Exception:  # first batch: nothing has been written yet
-            done = None
+        todo, done = df.withColumn("source_sha256", F.sha2(html, 256)), written(spark, out)
         if done is not None:
+            done = done.where("status = 'completed'").select(F.col("document_id").alias(doc), "source_sha256")
             todo = todo.join(done, [doc, "source_sha256"], "left_anti")
-        got = html_text(todo, doc, html).join(todo.select(F.col(doc).alias("document_id"), "source_sha256"), "document_id")
-        sinks.write_transcripts(got, out)
+        sinks.write_transcripts(html_text(todo, doc, html, ["source_sha256"]), out)
 
     return pages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
