@@ -49,7 +49,7 @@ def test_end_to_end_event(spark):
     p = priced.collect()
     assert [(r.bucket, r.expiration_date) for r in p] == [("3-6m", date(2024, 4, 19))]
     assert {x.leg_code: x.strike for x in p[0].legs} == {"C_K": 100.0, "P_K": 100.0, "C_U0.05": 105.0, "P_L0.05": 95.0}
-    assert sorted(r.reason for r in dropped.collect()) == ["1m: no expiry in range", "2m: no expiry in range"]
+    assert sorted(r.reason for r in dropped.collect()) == ["1m: no_expiry", "2m: no_expiry"]
     res = {(r.entry, r.horizon): r for r in st.evaluate(priced, b, "2025-01-01", otm=(0.05,)).collect()}
     import math
     s0 = 100 * math.exp(-0.04 * 105 / 365) + 1
@@ -69,9 +69,9 @@ def test_end_to_end_event(spark):
 def test_thin_chain_keeps_a_reason(spark):
     e, c, b = fixture(spark)
     priced, dropped = st.price(e, c.where("contract_type = 'call'"), b, otm=(0.05,))
-    assert priced.count() == 0 and [r.reason for r in dropped.collect()] == ["could not recover spot from the chain (no liquid near-dated pair)"]
+    assert priced.count() == 0 and [r.reason for r in dropped.collect()] == ["no_spot"]
     priced, dropped = st.price(e, c.where("ticker = 'none'"), b, otm=(0.05,))
-    assert [r.reason for r in dropped.collect()] == ["no option chain as of the pre-event session"]
+    assert [r.reason for r in dropped.collect()] == ["no_chain"]
 
 
 def test_contract_pair_tie_rule(spark):

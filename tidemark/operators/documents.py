@@ -15,6 +15,10 @@ from .skew import hot_lookup
 EARNINGS = r"(?i)\b(earnings|financial results|quarterly results|results of operations)\b"
 MONEY = r"(?i)\b(revenue|income|sales|earnings per share|profit|loss)\b"
 
+# Items and exhibits that a filing names.
+ITEM = r"(?i)\bItem\s+(\d\.\d{2})\b"
+EXHIBIT = r"(?i)\bExhibit\s+(99(?:\.\d+)?)\b"
+
 
 def role(kind: Column, plain: Column) -> Column:
     """Primary filing, earnings release, other exhibit or unclassified."""
@@ -28,18 +32,22 @@ def inventory(subs: DataFrame, cik: str, accession: str, payload: str) -> DataFr
 
     Blocks are cut and described inside the row. Encoded PDF bodies are flagged unsupported.
     """
-    tag = lambda block, name: F.trim(F.regexp_extract(block, rf"(?i)<{name}>[^\S\r\n]*([^\r\n<]*)", 1))
-    b = subs.select(fn.zero_pad(F.col(cik)).alias("cik"), F.col(accession).alias("accession"),
-                    F.posexplode(F.regexp_extract_all(F.col(payload), F.lit(r"(?is)<DOCUMENT>\s*(.*?)</DOCUMENT>"), F.lit(1))).alias("sequence", "block"))
-    b = b.select("cik", "accession", "sequence", F.upper(tag(F.col("block"), "TYPE")).alias("kind"), F.nullif(tag(F.col("block"), "FILENAME"), F.lit("")).alias("filename"),
-                 F.regexp_extract_all("block", F.lit(r"(?is)<TEXT>(.*?)</TEXT>"), F.lit(1))[0].alias("content"))
+    # what stands before a closing mark, from its opening mark on; then the header as one (mark, value) per line, and the body
+    ends = F.split(F.col(payload), "(?i)</DOCUMENT>")
+    opened = F.filter(F.slice(ends, F.lit(1), F.greatest(F.size(ends) - 1, F.lit(0))), lambda x: x.rlike("(?i)<DOCUMENT>"))
+    b = subs.select(fn.zero_pad(F.col(cik)).alias("cik"), F.col(accession).alias("accession"), F.posexplode(F.transform(opened, lambda x: F.get(F.split(x, "(?i)<DOCUMENT>", 2), F.lit(1)))).alias("sequence", "block"))
+    parts = F.split("block", "(?i)<TEXT>", 2)
+    lines = F.transform(F.split(F.get(parts, F.lit(0)), "[\r\n]+"), lambda x: F.split(F.trim(x), ">", 2))
+    value = lambda name: F.coalesce(F.trim(F.get(F.split(F.get(F.get(F.filter("header", lambda x: F.upper(F.get(x, F.lit(0))) == f"<{name}"), F.lit(0)), F.lit(1)), "<"), F.lit(0))), F.lit(""))
+    body = F.split(F.get(parts, F.lit(1)), "(?i)</TEXT>", 2)
+    b = b.withColumn("header", lines).select("cik", "accession", "sequence", F.upper(value("TYPE")).alias("kind"), F.nullif(value("FILENAME"), F.lit("")).alias("filename"), F.when(F.size(body) > 1, F.get(body, F.lit(0))).alias("content"))
     pdf = F.coalesce(F.lower("filename").endswith(".pdf"), F.lit(False)) & F.col("content").isNotNull()
     raw_pdf = F.regexp_replace("content", r"(?i)^\s*<PDF>\s*", "").startswith("%PDF-")
     plain = fn.strip_tags(F.coalesce("content", F.lit("")))
     status = (F.when(pdf & ~raw_pdf, "encoded_binary_unsupported").when(F.col("content").isNull(), "incomplete_text")
               .when(F.col("filename").isNull(), "missing_filename").otherwise("complete"))
-    items = F.when(F.col("kind").isin("8-K", "8-K/A"), F.array_sort(F.array_distinct(F.regexp_extract_all(plain, F.lit(r"(?i)\bItem\s+(\d\.\d{2})\b"), F.lit(1)))))
-    refs = F.when(F.col("kind").isin("8-K", "8-K/A"), F.array_distinct(F.regexp_extract_all(plain, F.lit(r"(?i)\bExhibit\s+(99(?:\.\d+)?)\b"), F.lit(1))))
+    items = F.when(F.col("kind").isin("8-K", "8-K/A"), F.array_sort(F.array_distinct(F.regexp_extract_all(plain, F.lit(ITEM), F.lit(1)))))
+    refs = F.when(F.col("kind").isin("8-K", "8-K/A"), F.array_distinct(F.regexp_extract_all(plain, F.lit(EXHIBIT), F.lit(1))))
     return b.select("cik", "accession", "sequence", F.concat_ws(":", "cik", "accession", F.coalesce("filename", F.concat(status, F.lit(":"), F.col("kind")))).alias("document_id"),
                     F.nullif("kind", F.lit("")).alias("kind"), "filename", role(F.col("kind"), plain).alias("document_role"), status.alias("inventory_status"),
                     F.coalesce(items, F.array().cast("array<string>")).alias("sec_items"), F.coalesce(refs, F.array().cast("array<string>")).alias("exhibit_refs"),
@@ -49,7 +57,7 @@ def inventory(subs: DataFrame, cik: str, accession: str, payload: str) -> DataFr
 def missing_exhibits(docs: DataFrame) -> DataFrame:
     """Exhibits a primary filing refers to that its submission does not hold."""
     refs = docs.where("document_role = 'primary_filing'").select("cik", "accession", F.explode("exhibit_refs").alias("exhibit")).distinct()
-    have = docs.where("kind LIKE 'EX-%'").select("cik", "accession", F.substring("kind", 4, 100).alias("exhibit")).distinct()
+    have = docs.where("kind LIKE 'EX-%'").select("cik", "accession", F.expr("substr(kind, 4)").alias("exhibit")).distinct()
     return refs.join(have, ["cik", "accession", "exhibit"], "left_anti")
 
 

@@ -248,10 +248,10 @@ def bar_export(spark, sf_dir):
 
 
 @query("drop_reasons", f"""{PRICED},
-early AS (SELECT CASE WHEN NOT EXISTS (SELECT 1 FROM listed l WHERE l.ticker = e.ticker AND l.t_pre = e.t_pre) THEN 'no option chain as of the pre-event session'
-  ELSE 'could not recover spot from the chain (no liquid near-dated pair)' END AS reason FROM ev e LEFT JOIN spots s USING (ticker, t_pre) WHERE spot IS NULL),
-late AS (SELECT b.bucket || ': ' || CASE WHEN x.expiration_date IS NULL THEN 'no expiry in range' WHEN k IS NULL THEN 'no paired strikes near spot'
-  ELSE 'ATM pair did not trade on or near the pre-event session' END AS reason
+early AS (SELECT CASE WHEN NOT EXISTS (SELECT 1 FROM listed l WHERE l.ticker = e.ticker AND l.t_pre = e.t_pre) THEN 'no_chain'
+  ELSE 'no_spot' END AS reason FROM ev e LEFT JOIN spots s USING (ticker, t_pre) WHERE spot IS NULL),
+late AS (SELECT b.bucket || ': ' || CASE WHEN x.expiration_date IS NULL THEN 'no_expiry' WHEN k IS NULL THEN 'no_strikes'
+  ELSE 'no_trade' END AS reason
   FROM ev JOIN spots USING (ticker, t_pre) CROSS JOIN buckets b LEFT JOIN expiry x ON (x.ticker, x.t_pre, x.bucket) = (ev.ticker, ev.t_pre, b.bucket)
   LEFT JOIN strikes s ON (s.ticker, s.t_pre, s.bucket) = (ev.ticker, ev.t_pre, b.bucket)
   LEFT JOIN atm a ON (a.ticker, a.t_pre, a.bucket) = (ev.ticker, ev.t_pre, b.bucket) WHERE a.n IS NULL)
@@ -414,8 +414,8 @@ cq AS (SELECT ticker, event_date, day AS entry_date, bucket, q.strategy AS strat
   CASE q.strategy WHEN 'long_call' THEN 100 * c WHEN 'cash_secured_put' THEN 100 * CASE WHEN l - pl > 0 THEN l - pl ELSE 0 END
     ELSE 100 * greatest(s - CASE WHEN q.strategy IN ('protective_put', 'collar') THEN l ELSE 0 END + CASE WHEN q.strategy IN ('protective_put', 'collar') THEN pl ELSE 0 END
       - CASE WHEN q.strategy IN ('covered_call', 'collar') THEN u ELSE 0 END, 0) END AS loss0 FROM cs),
-cr AS (SELECT *, cap0 + cost AS cap, loss0 + cost AS loss, CASE WHEN s IS NULL OR s <= 0 THEN 'spot must be finite and positive' WHEN gaps > 0 THEN 'marks and volumes must be finite and nonnegative'
-  WHEN cap0 + cost <= 0 OR loss0 + cost <= 0 THEN 'trade must have positive capital and maximum loss' ELSE '' END AS reason FROM cq),
+cr AS (SELECT *, cap0 + cost AS cap, loss0 + cost AS loss, CASE WHEN s IS NULL OR s <= 0 THEN 'bad_spot' WHEN gaps > 0 THEN 'bad_marks'
+  WHEN cap0 + cost <= 0 OR loss0 + cost <= 0 THEN 'no_capital_at_risk' ELSE '' END AS reason FROM cq),
 capacity AS (SELECT ticker, event_date, entry_date, bucket, strategy, CASE WHEN reason = '' THEN cap END AS capital_per_contract, CASE WHEN reason = '' THEN loss END AS max_loss_per_contract,
   CASE WHEN reason = '' THEN loss0 END AS gross_max_loss_per_contract, CASE WHEN reason = '' THEN cost END AS round_trip_cost_per_contract,
   CASE WHEN reason = '' THEN floor(100000.0 / cap)::BIGINT END AS capital_contracts, CASE WHEN reason = '' THEN floor(100000.0::DOUBLE * 0.01::DOUBLE / loss)::BIGINT END AS risk_contracts,
