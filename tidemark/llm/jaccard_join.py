@@ -30,7 +30,7 @@ from tidemark.llm.common import keep_rows, query, staged_small, table
 from tidemark.llm.components import components
 from tidemark.staging import stage
 
-#: Shingles counted as frequent are at most this many: those held by at least 1 / FREQUENT of all set elements.
+#: Shingles counted as frequent are at most this many (16 bytes each, in every worker): all from the least power of two that leaves no more.
 FREQUENT = 1 << 20
 #: A batch reports shingles that this many of its documents hold.
 REPORTED = 2
@@ -111,8 +111,14 @@ def survey(docs: DataFrame, k: int) -> DataFrame:
 
 def frequent(surveyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The frequent shingles, sorted, and their counts; FREQUENT at most."""
-    total = surveyed.where("kind = 0").agg(F.sum("n")).first()[0] or 0
-    found = surveyed.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2 * REPORTED, -(-total // FREQUENT))).toArrow()
+    sums = stage(surveyed.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= 2 * REPORTED), "jaccard-frequent")
+    least, held = 1 << 62, 0
+    for r in sums.groupBy(F.floor(F.log2("n")).alias("power")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("power")).collect():  # 63 rows at most
+        held += r["n"]
+        if held > FREQUENT:
+            break
+        least = 1 << r["power"]
+    found = sums.where(F.col("n") >= least).toArrow()
     shingles, counts = found["id"].to_numpy().view(np.uint64), found["n"].to_numpy()
     order = np.argsort(shingles)
     return shingles[order], counts[order]
