@@ -145,12 +145,12 @@ def cost_sweep(spark, sf_dir):
 
 
 @query("grid_pivot", f"""{BT}, g AS (SELECT series, year(day) AS y, avg(net_ret) / stddev_samp(net_ret) * sqrt(252) AS s FROM bt GROUP BY ALL)
-SELECT series, {", ".join(f"round(max(s) FILTER (y = {y}), 6) AS y{y}" for y in range(1995, 2002))}, count(*) FILTER (s > 0) AS positive, round(min(s), 6) AS lowest, round(max(s), 6) AS highest FROM g GROUP BY 1""")
+SELECT series, string_agg(y || '=' || coalesce(round(s * 1000000)::BIGINT::VARCHAR, '-'), ',' ORDER BY y) AS by_year, count(*) FILTER (s > 0) AS positive, round(min(s), 6) AS lowest, round(max(s), 6) AS highest FROM g GROUP BY 1""")
 def grid_pivot(spark, sf_dir):
-    """A26, A10."""
+    """One row per series; the years are those of the data, each with its Sharpe ratio in millionths."""
     g = backtest(spark, sf_dir).groupBy("series", F.year("day").alias("y")).agg(se.moment_sharpe(F.col("net_ret")).alias("s"))
-    years = list(range(1995, 2002))
-    return g.groupBy("series").agg(*[F.round(F.max(F.when(F.col("y") == y, F.col("s"))), 6).alias(f"y{y}") for y in years], F.count_if(F.col("s") > 0).alias("positive"),
+    cell = F.concat(F.col("y").cast("string"), F.lit("="), F.coalesce(F.round(F.col("s") * 1000000).cast("bigint").cast("string"), F.lit("-")))
+    return g.groupBy("series").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", cell.alias("c")))), lambda x: x["c"]), ",").alias("by_year"), F.count_if(F.col("s") > 0).alias("positive"),
                                    F.round(F.min("s"), 6).alias("lowest"), F.round(F.max("s"), 6).alias("highest"))
 
 

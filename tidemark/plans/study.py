@@ -423,15 +423,14 @@ capacity AS (SELECT ticker, event_date, entry_date, bucket, strategy, CASE WHEN
 
 
 MONEY = ["capital_per_contract", "max_loss_per_contract", "gross_max_loss_per_contract", "round_trip_cost_per_contract"]
-NUDGE = 1.2345e-7   # prices are short decimals: moves exact half-way cases off the rounding boundary
 
 
-@query("capacity_plan", f"""{CAP_SQL} SELECT * EXCLUDE ({", ".join(MONEY)}), {", ".join(f"round({c} + {NUDGE}::DOUBLE, 5) AS {c}" for c in MONEY)}, least(capital_contracts, risk_contracts, volume_contracts) AS capacity_contracts FROM capacity""")
+@query("capacity_plan", f"""{CAP_SQL} SELECT * EXCLUDE ({", ".join(MONEY)}), {", ".join(f"floor({c} * 100000 + 0.5) / 100000 AS {c}" for c in MONEY)}, least(capital_contracts, risk_contracts, volume_contracts) AS capacity_contracts FROM capacity""")
 def capacity_plan(spark, sf_dir):
     """P30-P33, J7."""
     p, _, b = priced(spark, sf_dir)
     c = st.capacity(p, b, "post")
-    return c.withColumns({m: F.round(F.col(m) + NUDGE, 5) for m in MONEY})
+    return c.withColumns({m: F.floor(F.col(m) * 100000 + 0.5) / 100000 for m in MONEY})   # rounded the same way by any engine
 
 
 NET_SQL = CAP_SQL.replace(PRICED, RESULTS)
