@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import query, staged_small, table
-from tidemark.llm.tokens import pieces, vocabulary
+from tidemark.llm.tokens import pieces, small_batches, vocabulary
 from tidemark.staging import stage
 
 #: Production parameters: tokens of a sequence, width of a length class, id that ends a document.
@@ -119,7 +119,7 @@ def cut(docs: DataFrame, path: str, limit: int = LIMIT, end: int = END) -> DataF
 
     def run(batches):
         words = pieces(path, blanks=False)
-        for batch in batches:
+        for batch in small_batches(batches):
             ids, counts = words.encode(batch.column(1))
             doc, start, length, crc, total, at = [], [], [], [], [], 0
             for k, n in enumerate(counts.tolist()):
@@ -191,7 +191,7 @@ def sequences(docs: DataFrame, packed: DataFrame, path: str, limit: int = LIMIT,
 
     def run(batches):
         words = pieces(path, blanks=False)
-        for batch in batches:
+        for batch in small_batches(batches):
             ids, counts = words.encode(batch.column(1))
             ends = np.cumsum(counts)
             for k, stop in enumerate(ends.tolist()):

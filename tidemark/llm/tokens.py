@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker remembers (about 200 bytes each); when full it starts anew.
-MEMORY = 500_000
+MEMORY = 250_000
 #: Bytes of text that are cut at a time.
 STEP = 1 << 22
 # White space that a piece must not start with.
@@ -172,6 +172,17 @@ class Pieces:
         return np.concatenate([*parts, ids[last:]]), counts
 
 
+def small_batches(batches, rows: int = 512):
+    """Batches cut into smaller ones, so that the arrays made from one stay small; what a task remembers of pieces ends with the task."""
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+    finally:
+        for known in _known.values():
+            known.forget()
+
+
 _known: dict[tuple[str, bool], Pieces] = {}
 
 
