@@ -119,7 +119,7 @@ def map_by_value_desc(c: Column) -> Column:
 
 def relative_path_ok(c: Column, prefix: str) -> Column:
     """stays below `prefix`: no absolute path, no backslash, no parent steps after the prefix."""
-    rest = F.substring(c, len(prefix) + 1, 1_000_000)
+    rest = F.right(c, F.greatest(F.length(c) - len(prefix), F.lit(0)))
     return F.coalesce(c.startswith(prefix) & ~c.contains("\\")
                       & ~F.array_contains(F.split(rest, "/"), "..") & (F.length(rest) > 0), F.lit(False))
 

@@ -128,3 +128,29 @@ def comparison_metadata(docs: DataFrame, keys: Sequence[str], doc: str, public:
     order = F.struct(F.col(public), F.col(doc))
     g = docs.groupBy(*keys).agg(ok.alias("_ok"), F.min_by(doc, order).alias("_a"), F.max_by(doc, order).alias("_z"))
     return g.select(*keys, F.when(F.col("_ok"), F.col("_a")).alias("earliest"), F.when(F.col("_ok"), F.col("_z")).alias("latest"))
+
+
+# Readiness codes, and inventory statuses that count as covered.
+CLOCKS = (("public_at", "public_timestamp_unverified", "public_after_decision"), ("received_at", "receipt_timestamp_unavailable", "receipt_after_decision"), ("processed_at", "processing_timestamp_unavailable", "processing_after_decision"))
+COVERED = ("complete", "available", "retrieved", "ok")
+
+
+def readiness(inventory: DataFrame, transcripts: DataFrame, group: str, decision: Column, anticipation: bool = False, target: Column | None = None) -> DataFrame:
+    """(group, reason_codes): what keeps the documents of a group from being used at the decision time.
+
+    inventory: group, document_id, accession, identity_status, inventory_status, public_at, public_evidence, received_at;
+    transcripts: document_id, processed_at, normalized_text. Codes are few, so their sets stay small at any number of documents.
+    """
+    target = F.lit(None).cast("string") if target is None else target
+    d = inventory.join(transcripts, "document_id", "left")
+    codes = [F.when(decision.isNull(), "decision_timestamp_missing"), F.when(~F.col("identity_status").eqNullSafe("verified"), "submission_identity_unverified"),
+             F.when(~F.coalesce(F.col("inventory_status").isin(*COVERED), F.lit(False)), "document_coverage_incomplete"), F.when(F.trim(F.coalesce("normalized_text", F.lit(""))) == "", "document_text_missing")]
+    if anticipation:
+        codes += [F.when(target.isNull(), "target_accession_missing"), F.when(F.col("accession") == target, "target_filing_leakage")]
+    for clock, missing, late in CLOCKS:
+        at = F.col(clock)
+        unknown = at.isNull() | ~fn.public_evidence(F.col("public_evidence")) if clock == "public_at" else at.isNull()
+        after = (at >= decision) if anticipation and clock == "public_at" else (at > decision)
+        codes.append(F.when(unknown, missing).when(after, late))
+    found = d.select(F.col(group), F.explode_outer(F.array_compact(F.array(*codes))).alias("code"))
+    return found.groupBy(group).agg(F.array_sort(F.collect_set("code")).alias("reason_codes"))

@@ -197,3 +197,26 @@ def filing_extent(spark, sf_dir):
     """A38."""
     d = table(spark, sf_dir, "documents").withColumn("public_at", F.timestamp_seconds("doc_id"))
     return dc.comparison_metadata(d, ["source"], "doc_id", "public_at", F.col("n_chars").isNotNull())
+
+
+READY = """i AS (SELECT o_custkey AS customer, o_orderkey AS document_id, o_orderpriority AS accession, CASE WHEN o_orderstatus = 'P' THEN 'pending' ELSE 'verified' END AS identity_status,
+  CASE o_orderstatus WHEN 'O' THEN 'complete' WHEN 'F' THEN 'retrieved' ELSE 'incomplete_text' END AS inventory_status, o_orderdate AS public_at, CASE WHEN o_orderkey % 7 = 0 THEN 'unknown' ELSE 'archive' END AS public_evidence,
+  CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate END AS received_at FROM orders),
+t AS (SELECT l_orderkey AS document_id, max(l_shipdate) AS processed_at, max(l_linestatus) AS normalized_text FROM lineitem WHERE l_quantity > 5 GROUP BY 1),
+r AS (SELECT customer, unnest([CASE WHEN identity_status <> 'verified' THEN 'submission_identity_unverified' END, CASE WHEN inventory_status NOT IN ('complete', 'available', 'retrieved', 'ok') THEN 'document_coverage_incomplete' END,
+  CASE WHEN trim(coalesce(normalized_text, '')) = '' THEN 'document_text_missing' END, CASE WHEN accession = '1-URGENT' THEN 'target_filing_leakage' END,
+  CASE WHEN public_evidence = 'unknown' THEN 'public_timestamp_unverified' WHEN public_at >= DATE '1997-01-01' THEN 'public_after_decision' END,
+  CASE WHEN received_at IS NULL THEN 'receipt_timestamp_unavailable' WHEN received_at > DATE '1997-01-01' THEN 'receipt_after_decision' END,
+  CASE WHEN processed_at IS NULL THEN 'processing_timestamp_unavailable' WHEN processed_at > DATE '1997-01-01' THEN 'processing_after_decision' END]) AS code FROM i LEFT JOIN t USING (document_id))"""
+
+
+@query("readiness_reasons", f"""WITH {READY} SELECT customer, coalesce(string_agg(DISTINCT code, ',' ORDER BY code), '') AS reason_codes FROM r GROUP BY 1""")
+def readiness_reasons(spark, sf_dir):
+    """Orders as an inventory of customers, line items as transcripts."""
+    o, n = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").where("l_quantity > 5")
+    inventory = o.select(F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("document_id"), F.col("o_orderpriority").alias("accession"), F.when(F.col("o_orderstatus") == "P", "pending").otherwise("verified").alias("identity_status"),
+                         F.when(F.col("o_orderstatus") == "O", "complete").when(F.col("o_orderstatus") == "F", "retrieved").otherwise("incomplete_text").alias("inventory_status"), F.col("o_orderdate").alias("public_at"),
+                         F.when(F.col("o_orderkey") % 7 == 0, "unknown").otherwise(F.lit("archive")).alias("public_evidence"), F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderdate")).alias("received_at"))
+    transcripts = n.groupBy(F.col("l_orderkey").alias("document_id")).agg(F.max("l_shipdate").alias("processed_at"), F.max("l_linestatus").alias("normalized_text"))
+    r = dc.readiness(inventory, transcripts, "customer", F.lit("1997-01-01").cast("timestamp"), True, F.lit("1-URGENT"))
+    return r.select("customer", F.array_join("reason_codes", ",").alias("reason_codes"))
