@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker remembers (about 200 bytes each); when full it starts anew.
-MEMORY = 250_000
+MEMORY = 500_000
 #: Bytes of text that are cut at a time.
 STEP = 1 << 22
 # White space that a piece must not start with.
