@@ -63,7 +63,7 @@ def export_audit(spark, sf_dir):
     d = table(spark, sf_dir, "documents").withColumn("table_name", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")))
     e = d.select("table_name", F.when(F.col("doc_id") < 30, -1).otherwise(F.col("n_chars")).alias("expected_rows"),
                  F.when(F.col("lang") == "de", F.sha2(F.lit("x"), 256)).otherwise(F.upper(F.sha2("text", 256))).alias("expected_sha256"))
-    o = d.where("source <> 'src3'").select("table_name", F.sha2("text", 256).alias("observed_sha256"), F.substring("text", 1, 200).alias("head"))
+    o = d.where("source <> 'src3'").select("table_name", F.sha2("text", 256).alias("observed_sha256"), F.col("text").alias("head"))
     return au.export_audit(e, o)
 
 
@@ -152,12 +152,12 @@ def single_match(spark, sf_dir):
     return au.exactly_one(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").where("quality = 1"), ["doc_id"])
 
 
-@query("positional_match", """WITH s AS (SELECT conv_id, turn, role, length(text) AS n FROM conversations WHERE turn < 5), e AS (SELECT conv_id, turn, CASE WHEN turn = 2 THEN 'user' ELSE role END AS role, length(text) AS n FROM conversations WHERE turn > 0)
+@query("positional_match", """WITH s AS (SELECT conv_id, turn, role, text AS n FROM conversations WHERE turn < 5), e AS (SELECT conv_id, turn, CASE WHEN turn = 2 THEN 'user' ELSE role END AS role, text AS n FROM conversations WHERE turn > 0)
 SELECT coalesce(s.conv_id, e.conv_id) AS conv_id, coalesce(s.turn, e.turn) AS turn, CASE WHEN s.conv_id IS NULL THEN 'missing_saved' WHEN e.conv_id IS NULL THEN 'unexpected' WHEN s.role IS NOT DISTINCT FROM e.role AND s.n IS NOT DISTINCT FROM e.n THEN 'equal' ELSE 'different' END AS status
 FROM s FULL JOIN e ON s.conv_id = e.conv_id AND s.turn = e.turn""")
 def positional_match(spark, sf_dir):
     """J37."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").alias("n"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("n"))
     return au.positional_match(c.where("turn < 5"), c.where("turn > 0").withColumn("role", F.when(F.col("turn") == 2, "user").otherwise(F.col("role"))), ["conv_id", "turn"], ["role", "n"])
 
 

@@ -106,7 +106,7 @@ def filing_pairs(spark, sf_dir):
 @query("novelty_best", NOVELTY)
 def novelty_best(spark, sf_dir):
     """J31, J32, F9."""
-    p = stage(filing_pairs(spark, sf_dir), "pairs").repartition(64, "doc_id")
+    p = stage(filing_pairs(spark, sf_dir), "pairs").repartition("doc_id")
     b = p.select("doc_id", F.col("prior_doc_id").alias("prior_id"), F.inline(wd.best_prior(F.col("current"), F.col("prior"))))
     return rounded(b, ["similarity"])
 
