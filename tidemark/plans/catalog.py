@@ -10,6 +10,7 @@ from ..staging import stage
 from .registry import query, table
 from .study import rounded
 
+LEGAL = "(" + "|".join(fn.LEGAL_WORDS) + ")"
 AGG_CTE = "agg AS (SELECT user_id::VARCHAR AS company, ts::DATE AS filing_date, event_type AS form, count(*) AS n FROM events GROUP BY ALL)"
 
 
@@ -56,9 +57,9 @@ def latest_attributes(spark, sf_dir):
 AWARDS_CTE = """co AS (SELECT c_custkey AS cik, 'The ' || c_name || ' Holdings, Inc.' AS company_name, c_nationkey FROM customer),
 aw AS (SELECT o_custkey AS cik, CASE WHEN o_orderstatus = 'F' THEN c_name || ' CORP.' ELSE c_name || ' Partners' END AS recipient_name, o_totalprice AS award_amount, CASE WHEN o_orderpriority = '5-LOW' THEN '' ELSE o_orderpriority END AS awarding_agency
   FROM orders JOIN customer ON o_custkey = c_custkey),
-nm AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(lower(recipient_name), '\\b(inc|incorporated|corp|corporation|co|company|ltd|llc|plc|holding|holdings|group|the)\\b\\.?', ' ', 'g'), '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g')) AS a,
-  trim(regexp_replace(regexp_replace(regexp_replace(lower(company_name), '\\b(inc|incorporated|corp|corporation|co|company|ltd|llc|plc|holding|holdings|group|the)\\b\\.?', ' ', 'g'), '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g')) AS b FROM aw JOIN co USING (cik)),
-fl AS (SELECT *, a = b AS exact_name_match FROM nm)"""
+nm AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(lower(recipient_name), '\\b@LEGAL@\\b\\.?', ' ', 'g'), '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g')) AS a,
+  trim(regexp_replace(regexp_replace(regexp_replace(lower(company_name), '\\b@LEGAL@\\b\\.?', ' ', 'g'), '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g')) AS b FROM aw JOIN co USING (cik)),
+fl AS (SELECT *, a = b AS exact_name_match FROM nm)""".replace("@LEGAL@", LEGAL)
 
 
 def companies(spark, sf_dir):
@@ -90,7 +91,7 @@ def award_manifest(spark, sf_dir):
 
 
 @query("search_names", r"""WITH n AS (SELECT c_custkey, 'The ' || c_name || ' Holdings, Inc.' AS nm FROM customer)
-SELECT c_custkey, coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_replace(nm, '(?i)\b(inc|incorporated|corp|corporation|co|company|ltd|llc|plc|holding|holdings|group|the)\b\.?', ' ', 'g'), '[^\w&'' -]+', ' ', 'g'), '\s+', ' ', 'g')), ''), nm) AS search_name FROM n""")
+SELECT c_custkey, coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_replace(nm, '(?i)\b@LEGAL@\b\.?', ' ', 'g'), '[^\w&'' -]+', ' ', 'g'), '\s+', ' ', 'g')), ''), nm) AS search_name FROM n""".replace("@LEGAL@", LEGAL))
 def search_names(spark, sf_dir):
     """F3."""
     c = companies(spark, sf_dir)
