@@ -24,7 +24,7 @@ SAMPLE, WINDOWS, WINDOW = 4000, 4, 192
 WIDTHS, FILTERS, DIMS = (2, 3, 4, 5), 8, 8
 EPOCHS, BATCH, RATE = 6, 128, 0.004
 #: The pipeline rejects texts without letters and those whose best language has a lower score.
-FLOOR = 0.4
+FLOOR = 0.3
 _SPAN = max(WIDTHS)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
