@@ -181,6 +181,7 @@ def small_batches(batches, rows: int = 512):
     finally:
         for known in _known.values():
             known.forget()
+        pa.default_memory_pool().release_unused()
 
 
 _known: dict[tuple[str, bool], Pieces] = {}
