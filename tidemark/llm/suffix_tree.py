@@ -1,16 +1,20 @@
 """Language-model scoring with a probabilistic suffix tree over bytes that smooths the words' counts, beside a unigram base over words.
 
-Texts are taken as their lower-case words joined by blanks and one end symbol. The tree keeps contexts of 1 to DEPTH bytes that are frequent
-enough (at least P_MIN of all positions, which bounds their number by DEPTH / P_MIN) and whose next-symbol distribution diverges from their
-parent's by more than its parameters cost (count * KL divergence against half the log of the count for each symbol). A kept node's distribution
-is smoothed towards its nearest kept ancestor, with as much weight as it has different next symbols. A symbol is scored by the longest kept
-suffix of what stands before it. For that the contexts become one automaton, in which many stretches of text advance at once.
+Texts are taken as their lower-case words joined by blanks and one end symbol. The tree keeps contexts of 1 to DEPTH bytes that occur at least
+MIN_COUNT times, whatever the size of the corpus, and whose next-symbol distribution diverges from their parent's by more than its parameters
+cost (count * KL divergence against half the log of the count for each symbol). A kept node's distribution is smoothed towards its nearest kept
+ancestor, with as much weight as it has different next symbols. A symbol is scored by the longest kept suffix of what stands before it.
+
+The number of contexts grows with the corpus, so no process holds them all. A symbol's probability depends on its (DEPTH + 1)-gram alone. The
+grams of all batches are dealt to shards by the last SPLIT bytes of their context; a shard has all longer contexts with these bytes, decides
+which are kept, and gives each batch the probabilities of its grams. The contexts of fewer bytes are decided once, from (SPLIT)-grams' counts.
 
 A word's probability is the mean of its base share and of the tree's probability of its bytes, with the blank or end behind them, after what
 precedes them: common words are predicted by their counts, rare ones by how they are spelt. The end of a text has its base share.
 
-The corpus is read once. Each batch becomes its own dictionary of words, its texts as codes, and counts of byte (DEPTH + 1)-grams; words are
-counted over all batches in one shuffle of dictionary rows, never of one row per token, and go back to their batch with their counts.
+The corpus is read once. Each batch becomes its own dictionary of words, its texts as codes, and its (DEPTH + 1)-grams with their counts in
+training texts; words are counted over all batches in one shuffle of dictionary rows, never of one row per token, and go back to their batch with
+their counts.
 
 Defined cases: a null text is empty and scores its end symbol alone; a null doc_id counts as training text; rows that repeat a doc_id are separate
 documents; bytes never seen in training share the root's smoothing; an empty table gives an empty result; further columns are ignored.
@@ -18,6 +22,7 @@ documents; bytes never seen in training share the root's smoothing; an empty tab
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 
 import numpy as np
@@ -27,16 +32,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import query, staged_small, table
+from tidemark.llm.common import query, table
 from tidemark.staging import stage
 
-#: Bytes of the longest context; least share of positions a context needs.
-DEPTH, P_MIN = 5, 1e-5
+#: Bytes of the longest context; least count of a context; last bytes of a context by which it is dealt to a shard.
+DEPTH, MIN_COUNT, SPLIT = 6, 2, 3
 #: Symbols that one step of the automaton's lanes covers, and bytes taken at a time.
-STRETCH, STEP = 256, 1 << 21
+STRETCH, STEP = 256, 1 << 20
 END = 10
 LN10 = float(np.log(10))
-_ROWS = "kind int, batch long, code int, word string, n long, doc_ids array<long>, words array<int>, held array<boolean>, codes binary"
+_ROWS = "kind int, batch long, code int, word string, n long, doc_ids array<long>, words array<int>, held array<boolean>, codes binary, counts binary"
 
 
 def held_out(doc_id) -> bool:
@@ -89,24 +94,46 @@ def _texts(codes: np.ndarray, words: np.ndarray, dictionary: Words):
         yield i, j, stream, begin
 
 
-def _grams(stream: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(DEPTH + 1)-grams that end at each byte of the texts and at their end symbols, with counts."""
+def _packed(stream: np.ndarray) -> np.ndarray:
+    """The (DEPTH + 1)-gram that ends at each byte after the first DEPTH."""
     packed = np.zeros(len(stream) - DEPTH, np.int64)
     for k in range(DEPTH + 1):
         packed <<= 8
         packed |= stream[k:len(stream) - DEPTH + k]
-    keep = np.ones(len(packed), bool)
+    return packed
+
+
+def _scored(begin: np.ndarray, size: int) -> np.ndarray:
+    """Which bytes belong to texts or are their end symbols, not the rest of a context of end symbols."""
+    keep = np.ones(size, bool)
     for k in range(1, DEPTH):
         keep[begin[1:] - DEPTH - k] = False
-    return np.unique(packed[keep], return_counts=True)
+    return keep
+
+
+def _grams(stream: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(DEPTH + 1)-grams that end at each byte of the texts and at their end symbols, with counts."""
+    packed = _packed(stream)
+    return np.unique(packed[_scored(begin, len(packed))], return_counts=True)
+
+
+def _squeeze(numbers: np.ndarray) -> bytes:
+    """Non-negative numbers byte plane by byte plane."""
+    return zlib.compress(np.ascontiguousarray(numbers.astype(">i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unsqueeze(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view(">i8").reshape(-1).astype(np.int64)
 
 
 def survey(docs: DataFrame) -> DataFrame:
-    """One staged table of three kinds of rows: 0 texts of a batch as codes, 1 words of a batch with their count in training texts, 2 grams of training texts."""
+    """One staged table of four kinds of rows: 0 texts of a batch as codes, 1 words of a batch with their count in training texts, 2 grams of a batch in a
+    shard with their count in training texts (0 for grams of held-out texts only), 3 their last SPLIT bytes, counted likewise."""
+    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         batch_id = TaskContext.get().partitionId() << 24
-        empty = {"kind": pa.int32(), "batch": pa.int64(), "code": pa.int32(), "word": pa.string(), "n": pa.int64(), "doc_ids": pa.list_(pa.int64()), "words": pa.list_(pa.int32()), "held": pa.list_(pa.bool_()), "codes": pa.binary()}
+        empty = {"kind": pa.int32(), "batch": pa.int64(), "code": pa.int32(), "word": pa.string(), "n": pa.int64(), "doc_ids": pa.list_(pa.int64()), "words": pa.list_(pa.int32()), "held": pa.list_(pa.bool_()), "codes": pa.binary(), "counts": pa.binary()}
 
         def rows(size: int, /, **columns) -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({k: columns.get(k, pa.nulls(size, kind)) for k, kind in empty.items()})
@@ -120,6 +147,8 @@ def survey(docs: DataFrame) -> DataFrame:
             words = np.diff(np.append(0, np.cumsum(full.to_numpy(zero_copy_only=False)))[offsets - offsets[0]])
             coded = flat.filter(full).dictionary_encode()
             codes = coded.indices.to_numpy().astype(np.int32)
+            del batch, split, flat, full, offsets
+            _release()
             held = np.array([held_out(i) for i in ids], bool)
             train = np.repeat(~held, words)
             count = np.bincount(codes[train], minlength=len(coded.dictionary))
@@ -129,46 +158,106 @@ def survey(docs: DataFrame) -> DataFrame:
             if n:
                 yield rows(n, kind=pa.array(np.full(n, 1, np.int32)), batch=pa.array(np.full(n, batch_id, np.int64)), code=pa.array(np.arange(n, dtype=np.int32)), word=coded.dictionary.cast(pa.string()), n=pa.array(count.astype(np.int64)))
             dictionary, seen = Words(coded.dictionary.cast(pa.large_binary())), []
-            for _, _, stream, begin in _texts(codes[train], words[~held], dictionary):
-                seen.append(_grams(stream, begin))
-                if len(seen) > 8:
-                    seen = [_merge(seen)]
+            del coded
+            for of, some, times in ((train, ~held, 1), (~train, held, 0)):
+                for _, _, stream, begin in _texts(codes[of], words[some], dictionary):
+                    grams, counts = _grams(stream, begin)
+                    seen.append((grams, counts * times))
+                    if len(seen) > 3:
+                        seen = [_merge(seen)]
             if seen:
                 grams, counts = _merge(seen)
-                yield rows(len(grams), kind=pa.array(np.full(len(grams), 2, np.int32)), batch=pa.array(grams), n=pa.array(counts))
+                seen.clear()
+                ends, ended = _merge([(grams & ((1 << 8 * SPLIT) - 1), counts)])
+                yield rows(len(ends), kind=pa.array(np.full(len(ends), 3, np.int32)), code=pa.array(ends.astype(np.int32)), n=pa.array(ended.astype(np.int64)))
+                shard = ((grams >> 8 & ((1 << 8 * SPLIT) - 1)) * 2654435761 >> 16) % shards
+                order = np.argsort(shard, kind="stable")
+                found, first = np.unique(shard[order], return_index=True)
+                parts = np.split(order, first[1:])
+                yield rows(len(found), kind=pa.array(np.full(len(found), 2, np.int32)), batch=pa.array(np.full(len(found), batch_id, np.int64)), code=pa.array(found.astype(np.int32)),
+                           codes=pa.array([_squeeze(grams[x]) for x in parts], pa.binary()), counts=pa.array([_squeeze(counts[x]) for x in parts], pa.binary()))
 
-    return stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _ROWS), "suffix-survey")
+    return stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_released(run), _ROWS), "suffix-survey")
 
 
 def _merge(parts) -> tuple[np.ndarray, np.ndarray]:
-    grams, back = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
-    return grams, np.bincount(back, np.concatenate([c for _, c in parts]), len(grams)).astype(np.int64)
-
-
-def tree(grams: DataFrame, depth: int = DEPTH, p_min: float = P_MIN) -> list[tuple[int, int, int, int]]:
-    """(length, context, next, count) of the root and all kept contexts. At most depth / p_min contexts reach the driver."""
-    # each length from the next longer one; a gram is a context and its next symbol
-    levels, level = [], grams
-    for d in range(depth, -1, -1):
-        level = stage(level.groupBy(F.expr(f"gram % {1 << 8 * (d + 1)}L").alias("gram")).agg(F.sum("n").alias("n")), f"suffix-level-{d}")
-        levels.append(level.select(F.lit(d).alias("len"), F.expr("shiftright(gram, 8)").alias("context"), (F.col("gram") % 256).alias("next"), "n"))
-    everything = level.agg(F.sum("n")).first()[0] or 0
-    pairs = levels[0]
-    for more in levels[1:]:
-        pairs = pairs.unionByName(more)
-    sums = pairs.groupBy("len", "context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("symbols"))
-    kept_sums, _ = staged_small(sums.where(F.col("total") >= p_min * everything), "suffix-contexts")  # (depth + 1) / p_min at most
-    rows = pairs.join(kept_sums, ["len", "context"])
-    parent = rows.select((F.col("len") + 1).alias("len"), F.col("context").alias("parent"), "next", (F.col("n") / F.col("total")).alias("q"))
-    child = rows.where("len > 0").withColumn("parent", F.expr("context % shiftleft(1L, 8 * (len - 1))"))
-    tested = child.join(parent, ["len", "parent", "next"]).groupBy("len", "context", "total", "symbols").agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("q"))).alias("gain"))
-    kept = tested.where(F.col("gain") > 0.5 * F.col("symbols") * F.log("total")).select("len", "context")
-    out = pairs.join(kept, ["len", "context"]).select("len", "context", "next", "n").unionByName(pairs.where("len = 0").select("len", "context", "next", "n"))
-    return list(zip(*(c.to_pylist() for c in out.toArrow().columns)))
+    grams, counts = np.concatenate([g for g, _ in parts]), np.concatenate([c for _, c in parts]).astype(np.int32)
+    order = np.argsort(grams, kind="stable")
+    grams, counts = grams[order], counts[order]
+    first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])) if len(grams) else np.zeros(0, np.int64)
+    return grams[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def _released(task):
+    """Its rows; at the end, memory that the worker would keep while it is idle goes back to the system."""
+    def run(*args):
+        try:
+            yield from task(*args)
+        finally:
+            _release()
+    return run
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def deepen(grams: np.ndarray, n: np.ndarray, lengths: range, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(p, q) of each gram's last symbol after contexts of up to max(lengths) bytes: by the longest kept context, and the share of the longest one itself.
+
+    `p` and `q` are the same after contexts one byte shorter than `lengths`. `grams` are distinct and have all counts of the contexts of `lengths`.
+    """
+    for d in lengths:
+        _, first, back = np.unique(grams & ((1 << 8 * (d + 1)) - 1), return_index=True, return_inverse=True)
+        count = np.bincount(back, n, len(first))
+        _, of = np.unique(grams[first] >> 8 & ((1 << 8 * d) - 1), return_inverse=True)
+        total, symbols = np.bincount(of, count), np.bincount(of, count > 0)
+        share = count / np.maximum(total, 1)[of]
+        gain = np.bincount(of, count * np.log(np.divide(share, q[first], out=np.ones(len(first)), where=count > 0)))
+        kept = (total >= MIN_COUNT) & (gain > 0.5 * symbols * np.log(np.maximum(total, 1)))
+        p = np.where(kept[of], (count + symbols[of] * p[first]) / np.maximum(total + symbols, 1)[of], p[first])[back]
+        q = share[back]
+    return p, q
+
+
+def short(ends: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted SPLIT-grams with their (p, q) after contexts of up to SPLIT - 1 bytes."""
+    order = np.argsort(ends)
+    ends, n = ends[order], n[order]
+    symbol = np.bincount(ends & 255, n, 256)
+    p, q = (symbol + 0.5) / (symbol.sum() + 128), symbol / max(symbol.sum(), 1)
+    return ends, *deepen(ends, n, range(1, SPLIT), p[ends & 255], q[ends & 255])
+
+
+def long(grams: np.ndarray, n: np.ndarray, shorter: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Probabilities of all grams of a shard."""
+    at = np.searchsorted(shorter[0], grams & ((1 << 8 * SPLIT) - 1))
+    return deepen(grams, n, range(SPLIT, DEPTH + 1), shorter[1][at], shorter[2][at])[0]
+
+
+def probabilities(survey_rows: DataFrame) -> DataFrame:
+    """(batch, grams, logs): the grams of a batch in a shard and their log10 probabilities."""
+    ends = survey_rows.where("kind = 3").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # at most 256 ** SPLIT rows, some ten thousand in texts
+    shorter = survey_rows.sparkSession.sparkContext.broadcast(short(ends["code"].to_numpy().astype(np.int64), ends["n"].to_numpy()))
+
+    def run(shard: pa.Table) -> pa.Table:
+        parts = [_unsqueeze(x.as_py()) for x in shard["codes"]]
+        grams, back = np.unique(np.concatenate(parts), return_inverse=True)
+        n = np.bincount(back, np.concatenate([_unsqueeze(x.as_py()) for x in shard["counts"]]), len(grams))
+        logs = np.log10(long(grams, n, shorter.value)).astype(np.float32)[back]
+        del grams, back, n
+        _release()
+        return pa.table({"batch": shard["batch"], "grams": shard["codes"], "logs": pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(logs, np.cumsum([len(x) for x in parts])[:-1])], pa.binary())})
+
+    return survey_rows.where("kind = 2").select("batch", "code", "codes", "counts").groupBy("code").applyInArrow(run, "batch long, grams binary, logs binary")
 
 
 class Automaton:
-    """States are the prefixes of kept contexts; each predicts by its longest kept suffix. Tables are (state, symbol), log10 probabilities."""
+    """A tree in one process, no longer used by `score`. States are the prefixes of kept contexts; each predicts by its longest kept suffix. Tables are (state, symbol), log10 probabilities."""
 
     def __init__(self, rows: list[tuple[int, int, int, int]], depth: int = DEPTH):
         used = np.unique([r[2] for r in rows]).astype(np.int64)
@@ -224,16 +313,9 @@ class Automaton:
         return out.T.reshape(-1)[:n]
 
 
-def train(survey_rows: DataFrame) -> Automaton:
-    grams = survey_rows.where("kind = 2").groupBy(F.col("batch").alias("gram")).agg(F.sum("n").alias("n"))
-    return Automaton(tree(stage(grams, "suffix-grams")))
-
-
 def score(docs: DataFrame) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
     rows = survey(docs)
-    model = spark.sparkContext.broadcast(train(rows))  # at most DEPTH / P_MIN contexts
     texts = rows.where("kind = 0").select("batch", "doc_ids", "words", "held", "codes")
     by_word = Window.partitionBy("word")
     words = rows.where("kind = 1").select("batch", "code", "word", "n").withColumns({"total": F.sum("n").over(by_word), "nth": F.row_number().over(by_word.orderBy("batch"))})
@@ -244,8 +326,15 @@ def score(docs: DataFrame) -> DataFrame:
     divisor = np.log10(all_tokens + 0.5 * (distinct + 1))
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        spelt_in, right = right.filter(pc.is_valid(right["grams"])), right.filter(pc.is_null(right["grams"]))
         order = np.argsort(right["code"].to_numpy(), kind="stable")
         total = right["total"].to_numpy()[order]
+        grams = np.concatenate([np.zeros(0, np.int64), *(_unsqueeze(x.as_py()) for x in spelt_in["grams"])])
+        logs = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(zlib.decompress(x.as_py()), np.float32) for x in spelt_in["logs"])])
+        by_gram = np.argsort(grams)
+        grams, logs = grams[by_gram], logs[by_gram]
+        del spelt_in, by_gram
+        _release()
         dictionary = Words(right["word"].combine_chunks().cast(pa.large_binary()).take(pa.array(order)))
         worth = np.log10(total + 0.5) - divisor
         end_worth = np.log10(end_count + 0.5) - divisor
@@ -256,20 +345,22 @@ def score(docs: DataFrame) -> DataFrame:
         base = np.array([worth[codes[a:b]].sum() for a, b in zip(bounds, bounds[1:])]) + end_worth
         own = np.zeros(len(n))
         for i, j, stream, begin in _texts(codes, n, dictionary):
-            value = model.value.score(stream)
-            keep = np.ones(len(value), bool)
-            for k in range(1, DEPTH):
-                keep[begin[1:] - DEPTH - k] = False
+            packed = _packed(stream)
+            packed, back = np.unique(packed[_scored(begin, len(packed))], return_inverse=True)
+            value = logs[np.searchsorted(grams, packed)][back]
             some, empty = codes[bounds[i]:bounds[j]], np.flatnonzero(n[i:j] == 0)
             # bytes of a word and what ends it; a text without words has only its end
             size = np.insert(dictionary.size[some], bounds[i + empty] - bounds[i], 1)
-            spelt = np.add.reduceat(value[keep].astype(np.float64), np.cumsum(size) - size)
+            spelt = np.add.reduceat(value.astype(np.float64), np.cumsum(size) - size)
             word = np.delete(spelt, bounds[i + empty] - bounds[i] + np.arange(len(empty)))
             own[i:j] = np.diff(np.append(0, np.cumsum((np.logaddexp(worth[some] * LN10, word * LN10) - np.log(2)) / LN10))[bounds[i:j + 1] - bounds[i]]) + end_worth
+        del grams, logs, dictionary
+        _release()
         return pa.table({"doc_id": left["doc_ids"][0].values, "held_out": left["held"][0].values, "n_tokens": pa.array(n + 1), "n_known": pa.array(cut(total[codes] > 0).astype(np.int64) + (end_count > 0)),
                          "train_tokens": pa.array(np.full(len(n), all_tokens, np.int64)), "base_score": pa.array(base), "score": pa.array(own)})
 
-    return texts.groupBy("batch").cogroup(words.select("batch", "code", "word", "total").groupBy("batch")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    right = words.select("batch", "code", "word", "total").unionByName(probabilities(rows), allowMissingColumns=True)
+    return texts.groupBy("batch").cogroup(right.groupBy("batch")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 @query("op7_suffix_tree")
