@@ -23,7 +23,8 @@ LICENSES = (
     ("bsd-4", "bsd", "(bsd 4 clause|4 clause bsd|original bsd|old bsd)( licen[cs]e)?"),
     ("bsl-1", "boost", "boost software licen[cs]e( version| v)? ?1( 0)?"),
     ("busl-1.1", "business", "business source licen[cs]e( version| v)? ?1 1"),
-    ("cc-by", "by", "(cc by|creative commons attribution) [1-4] [05]"),
+    ("cc-by", "by", "cc by [1-4] [05]"),
+    ("cc-by", "attribution", "creative commons attribution [1-4] [05]"),
     ("cc-by-nc", "nc", "cc by nc( [1-4] [05])?"),
     ("cc-by-nc", "noncommercial", "creative commons attribution noncommercial( [1-4] [05])?"),
     ("cc-by-nc-nd", "nd", "cc by nc nd( [1-4] [05])?"),
@@ -58,7 +59,8 @@ LICENSES = (
     ("lgpl-3", "lesser", "(gnu )?lesser general public licen[cs]e( version| v)? ?3( 0)?"),
     ("lgpl-3", "lgpl", "(gnu )?lgpl ?v?3( 0)?( only| or later)?"),
     ("lppl-1.3", "latex", "latex project public licen[cs]e( version| v)? ?1 3c?"),
-    ("mit", "mit", "(mit|expat|mit x11|mit expat) licen[cs]e"),
+    ("mit", "mit", "(mit|mit x11|mit expat) licen[cs]e"),
+    ("mit", "expat", "expat licen[cs]e"),
     ("mit-0", "mit", "(mit 0|mit no attribution)( licen[cs]e)?"),
     ("mpl-1.1", "mozilla", "mozilla public licen[cs]e( version| v)? ?1 1"),
     ("mpl-2", "mozilla", "mozilla public licen[cs]e( version| v)? ?2( 0)?"),
@@ -79,7 +81,7 @@ LICENSES = (
     ("qpl-1", "q", "q public licen[cs]e( version| v)? ?1( 0)?"),
     ("ruby", "ruby", "ruby licen[cs]e"),
     ("sspl-1", "server", "server side public licen[cs]e( version| v)? ?1"),
-    ("unlicense", "unlicense", "unlicen[cs]e"),
+    ("unlicense", "unlicen", "unlicen[cs]e"),
     ("upl-1", "universal", "universal permissive licen[cs]e( version| v)? ?1( 0)?"),
     ("vim", "vim", "vim licen[cs]e"),
     ("w3c", "w3c", "w3c( software)? licen[cs]e"),
@@ -119,7 +121,7 @@ BASE = (
 )
 
 # Any text with a match has one of these (before its words are taken apart).
-GATE = r"(?i)licen[cs]|spdx|\bcc0|\bcc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by|creative|gpl|apache|permission|redistribution|endorse|advertising|altered|unencumbered|waived|reserved|domain|mpl|bsd|wtfpl|disclaimer|the[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+fuck|mit[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+(0|no)|cecill"
+GATE = r"(?i)licen[cs]|spdx|(?<![0-9A-Za-z\x{80}-\x{10FFFF}])cc(0|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by)|creative|gpl|apache|permission|redistribution|endorse|advertising|altered|unencumbered|waived|reserved|domain|mpl|bsd|wtfpl|disclaimer|the[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+fuck|mit[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+(0|no)|cecill"
 
 # Form of mention: words around the name, priority, confidence.
 FORMS = (
