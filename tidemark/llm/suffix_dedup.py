@@ -21,8 +21,6 @@ removed; a null doc_id comes after every other id; an empty table gives an empty
 
 from __future__ import annotations
 
-import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
