@@ -8,7 +8,7 @@ import importlib
 
 from tidemark.llm.common import ORACLES, QUERIES
 
-_MODULES = ("token_files", "embedding_links", "source_mix", "language_id", "jaccard_join", "url_filter", "suffix_tree", "packing", "license_scan", "exact_dedup", "suffix_dedup", "periodic_runs")
+_MODULES = ("token_files", "embedding_links", "source_mix", "language_id", "jaccard_join", "url_filter", "suffix_tree", "packing", "license_scan", "exact_dedup", "suffix_dedup", "periodic_runs", "token_alignment")
 
 
 def load() -> tuple[dict, dict]:
