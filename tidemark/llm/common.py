@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +51,26 @@ def keep_rows(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     """Rows of `docs` whose doc_id is among `ids` (one column, any name); null ids compare as equal. All columns of `docs` stay as they are."""
     ids, _ = staged_small(ids.toDF("__kept"), name)
     return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
+
+
+def release() -> None:
+    """Memory that a worker would keep while it is idle goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def sliced(batches, limit: int, column: int = 1, rows: int = 4096):
+    """Batches of few documents: those of about `limit` bytes of text in `column`, a longer text by itself. Frees what the task held when it ends."""
+    try:
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
+            i = 0
+            while i < batch.num_rows:
+                j = min(i + rows, max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + limit, "right"))))
+                yield batch.slice(i, j - i)
+                i = j
+    finally:
+        release()

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import keep_rows, query, staged_small, table
+from tidemark.llm.common import keep_rows, query, sliced, staged_small, table
 from tidemark.llm.components import components
 from tidemark.staging import stage
 
@@ -34,6 +34,8 @@ from tidemark.staging import stage
 FREQUENT = 1 << 20
 #: A batch reports shingles that this many of its documents hold.
 REPORTED = 2
+#: Bytes of text whose shingles are made at a time.
+SLICE = 1 << 22
 #: Slots of the contraction; members up to which a region is joined pair by pair; sets of one side of a tile.
 SLOTS, SMALL, TILE = 64, 512, 128
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -92,16 +94,24 @@ def _source(docs: DataFrame) -> DataFrame:
 def survey(docs: DataFrame, k: int) -> DataFrame:
     """Staged: kind 0: doc_id, n (set size), id (signature of the set), slots (the set counted into SLOTS); kind 1: id (a shingle), n (documents of a batch that hold it)."""
 
-    def run(batches):
-        for batch in batches:
-            flat, sizes = shingle_sets(batch.column(1), k)
+    def rows(batch):
+        for some in sliced([batch], SLICE):
+            flat, sizes = shingle_sets(some.column(1), k)
             ids, slots = np.zeros(len(sizes), np.int64), np.zeros((len(sizes), SLOTS), np.int32)
             for d, own in _each(flat, sizes):
                 ids[d] = _signature(own)
                 slots[d] = np.bincount((own & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
             counted = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * SLOTS), pa.array(slots.reshape(-1)))
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.zeros(len(sizes), np.int32)), "doc_id": batch.column(0), "n": pa.array(sizes), "id": pa.array(ids), "slots": counted})
-            shingles, counts = np.unique(flat, return_counts=True)
+            yield flat, pa.RecordBatch.from_pydict({"kind": pa.array(np.zeros(len(sizes), np.int32)), "doc_id": some.column(0), "n": pa.array(sizes), "id": pa.array(ids), "slots": counted})
+
+    def run(batches):
+        for batch in batches:
+            held = []
+            for flat, out in rows(batch):
+                held.append(flat)
+                yield out
+            shingles, counts = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
+            held.clear()
             keep = counts >= REPORTED
             n = int(keep.sum())
             yield pa.RecordBatch.from_pydict({"kind": pa.array(np.ones(n, np.int32)), "doc_id": pa.nulls(n, pa.int64()), "n": pa.array(counts[keep].astype(np.int64)), "id": pa.array(shingles[keep].view(np.int64)), "slots": pa.nulls(n, pa.list_(pa.int32()))})
@@ -130,7 +140,7 @@ def windows(docs: DataFrame, k: int, percent: int, common: tuple[np.ndarray, np.
 
     def run(batches):
         shingles, counts = shared.value
-        for batch in batches:
+        for batch in sliced(batches, SLICE):
             flat, sizes = shingle_sets(batch.column(1), k)
             often = np.zeros(len(flat), np.int64)
             if len(shingles):
@@ -159,7 +169,7 @@ def sets_of(docs: DataFrame, profile: DataFrame, ids: DataFrame, k: int) -> Data
     """Staged sets of the given ids (one column): id, n, items. Reads the texts of their first documents only."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, SLICE):
             flat, sizes = shingle_sets(batch.column(1), k)
             own = [x for _, x in _each(flat, sizes)]
             yield pa.RecordBatch.from_pydict({"id": pa.array([_signature(x) for x in own], pa.int64()), "n": pa.array([len(x) for x in own], pa.int32()), "items": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes[sizes > 0])).astype(np.int32)), pa.array(flat.view(np.int64)))})

@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import query, table
+from tidemark.llm.common import query, sliced, table
 
 #: Production parameters: least length of a run, and least exponent.
 LENGTH, EXPONENT = 6, 4
 #: Bytes of text whose documents share a grammar.
-SLICE = 1 << 22
+SLICE = 1 << 21
 #: Pair levels at most; a level leaves about three quarters of the symbols.
 LEVELS = 120
 
@@ -151,18 +151,6 @@ def unrolled(words: list, doc_id: int | None) -> list:
     return words[:a] + (piece * (-(-(n - a) // p)))[:n - a]
 
 
-def sliced(batches, limit: int):
-    """Batches of few documents: those of about `limit` bytes of their second column."""
-    for batch in batches:
-        sizes = np.cumsum([len(x) if x is not None else 0 for x in batch.column(1).to_pylist()]) if batch.num_rows else []
-        i = 0
-        while i < batch.num_rows:
-            j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + limit, "right")))
-            yield batch.slice(i, j - i)
-            i = j
-        pa.default_memory_pool().release_unused()
-
-
 _OUT = "doc_id long, n_runs long, start long, length long, period long, exponent_milli long, runs string, collapsed binary"
 
 

@@ -22,7 +22,6 @@ documents; bytes never seen in training share the root's smoothing; an empty tab
 
 from __future__ import annotations
 
-import ctypes
 import zlib
 
 import numpy as np
@@ -32,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import query, table
+from tidemark.llm.common import release, query, table
 from tidemark.staging import stage
 
 #: Bytes of the longest context; least count of a context; last bytes of a context by which it is dealt to a shard.
@@ -148,7 +147,7 @@ def survey(docs: DataFrame) -> DataFrame:
             coded = flat.filter(full).dictionary_encode()
             codes = coded.indices.to_numpy().astype(np.int32)
             del batch, split, flat, full, offsets
-            _release()
+            release()
             held = np.array([held_out(i) for i in ids], bool)
             train = np.repeat(~held, words)
             count = np.bincount(codes[train], minlength=len(coded.dictionary))
@@ -194,18 +193,10 @@ def _released(task):
         try:
             yield from task(*args)
         finally:
-            _release()
+            release()
     return run
 
 
-def _release() -> None:
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):  # not glibc
-        pass
-
-
 def deepen(grams: np.ndarray, n: np.ndarray, lengths: range, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(p, q) of each gram's last symbol after contexts of up to max(lengths) bytes: by the longest kept context, and the share of the longest one itself.
 
@@ -250,7 +241,7 @@ def probabilities(survey_rows: DataFrame) -> DataFrame:
         n = np.bincount(back, np.concatenate([_unsqueeze(x.as_py()) for x in shard["counts"]]), len(grams))
         logs = np.log10(long(grams, n, shorter.value)).astype(np.float32)[back]
         del grams, back, n
-        _release()
+        release()
         return pa.table({"batch": shard["batch"], "grams": shard["codes"], "logs": pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(logs, np.cumsum([len(x) for x in parts])[:-1])], pa.binary())})
 
     return survey_rows.where("kind = 2").select("batch", "code", "codes", "counts").groupBy("code").applyInArrow(run, "batch long, grams binary, logs binary")
@@ -334,7 +325,7 @@ def score(docs: DataFrame) -> DataFrame:
         by_gram = np.argsort(grams)
         grams, logs = grams[by_gram], logs[by_gram]
         del spelt_in, by_gram
-        _release()
+        release()
         dictionary = Words(right["word"].combine_chunks().cast(pa.large_binary()).take(pa.array(order)))
         worth = np.log10(total + 0.5) - divisor
         end_worth = np.log10(end_count + 0.5) - divisor
@@ -355,7 +346,7 @@ def score(docs: DataFrame) -> DataFrame:
             word = np.delete(spelt, bounds[i + empty] - bounds[i] + np.arange(len(empty)))
             own[i:j] = np.diff(np.append(0, np.cumsum((np.logaddexp(worth[some] * LN10, word * LN10) - np.log(2)) / LN10))[bounds[i:j + 1] - bounds[i]]) + end_worth
         del grams, logs, dictionary
-        _release()
+        release()
         return pa.table({"doc_id": left["doc_ids"][0].values, "held_out": left["held"][0].values, "n_tokens": pa.array(n + 1), "n_known": pa.array(cut(total[codes] > 0).astype(np.int64) + (end_count > 0)),
                          "train_tokens": pa.array(np.full(len(n), all_tokens, np.int64)), "base_score": pa.array(base), "score": pa.array(own)})
 

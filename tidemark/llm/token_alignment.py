@@ -29,8 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import query, table
-from tidemark.llm.periodic_runs import sliced
+from tidemark.llm.common import query, sliced, table
 from tidemark.llm.tokens import _AWKWARD, Pieces, vocabulary
 from tidemark.staging import stage
 

@@ -2,8 +2,10 @@
 
 Both vocabularies split a text at every blank that a visible character follows (or every blank at all), so the ids of a text are those of its
 blank-separated pieces one after another. A batch is cut into pieces and dictionary-encoded in Arrow, and only pieces not seen before by this
-worker go through the tokenizer; texts with other white space around a blank go through it whole. A new piece that is one word of Latin-1
-letters, perhaps with a full stop, goes straight to the tokenizer's model: such words need no normalising and are one unit for it.
+worker go through the tokenizer; texts with other white space around a blank go through it whole. A line feed behind a visible character begins a
+piece as well (it is white space that the word vocabulary drops, and never joins what is before it). A new piece that is one word of Latin-1
+letters, perhaps with a line feed before it or a full stop behind it, goes straight to the tokenizer's model: such words need no normalising and
+are one unit for it.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tidemark.llm.common import release, sliced
+
 #: Pieces that a worker remembers (about 200 bytes each); when full it starts anew.
 MEMORY = 500_000
 #: Bytes of text that are cut at a time.
@@ -21,7 +25,10 @@ STEP = 1 << 22
 # White space that a piece must not start with.
 _AWKWARD = r" [ \t\n\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
-_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+# A line feed behind a visible character.
+_LINE = r"([^ \t\n\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}])\n"
+
+_PLAIN = re.compile(r"(\n?)( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 
 
 def _visible() -> dict[int, str]:
@@ -45,7 +52,7 @@ class Pieces:
         from tokenizers import Tokenizer
         self.tokenizer, self.blanks = Tokenizer.from_file(path), blanks
         self.model, self.letters = self.tokenizer.model, _visible()
-        self.stop = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ".,"} | {"": []}
+        self.mark = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ".,\n"} | {"": []}
         self.forget()
 
     def forget(self) -> None:
@@ -77,7 +84,7 @@ class Pieces:
         return np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
 
     def _tokenize(self, new: list[str]) -> list[list[int]]:
-        tokenize, letters, stop = self.model.tokenize, self.letters, self.stop
+        tokenize, letters, mark = self.model.tokenize, self.letters, self.mark
         out, other = [], []
         for i, p in enumerate(new):
             m = _PLAIN.fullmatch(p)
@@ -86,8 +93,8 @@ class Pieces:
                 out.append(None)
             else:
                 # without blanks the vocabulary is one of lower-case words
-                word = m[1] if self.blanks else m[1].lstrip(" ").lower()
-                out.append([t.id for t in tokenize(word.translate(letters))] + stop[m[2]])
+                word = m[2] if self.blanks else m[2].lstrip(" ").lower()
+                out.append(mark[m[1]] + [t.id for t in tokenize(word.translate(letters))] + mark[m[3]])
         for i, e in zip(other, self.tokenizer.encode_batch_fast([new[i] for i in other], add_special_tokens=False)):
             out[i] = e.ids
         return out
@@ -107,12 +114,13 @@ class Pieces:
 
     def _some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         whole = pc.match_substring_regex(texts, _AWKWARD).to_numpy(zero_copy_only=False) if self.blanks else np.zeros(len(texts), bool)
-        split = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
+        cut = pc.if_else(pa.array(whole), "", texts)
+        split = pc.split_pattern(pc.replace_substring_regex(cut, _LINE, "\\1 \n") if self.blanks else pc.replace_substring(cut, "\n", " "), " ")
         offsets = split.offsets.to_numpy().astype(np.int64)
         coded = split.flatten().dictionary_encode()
         names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
         if self.blanks:
-            # all pieces but a text's first begin with their blank
+            # all pieces but a text's first begin with their blank, or with their line feed
             heads = offsets[:-1]
             later = np.ones(len(code), bool)
             later[heads] = False
@@ -120,7 +128,7 @@ class Pieces:
             used = np.zeros(len(names), bool)
             used[code[later]] = True
             table = np.zeros(len(names), np.int64)
-            table[used] = self.look_up([" " + names[k] for k in np.flatnonzero(used)])
+            table[used] = self.look_up([names[k] if names[k].startswith("\n") else " " + names[k] for k in np.flatnonzero(used)])
             size, start = self.size[table], self.start[table]
             sizes, starts = size[code], start[code]
             # the first pieces are looked up apart; their ids are taken before the memory can turn over
@@ -172,16 +180,14 @@ class Pieces:
         return np.concatenate([*parts, ids[last:]]), counts
 
 
-def small_batches(batches, rows: int = 512):
+def small_batches(batches):
     """Batches cut into smaller ones, so that the arrays made from one stay small; what a task remembers of pieces ends with the task."""
     try:
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                yield batch.slice(at, rows)
+        yield from sliced(batches, STEP)
     finally:
         for known in _known.values():
             known.forget()
-        pa.default_memory_pool().release_unused()
+        release()
 
 
 _known: dict[tuple[str, bool], Pieces] = {}
