@@ -10,8 +10,9 @@ Two passes meet in `counted`. Blocks of documents (BLOCK bytes, or one longer te
 pair once with its count. Pairs are summed over the corpus, compared with the best of their B id (at most one row an id of the vocabulary), and
 sent back to the blocks that hold them. A frequent pair is one row a block, so no key is hot; texts do not move.
 
-Both vocabularies treat blank + word by itself wherever a blank stands between visible characters, so a block tokenizes each distinct word once;
-texts with other white space around a blank, a blank at an end or a literal U+2581 go through the tokenizers whole.
+Both vocabularies treat blank + word by itself wherever a blank stands between visible characters, and what begins with a line feed behind one, so
+a block tokenizes each distinct word once; texts with other white space around a blank, a blank at an end, a line feed at the start or a literal
+U+2581 go through the tokenizers whole.
 
 Defined cases: a null or empty text, or one whose bytes a tokenizer changes, has no tokens: zeros and an empty `groups_sha256`; repeated rows, also of
 one doc_id, are aligned and counted one by one; a null doc_id stays null; a very long text is a block of its own; an empty table gives an empty
@@ -30,14 +31,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import query, sliced, table
-from tidemark.llm.tokens import _AWKWARD, Pieces, vocabulary
+from tidemark.llm.tokens import _AWKWARD, _LINE, Pieces, vocabulary
 from tidemark.staging import stage
 
 #: Bytes of text in a block; steps of a piece of the merge.
-BLOCK, WORK = 1 << 22, 64
+BLOCK, WORK = 1 << 21, 64
 #: Distinct words, and their bytes, that a worker remembers.
 MEMORY, MEMORY_BYTES = 400_000, 1 << 25
-_WHOLE = _AWKWARD + r"|^ | $|\x{2581}"
+_WHOLE = _AWKWARD + r"|^[ \n]| $|\x{2581}"
+#: Before a whole text among the words; no word holds it.
+_MARK = "▁"
 
 
 def merge_path(a: np.ndarray, b: np.ndarray, work: int = WORK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,13 +97,17 @@ class Both:
         self.pool = {k: (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)) for k in "ab"}  # ids, start, size
 
     def look_up(self, words: list[str]) -> np.ndarray:
-        """Numbers of the words; `pool` and `fits` hold what belongs to them until the next `forget`."""
+        """Numbers of the words; `pool` and `fits` hold what belongs to them until the next `forget`. A word has a blank before it unless it begins with
+        a line feed; a whole text comes with _MARK before it."""
         new = [w for w in dict.fromkeys(words) if w not in self.number]
         for at in range(0, len(new), 20_000):
             part = new[at:at + 20_000]
-            ids = {"a": self.a._tokenize([" " + w for w in part]), "b": self.b.encode(part, num_threads=1)}
+            full = [w if w[:1] == "\n" else " " + w.removeprefix(_MARK) for w in part]
+            pieces = self.b.encode([w.removeprefix(_MARK) for w in part], num_threads=1)
+            # the vocabulary's own blank before a line feed is a piece by itself
+            ids = {"a": self.a._tokenize(full), "b": [y[1:] if w[:1] == "\n" else y for w, y in zip(part, pieces)]}
             a, b = self.bytes_a, self.bytes_b
-            fits = [b"".join([a[k] for k in x]) == (own := b" " + w.encode()) == b"".join([b[k] for k in y]) for w, x, y in zip(part, ids["a"], ids["b"])]
+            fits = [b"".join([a[k] for k in x]) == (own := w.encode()) == b"".join([b[k] for k in y]) for w, x, y in zip(full, ids["a"], ids["b"])]
             for side, found in ids.items():
                 flat, start, size = self.pool[side]
                 n = np.fromiter(map(len, found), np.int64, len(found))
@@ -116,12 +123,12 @@ class Both:
             self.forget()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         whole = pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False)
-        split = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
+        split = pc.split_pattern(pc.replace_substring_regex(pc.if_else(pa.array(whole), "", texts), _LINE, "\\1 \n"), " ")
         bounds = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
         coded = split.flatten().dictionary_encode()
         numbers = self.look_up(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
         at = np.flatnonzero(whole)
-        numbers[bounds[at]] = self.look_up([texts[int(k)].as_py() for k in at])  # in place of the one empty word
+        numbers[bounds[at]] = self.look_up([_MARK + texts[int(k)].as_py() for k in at])  # in place of the one empty word
         doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
         bad = np.zeros(len(texts), bool)
         bad[doc[~self.fits[numbers]]] = True
