@@ -126,3 +126,18 @@ def test_pipeline(spark):
         seen.append(out.count())
     assert seen[0] >= seen[1] >= seen[2] > 0
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "jaccard_join", "source_mix", "packing"]
+
+
+def test_slices_of_a_batch_hold_the_same_sets():
+    """Slices are read as their own arrays: every kernel sees the same words as in one piece."""
+    import pyarrow as pa
+
+    from tidemark.llm.common import sliced
+    from tidemark.llm.jaccard_join import shingle_sets
+    texts = [f"word{k} " * (k % 7) + "and more of the same words again" for k in range(400)] + [None, "", "é " * 50]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    flat, sizes = shingle_sets(batch.column(1), 3)
+    parts = [shingle_sets(b.column(1), 3) for b in sliced([batch.slice(3)], 700)]
+    assert len(parts) > 5
+    assert np.array_equal(np.concatenate([s for _, s in parts]), sizes[3:])
+    assert np.array_equal(np.concatenate([f for f, _ in parts]), flat[int(sizes[:3].sum()):])
