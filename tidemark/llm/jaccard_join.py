@@ -35,7 +35,7 @@ FREQUENT = 1 << 20
 #: A batch reports shingles that this many of its documents hold.
 REPORTED = 2
 #: Bytes of text whose shingles are made at a time.
-SLICE = 1 << 22
+SLICE = 1 << 21
 #: Slots of the contraction; members up to which a region is joined pair by pair; sets of one side of a tile.
 SLOTS, SMALL, TILE = 64, 512, 128
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)

@@ -19,16 +19,16 @@ import pyarrow.compute as pc
 from tidemark.llm.common import release, sliced
 
 #: Pieces that a worker remembers (about 200 bytes each); when full it starts anew.
-MEMORY = 500_000
+MEMORY = 400_000
 #: Bytes of text that are cut at a time.
-STEP = 1 << 22
+STEP = 1 << 21
 # White space that a piece must not start with.
 _AWKWARD = r" [ \t\n\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 # A line feed behind a visible character.
 _LINE = r"([^ \t\n\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}])\n"
 
-_PLAIN = re.compile(r"(\n?)( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+_PLAIN = re.compile(r"(\n?)( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 
 
 def _visible() -> dict[int, str]:
@@ -84,17 +84,23 @@ class Pieces:
         return np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
 
     def _tokenize(self, new: list[str]) -> list[list[int]]:
-        tokenize, letters, mark = self.model.tokenize, self.letters, self.mark
+        tokenize, letters, mark, match, blanks = self.model.tokenize, self.letters, self.mark, _PLAIN.fullmatch, self.blanks
         out, other = [], []
         for i, p in enumerate(new):
-            m = _PLAIN.fullmatch(p)
+            m = match(p)
             if m is None:
                 other.append(i)
                 out.append(None)
-            else:
-                # without blanks the vocabulary is one of lower-case words
-                word = m[2] if self.blanks else m[2].lstrip(" ").lower()
-                out.append(mark[m[1]] + [t.id for t in tokenize(word.translate(letters))] + mark[m[3]])
+                continue
+            line, blank, word, stop = m.groups()
+            if not word.isascii():
+                word = word.translate(letters) if blanks else word.lower().translate(letters)
+            elif not blanks:
+                word = word.lower()  # without blanks the vocabulary is one of lower-case words
+            ids = [t.id for t in tokenize(letters[32] + word if blanks and blank else word)]
+            if line:
+                ids = mark[line] + ids
+            out.append(ids + mark[stop] if stop else ids)
         for i, e in zip(other, self.tokenizer.encode_batch_fast([new[i] for i in other], add_special_tokens=False)):
             out[i] = e.ids
         return out
