@@ -88,3 +88,41 @@ def test_one_resampling_rule_at_every_size(spark):
     width = {k: got[k].ci_hi - got[k].ci_lo for k in "ab"}
     expected = 2 * 1.96 * (sum((i - 7.5) ** 2 for i in range(16)) / 16) ** 0.5 / 16
     assert all(abs(w / expected - 1) < 0.12 for w in width.values())
+
+
+def test_replicate_sums_add_up_over_keys_and_partitions(spark):
+    """Vectors joined over tasks equal the weights drawn one by one; nulls count for nothing; null keys are a group."""
+    import hashlib
+    rows = [(k, f"e{i}", float(i), None if i % 3 else float(-i)) for i in range(60) for k in ("a", None)]
+    df = spark.createDataFrame(rows, "k string, id string, v double, w double").repartition(5)
+    got = {(r.k, r.name, r.rep): (r.w, r.wx) for r in rs.replicate_sums(df, ["k"], "id", ["v", "w"], 12, 3).collect()}
+    assert len(got) == 2 * 2 * 12
+    number = lambda text: int(hashlib.md5(text.encode()).hexdigest()[:8], 16) % rs.PRIME
+    for rep in range(12):
+        a, b, c = (number(f"3|{rep}|{x}") for x in "abc")
+        weight = {}
+        for i in range(60):
+            x = (a * number(f"3|e{i}") + b) % rs.PRIME
+            u = (x * ((x + c) % rs.PRIME) % rs.PRIME) >> 15
+            weight[i] = sum(u >= p for p in rs.POISSON)
+        assert got["a", "v", rep] == got[None, "v", rep] == (sum(weight.values()), sum(weight[i] * i for i in weight))
+        assert got["a", "w", rep] == (sum(weight[i] for i in weight if i % 3 == 0), -sum(weight[i] * i for i in weight if i % 3 == 0))
+
+
+def test_drawn_weights_have_mean_and_variance_one_and_do_not_repeat():
+    abc = rs._coefficients(400, 9)
+    w = rs._weights(np.array([int(x) for x in np.random.default_rng(2).integers(0, rs.PRIME, 500)]), abc)
+    assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.04
+    assert np.abs(np.corrcoef(w.T)[np.triu_indices(400, 1)]).mean() < 0.05
+
+
+def test_boards_carry_intervals(spark):
+    from tidemark.operators import boards
+    rng = np.random.default_rng(4)
+    wide = lambda shift: spark.createDataFrame([(f"e{i}", "21", float(rng.normal(shift, 1)), 0.5) for i in range(80)] + [("x", "42", 1.0, 2.0)], "id string, horizon string, call double, stock double")
+    d = {(r.strategy, r.horizon): r for r in boards.difference(wide(3), wide(0), ["horizon"], ["call", "stock"], F.col("id")).collect()}
+    assert d["call", "21"].ci_lo > 2 and d["call", "21"].ci_hi < 4 and d["call", "42"].ci_lo is None and d["call", "42"].difference is None
+    assert (d["stock", "21"].ci_lo, d["stock", "21"].ci_hi) == (0, 0)
+    top = boards.rank(spark.createDataFrame([("call", "21", 3.0, 2.0, 4.0, 80), ("call", "42", 1.0, -1.0, 2.0, 80), ("call", "exp", 1.0, None, None, 3)],
+                                            "strategy string, horizon string, difference double, ci_lo double, ci_hi double, n_a long")).collect()
+    assert [(r.strategy, r.horizons_ci_excludes_0) for r in top] == [("call", 1)]

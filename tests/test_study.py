@@ -62,8 +62,11 @@ def test_end_to_end_event(spark):
     cap = {r.strategy: r for r in st.capacity(priced, b, "post", capital=10000.0, risk_fraction=.10, participation=.05, haircut=.05).collect()}
     lc = cap["long_call"]
     assert (lc.capital_per_contract, lc.round_trip_cost_per_contract, lc.risk_contracts, lc.volume_contracts) == (pytest.approx(660), pytest.approx(60), 1, 10) and lc.reason == ""
-    board = st.scoreboard(st.long_strategies(st.evaluate(priced, b, "2025-01-01", otm=(0.05,)), ["horizon"]), ["strategy", "horizon"])
-    assert board.count() == 60
+    board = st.scoreboard(st.evaluate(priced, b, "2025-01-01", otm=(0.05,)), ["horizon"]).collect()
+    assert len(board) == 60 and all(r.ci_lo is None and r.n < 5 for r in board)
+    # a slice is priced and evaluated alone, with the same values
+    alone = st.evaluate(priced, b, "2025-01-01", otm=(0.05,), entries=("post",), horizons=(5, "exp")).collect()
+    assert {(r.entry, r.horizon): r.stock for r in alone} == {k: res[k].stock for k in (("post", "5"), ("post", "exp"))}
 
 
 def test_thin_chain_keeps_a_reason(spark):

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import resample as rs
 from .quantiles import exact_quantiles
 
 
@@ -22,40 +23,45 @@ def example_entity(summary: DataFrame) -> DataFrame:
     return m.orderBy(F.desc("n"), F.desc("volume"), "ticker").limit(1)
 
 
-def wide_board(long: DataFrame, horizons: list[str]) -> DataFrame:
-    """Mean per horizon as text, starred when the normal interval excludes zero."""
-    g = long.groupBy("strategy", "horizon").agg(F.avg("pnl").alias("m"), F.stddev_samp("pnl").alias("sd"), F.count("pnl").alias("n"))
-    star = F.when(F.abs("m") > 1.96 * F.col("sd") / F.sqrt("n"), "*").otherwise("")
-    cell = F.concat(F.format_string("%.6f", "m"), star)
-    w = g.withColumn("cell", cell).groupBy("strategy").pivot("horizon", horizons).agg(F.first("cell"))
+def off_zero(lo: str = "ci_lo", hi: str = "ci_hi") -> Column:
+    """An interval that leaves out zero; false where there is none."""
+    return F.coalesce((F.col(lo) > 0) | (F.col(hi) < 0), F.lit(False))
+
+
+def wide_board(board: DataFrame, horizons: list[str]) -> DataFrame:
+    """Mean per horizon as text, starred when its bootstrap interval leaves out zero. `board` comes from `study.scoreboard`."""
+    cell = F.concat(F.format_string("%.6f", "mean"), F.when(off_zero(), "*").otherwise(""))
+    w = board.withColumn("cell", cell).groupBy("strategy").pivot("horizon", horizons).agg(F.first("cell"))
     return w.toDF("strategy", *[f"h_{h}" for h in horizons])
 
 
-def difference(a: DataFrame, b: DataFrame, keys: list[str], minimum: int = 5) -> DataFrame:
-    """A3: mean of group a minus mean of group b on keys both have; values need `minimum` rows on each side."""
-    ga = a.groupBy(*keys).agg(F.count("pnl").alias("n_a"), F.avg("pnl").alias("mean_a"))
-    gb = b.groupBy(*keys).agg(F.count("pnl").alias("n_b"), F.avg("pnl").alias("mean_b"))
+def difference(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], row_id: Column, minimum: int = 5) -> DataFrame:
+    """A3: mean of group a minus mean of group b with its bootstrap interval, on keys both have; values need `minimum` rows on each side.
+
+    Both groups are wide (a column per strategy) and read twice.
+    """
+    own = [*keys, "strategy"]
+    means = lambda df, x: (df.unpivot([F.col(k) for k in keys], values, "strategy", "pnl").groupBy(*own)
+                           .agg(F.count("pnl").alias(f"n_{x}"), F.avg("pnl").alias(f"mean_{x}")).where(F.col(f"n_{x}") > 0))
     enough = (F.col("n_a") >= minimum) & (F.col("n_b") >= minimum)
-    j = ga.join(gb, keys)
-    return j.select(*keys, "n_a", "n_b", F.when(enough, F.col("mean_a")).alias("mean_a"), F.when(enough, F.col("mean_b")).alias("mean_b"),
-                    F.when(enough, F.col("mean_a") - F.col("mean_b")).alias("difference"))
+    ci = rs.difference_intervals(a, b, keys, row_id, values).withColumnRenamed("name", "strategy")
+    j = means(a, "a").join(means(b, "b"), own).join(ci, own, "left")
+    return j.select(*own, "n_a", "n_b", *[F.when(enough, F.col(c)).alias(c) for c in ("mean_a", "mean_b")],
+                    F.when(enough, F.col("mean_a") - F.col("mean_b")).alias("difference"), *[F.when(enough, F.col(c)).alias(c) for c in ("ci_lo", "ci_hi")])
 
 
 def rank(diff: DataFrame, horizons: tuple = ("21", "42", "exp")) -> DataFrame:
-    """A4: strategies by mean edge; with interval columns present also the count of intervals off zero."""
+    """A4: strategies by mean edge, with the number of horizons whose interval leaves out zero."""
     d = diff.where(F.col("horizon").isin(*horizons) & (F.col("strategy") != "stock"))
-    aggs = [F.avg("difference").alias("edge"), F.max("n_a").alias("n_events")]
-    if "ci_lo" in diff.columns:
-        aggs.append(F.count_if((F.col("ci_lo") > 0) | (F.col("ci_hi") < 0)).alias("horizons_ci_excludes_0"))
-    return d.groupBy("strategy").agg(*aggs).orderBy(F.desc("edge"))
+    return d.groupBy("strategy").agg(F.avg("difference").alias("edge"), F.count_if(off_zero()).alias("horizons_ci_excludes_0"), F.max("n_a").alias("n_events")).orderBy(F.desc("edge"))
 
 
-def decay(results: DataFrame) -> DataFrame:
-    """A5: realized over implied per horizon."""
+def decay(results: DataFrame, row_id: Column) -> DataFrame:
+    """A5: realized over implied per horizon, with the interval of its mean. `results` is read three times."""
     r = results.where("ratio IS NOT NULL")
-    s = r.groupBy("horizon").agg(F.count("ratio").alias("n"), F.avg("ratio").alias("mean_ratio"),
-                                 F.avg((F.col("ratio") > 1).cast("int")).alias("share_above_1"))
-    return s.join(exact_quantiles(r, ["horizon"], "ratio", {"median_ratio": 0.5}), "horizon")
+    above = r.groupBy("horizon").agg(F.avg((F.col("ratio") > 1).cast("int")).alias("share_above_1"))
+    ci = rs.bootstrap_ci(r, ["horizon"], row_id, "ratio").withColumnRenamed("mean", "mean_ratio")
+    return ci.join(above, "horizon").join(exact_quantiles(r, ["horizon"], "ratio", {"median_ratio": 0.5}), "horizon")
 
 
 def headline(results: DataFrame) -> DataFrame:

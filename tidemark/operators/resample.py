@@ -1,14 +1,18 @@
-"""Resampling as joins with hashed draw tables.
+"""Resampling with hashed draws.
 
-Means of rows (R1, R2) are resampled by one rule at every size: each row has a Poisson(1) weight per replicate, drawn from a digest of
-seed, row and replicate, and a replicate is two weighted sums, so rows are combined before any shuffle. Blocks (R3-R7) draw their slots by
-(seed, replicate, slot), never from the data.
+Means of rows (R1, R2) are resampled by one rule at every size: each row has a Poisson(1) weight per replicate, drawn by integer arithmetic
+from a digest of seed and row and numbers of the replicate, and a replicate is two weighted sums. A task keeps the sums of all replicates as one
+vector per key, so nothing is copied per replicate before the rows are combined. Blocks (R3-R7) draw their slots by (seed, replicate, slot),
+never from the data.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -16,10 +20,12 @@ from ..constants import SESSIONS_PER_YEAR
 from ..staging import stage
 from .events import hash_unit
 
-#: Draws of 16 bits that one digest gives.
-DRAWS = 8
 # Cumulative Poisson(1) probabilities in 1/65536.
 POISSON = (24109, 48219, 60274, 64292, 65296, 65497, 65531)
+#: Draws are taken modulo this prime, so that any engine's 64-bit integers can repeat them.
+PRIME = (1 << 31) - 1
+#: Rows whose weights are drawn at a time, keys whose sums a task holds, pieces in which a key's sums are joined.
+_ROWS, _HELD, _PIECES = 256, 500, 16
 
 
 def weights(sizes: DataFrame, replicates: int, seed: int) -> DataFrame:
@@ -30,16 +36,102 @@ def weights(sizes: DataFrame, replicates: int, seed: int) -> DataFrame:
     return drawn.groupBy("m", "rep", "idx").agg(F.count("*").alias("w"))
 
 
-def replicate_means(df: DataFrame, keys: Sequence[str], row_id: str, value: str, replicates: int, seed: int) -> DataFrame:
-    """(keys, rep, mean): the mean of each replicate; NULL if it drew no row."""
-    d = df.where(F.col(value).isNotNull()).select(*keys, F.col(row_id).alias("_id"), F.col(value).alias("_v"))
-    d = d.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // DRAWS))))
-    d = d.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_id").cast("string"), F.col("_g").cast("string"))))
-    d = d.select(*keys, "_v", "_g", F.posexplode(F.array(*[F.substring("_h", 1 + 4 * i, 4) for i in range(DRAWS)])).alias("_i", "_d"))
-    u = F.conv("_d", 16, 10).cast("int")
-    w = sum(((u >= p).cast("int") for p in POISSON), F.lit(0))
-    d = d.select(*keys, (F.col("_g") * DRAWS + F.col("_i")).alias("rep"), "_v", w.alias("_w")).where(F.col("rep") < replicates)
-    return d.groupBy(*keys, "rep").agg((F.sum(F.col("_w") * F.col("_v")) / F.nullif(F.sum("_w"), F.lit(0))).alias("mean"))
+def _coefficients(replicates: int, seed: int) -> np.ndarray:
+    """Three numbers below PRIME for each replicate, from digests of seed, replicate and their place."""
+    digest = lambda rep, k: int(hashlib.md5(f"{seed}|{rep}|{k}".encode()).hexdigest()[:8], 16) % PRIME
+    return np.array([[digest(rep, k) for rep in range(replicates)] for k in "abc"], np.int64)
+
+
+def _weights(h: np.ndarray, abc: np.ndarray) -> np.ndarray:
+    """Poisson(1) weight of each row (its number h) in each replicate."""
+    x = (abc[0] * h[:, None] + abc[1]) % PRIME
+    u = (x * ((x + abc[2]) % PRIME) % PRIME) >> 15
+    return np.searchsorted(np.array(POISSON), u, "right").astype(np.float64)
+
+
+def _parts(batch: pa.RecordBatch, keys: int):
+    """(key values, row numbers) of each combination of the first `keys` columns."""
+    codes = np.zeros(batch.num_rows, np.int64)
+    for k in range(keys):
+        own = batch.column(k).dictionary_encode("encode")
+        _, codes = np.unique(codes * (len(own.dictionary) + 1) + own.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+    order = np.argsort(codes, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(codes[order])) + 1):
+        if len(rows):
+            yield tuple(batch.column(k)[int(rows[0])] for k in range(keys)), rows
+
+
+def _summed(held: dict, names: Sequence[str], types: list) -> pa.RecordBatch:
+    flat = [(key, name, sums[:, j]) for key, sums in held.items() for j, name in enumerate(names)]
+    keys = [pa.array([k[i].as_py() for k, _, _ in flat], t) for i, t in enumerate(types)]
+    size = 0 if not flat else flat[0][2].shape[1]
+    lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * size), pa.array(np.concatenate([x[k] for _, _, x in flat]) if flat else np.zeros(0))) for k in (0, 1)]
+    return pa.record_batch([*keys, pa.array([n for _, n, _ in flat], pa.string()), *lists], names=[f"k{i}" for i in range(len(keys))] + ["name", "w", "wx"])
+
+
+def replicate_sums(df: DataFrame, keys: Sequence[str], row_id: str | Column, values: Sequence[str], replicates: int, seed: int) -> DataFrame:
+    """(keys, name, rep, w, wx): for each value column the weights drawn and the weighted sum, in each replicate.
+
+    A row's weights follow from a digest of seed and row id, so all value columns share them; rows are never copied per replicate. A task adds
+    its rows to one pair of vectors per key and value; those are added up in pieces of a key, then replicate by replicate.
+    """
+    row = row_id if isinstance(row_id, Column) else F.col(row_id).cast("string")
+    h = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), row)), 1, 8), 16, 10).cast("bigint"), F.lit(PRIME))
+    d = df.select(*keys, h.alias("_h"), *[F.col(v).cast("double").alias(v) for v in values])
+    kinds = ", ".join(f"k{i} {d.schema[k].dataType.simpleString()}" for i, k in enumerate(keys))
+    schema = (kinds + ", " if kinds else "") + "name string, w array<double>, wx array<double>"
+    n, names = len(keys), list(values)
+    abc = _coefficients(replicates, seed)
+
+    def draw(batches):
+        held, types = {}, None
+        for batch in batches:
+            types = [batch.column(i).type for i in range(n)]
+            number = batch.column(n).to_numpy()
+            x = np.stack([batch.column(n + 1 + j).to_numpy(zero_copy_only=False).astype(np.float64) for j in range(len(names))], axis=1)
+            there = ~np.isnan(x)
+            both = np.concatenate([there, np.where(there, x, 0.0)], axis=1)
+            for key, rows in _parts(batch, n):
+                sums = held.setdefault(key, np.zeros((2, len(names), replicates)))
+                for at in range(0, len(rows), _ROWS):
+                    some = rows[at:at + _ROWS]
+                    sums += (both[some].T @ _weights(number[some], abc)).reshape(2, len(names), replicates)
+                if len(held) * len(names) >= _HELD:
+                    yield _summed(held, names, types)
+                    held = {}
+        if held:
+            yield _summed(held, names, types)
+
+    def join(batches):
+        held, types = {}, None
+        for batch in batches:
+            types = [batch.column(i).type for i in range(n)]
+            w, wx = (batch.column(n + 1 + k).flatten().to_numpy().reshape(batch.num_rows, -1) for k in (0, 1))
+            for key, rows in _parts(batch, n + 1):
+                sums = held.setdefault(key, np.zeros((2, 1, replicates)))
+                sums += np.stack([w[rows].sum(axis=0), wx[rows].sum(axis=0)])[:, None]
+                if len(held) >= _HELD:
+                    yield named(held, types)
+                    held = {}
+        if held:
+            yield named(held, types)
+
+    def named(held, types):
+        out = _summed({k[:-1] + (k[-1],): v for k, v in held.items()}, ["-"], [*types, pa.string()])
+        return pa.record_batch([*out.columns[:n + 1], *out.columns[n + 2:]], names=[f"k{i}" for i in range(n)] + ["name", "w", "wx"])
+
+    drawn = d.mapInArrow(draw, schema)
+    groups = [f"k{i}" for i in range(n)] + ["name"]
+    joined = drawn.withColumn("_p", F.pmod(F.spark_partition_id(), F.lit(_PIECES))).repartition(*groups, "_p").drop("_p").mapInArrow(join, schema)
+    each = joined.select(*groups, F.posexplode(F.arrays_zip("w", "wx")).alias("rep", "s"))
+    out = each.groupBy(*groups, "rep").agg(F.sum("s.w").alias("w"), F.sum("s.wx").alias("wx"))
+    return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], "name", "rep", "w", "wx")
+
+
+def replicate_means(df: DataFrame, keys: Sequence[str], row_id: str | Column, values: Sequence[str], replicates: int, seed: int) -> DataFrame:
+    """(keys, name, rep, mean): the mean of each value column in each replicate; NULL if it drew no row."""
+    sums = replicate_sums(df, keys, row_id, values, replicates, seed)
+    return sums.select(*keys, "name", "rep", (F.col("wx") / F.nullif(F.col("w"), F.lit(0.0))).alias("mean"))
 
 
 def interval(reps: DataFrame, keys: Sequence[str], value: str, lo: float = 0.025, hi: float = 0.975) -> DataFrame:
@@ -48,23 +140,34 @@ def interval(reps: DataFrame, keys: Sequence[str], value: str, lo: float = 0.025
     return reps.groupBy(*keys).agg(q.alias("_q")).select(*keys, F.col("_q")[0].alias("ci_lo"), F.col("_q")[1].alias("ci_hi"))
 
 
-def bootstrap_ci(df: DataFrame, keys: Sequence[str], row_id: str, value: str, replicates: int = 2000, seed: int = 0,
+def mean_intervals(df: DataFrame, keys: Sequence[str], row_id: str | Column, values: Sequence[str], replicates: int = 2000, seed: int = 0,
+                   minimum: int = 5) -> DataFrame:
+    """R1 for several value columns: (keys, name, n, mean, ci_lo, ci_hi); the 95 % interval of the mean is NULL below `minimum` values."""
+    base = df.unpivot([F.col(k) for k in keys], list(values), "name", "_v").groupBy(*keys, "name").agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"))
+    ci = interval(replicate_means(df, keys, row_id, values, replicates, seed), [*keys, "name"], "mean")
+    ok = F.col("n") >= minimum
+    return base.join(ci, [*keys, "name"], "left").select(*keys, "name", "n", "mean", F.when(ok, F.col("ci_lo")).alias("ci_lo"), F.when(ok, F.col("ci_hi")).alias("ci_hi"))
+
+
+def bootstrap_ci(df: DataFrame, keys: Sequence[str], row_id: str | Column, value: str, replicates: int = 2000, seed: int = 0,
                  minimum: int = 5) -> DataFrame:
     """95 % interval of the mean; NULL below `minimum` values."""
-    base = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
-    ci = interval(replicate_means(df, keys, row_id, value, replicates, seed), keys, "mean")
-    j = base.join(ci, list(keys), "left")
-    ok = F.col("n") >= minimum
-    return j.select(*keys, "n", "mean", F.when(ok, F.col("ci_lo")).alias("ci_lo"), F.when(ok, F.col("ci_hi")).alias("ci_hi"))
+    return mean_intervals(df, keys, row_id, [value], replicates, seed, minimum).drop("name")
+
+
+def difference_intervals(a: DataFrame, b: DataFrame, keys: Sequence[str], row_id: str | Column, values: Sequence[str],
+                         replicates: int = 2000, seed: int = 1) -> DataFrame:
+    """R2 for several value columns: interval of mean(a) - mean(b), the two sides resampled independently."""
+    ra = replicate_means(a, keys, row_id, values, replicates, seed).withColumnRenamed("mean", "ma")
+    rb = replicate_means(b, keys, row_id, values, replicates, seed + 1).withColumnRenamed("mean", "mb")
+    d = ra.join(rb, [*keys, "name", "rep"]).withColumn("d", F.col("ma") - F.col("mb"))
+    return interval(d, [*keys, "name"], "d")
 
 
-def bootstrap_difference(a: DataFrame, b: DataFrame, keys: Sequence[str], row_id: str, value: str,
+def bootstrap_difference(a: DataFrame, b: DataFrame, keys: Sequence[str], row_id: str | Column, value: str,
                          replicates: int = 2000, seed: int = 1) -> DataFrame:
     """R2: interval of mean(a) - mean(b), the two sides resampled independently."""
-    ra = replicate_means(a, keys, row_id, value, replicates, seed).withColumnRenamed("mean", "ma")
-    rb = replicate_means(b, keys, row_id, value, replicates, seed + 1).withColumnRenamed("mean", "mb")
-    d = ra.join(rb, [*keys, "rep"]).withColumn("d", F.col("ma") - F.col("mb"))
-    return interval(d, keys, "d")
+    return difference_intervals(a, b, keys, row_id, [value], replicates, seed).drop("name")
 
 
 def prefix_sums(series: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import inference as inf, resample as rs, series as se
 from ..staging import stage
 from .registry import query, table
+from .resampled_sql import means_cte
 from .series import BT, backtest
 from .study import rounded
 
@@ -17,15 +18,7 @@ def hashed(*parts: str) -> str:
     return U.format(t=" || '|' || ".join(parts))
 
 
-def means_cte(x: str, src: str, key: str, rid: str, value: str, seed: int) -> str:
-    weight = " + ".join(f"(u >= {p})::INT" for p in rs.POISSON)
-    return f"""
-{x}h AS (SELECT {key}, {value} AS v, g, md5('{seed}|' || {rid}::VARCHAR || '|' || g::VARCHAR) AS h FROM {src}, range({2000 // rs.DRAWS}) t(g)),
-{x}d AS (SELECT {key}, v, g * {rs.DRAWS} + i AS rep, ('0x' || substr(h, (1 + 4 * i)::INT, 4))::INT AS u FROM {x}h, range({rs.DRAWS}) t(i)),
-{x}r AS (SELECT {key}, rep, sum(w * v) / sum(w) AS mean FROM (SELECT {key}, rep, v, {weight} AS w FROM {x}d) GROUP BY ALL)"""
-
-
-@query("boot_ci", f"""WITH {means_cte('e', 'events', 'event_type', 'event_id', 'value', 0)}
+@query("boot_ci", f"""WITH {means_cte('e', 'events', 'event_type', 'event_id::VARCHAR', 'value', 0)}
 SELECT event_type, (SELECT count(*) FROM events v WHERE v.event_type = r.event_type) AS n, round((SELECT avg(value) FROM events v WHERE v.event_type = r.event_type), 6) AS mean,
   round(quantile_cont(mean, 0.025), 6) AS ci_lo, round(quantile_cont(mean, 0.975), 6) AS ci_hi FROM er r GROUP BY event_type""")
 def boot_ci(spark, sf_dir):
@@ -34,7 +27,7 @@ def boot_ci(spark, sf_dir):
 
 
 @query("boot_diff", f"""WITH ea AS (SELECT event_type AS k, event_id, value FROM events WHERE value > 50), eb AS (SELECT event_type AS k, event_id, value FROM events WHERE value <= 50),
-{means_cte('p', 'ea', 'k', 'event_id', 'value', 1)}, {means_cte('q', 'eb', 'k', 'event_id', 'value', 2)},
+{means_cte('p', 'ea', 'k', 'event_id::VARCHAR', 'value', 1)}, {means_cte('q', 'eb', 'k', 'event_id::VARCHAR', 'value', 2)},
 d AS (SELECT k, pr.mean - qr.mean AS d FROM pr JOIN qr USING (k, rep))
 SELECT k, round(quantile_cont(d, 0.025), 6) AS ci_lo, round(quantile_cont(d, 0.975), 6) AS ci_hi FROM d GROUP BY 1""")
 def boot_diff(spark, sf_dir):

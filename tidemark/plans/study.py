@@ -14,6 +14,7 @@ from ..operators import boards, chains, events as ev, study as st
 from ..staging import stage
 from .calendar_events import CAL_CTE, days
 from .registry import query, table
+from .resampled_sql import ci_cte, means_cte
 
 AS_OF = "2001-12-31"
 TAG, PLACEBO_TAG = "1-URGENT", "5-LOW"
@@ -58,20 +59,22 @@ def study_events(spark, sf_dir, tag):
     return stage(ev.collapse(rows, rows.select("ticker"), days(spark)).withColumnRenamed("filing_date", "event_date"), "events")
 
 
-def priced(spark, sf_dir, tag=TAG):
-    b = bars(spark, sf_dir)
-    p, dropped = st.price(study_events(spark, sf_dir, tag), contracts(b), b)
+def priced(spark, sf_dir, tag=TAG, buckets=C.BUCKETS, otm=C.OTM_GRID, b=None):
+    b = bars(spark, sf_dir) if b is None else b
+    p, dropped = st.price(study_events(spark, sf_dir, tag), contracts(b), b, buckets, otm)
     return stage(p, "priced"), dropped, b
 
 
-def results(spark, sf_dir, tag=TAG):
+def results(spark, sf_dir, tag=TAG, horizons=(0, *C.HORIZONS, "exp")):
+    """Every parameter combination."""
     p, _, b = priced(spark, sf_dir, tag)
-    return stage(st.evaluate(p, b, AS_OF), "results")
+    return stage(st.evaluate(p, b, AS_OF, horizons=horizons), "results")
 
 
-def sliced(df, entry=C.ENTRY, bucket=C.BASELINE_BUCKET, otm=C.OTM):
-    """P2."""
-    return df.where((F.col("bucket") == bucket) & (F.col("entry") == entry) & (F.col("otm") == otm))
+def sliced(spark, sf_dir, tag=TAG, entry=C.ENTRY, bucket=C.BASELINE_BUCKET, otm=C.OTM, horizons=(*C.HORIZONS, "exp"), b=None):
+    """One parameter combination, taken before anything is priced or expanded."""
+    p, _, b = priced(spark, sf_dir, tag, {bucket: C.BUCKETS[bucket]}, (otm,), b)
+    return stage(st.evaluate(p, b, AS_OF, (otm,), (entry,), horizons), "results")
 
 
 BARS_CTE = """
@@ -305,76 +308,89 @@ def strategy_pnl(spark, sf_dir):
     return rounded(results(spark, sf_dir), RESULT_COLS)
 
 
-@query("scoreboard", f"{RESULTS} SELECT strategy, horizon, {STATS} FROM long WHERE {BASE} AND horizon <> '0' GROUP BY ALL")
+EVENT_ID = "ticker || '|' || event_date::VARCHAR"
+BOARD_SQL = f"""{RESULTS}, slice AS (SELECT * FROM long WHERE {BASE} AND horizon <> '0'), {ci_cte('s', 'slice', 'strategy, horizon', EVENT_ID, 'pnl')},
+board AS (SELECT strategy, horizon, count(pnl) AS n, avg(pnl) AS mean, median(pnl) AS median, avg((pnl > 0)::INT) AS hit_rate FROM slice GROUP BY ALL)"""
+BOARD_COLS = ["mean", "median", "hit_rate", "ci_lo", "ci_hi"]
+
+
+@query("scoreboard", f"""{BOARD_SQL} SELECT strategy, horizon, n, {", ".join(f"round({c}, 6) AS {c}" for c in BOARD_COLS)} FROM board JOIN sci USING (strategy, horizon)""")
 def scoreboard(spark, sf_dir):
-    """A2: the baseline slice, horizon 0 excluded."""
-    r = sliced(results(spark, sf_dir)).where("horizon <> '0'")
-    return rounded(st.scoreboard(st.long_strategies(r, ["horizon"]), ["strategy", "horizon"]), ["mean", "median", "hit_rate"])
+    """A2: the baseline slice with bootstrap intervals, horizon 0 excluded."""
+    return rounded(st.scoreboard(sliced(spark, sf_dir), ["horizon"]), BOARD_COLS)
 
 
-@query("board_wide", f"""{RESULTS}, b AS (SELECT strategy, horizon, avg(pnl) AS m, stddev_samp(pnl) AS sd, count(pnl) AS n FROM long WHERE {BASE} AND horizon IN ('1', '5', '21', 'exp') GROUP BY ALL)
-SELECT strategy, {", ".join(f"max(format('{{:.6f}}', m) || CASE WHEN abs(m) > 1.96::DOUBLE * sd / sqrt(n) THEN '*' ELSE '' END) FILTER (horizon = '{h}') AS h_{h}" for h in ("1", "5", "21", "exp"))}
-FROM b GROUP BY 1""")
+@query("board_wide", f"""{BOARD_SQL}
+SELECT strategy, {", ".join(f"max(format('{{:.6f}}', mean) || CASE WHEN coalesce(ci_lo > 0 OR ci_hi < 0, false) THEN '*' ELSE '' END) FILTER (horizon = '{h}') AS h_{h}" for h in ("1", "5", "21", "exp"))}
+FROM board JOIN sci USING (strategy, horizon) GROUP BY 1""")
 def board_wide(spark, sf_dir):
-    """Wide board with a significance star."""
-    r = sliced(results(spark, sf_dir)).where(F.col("horizon").isin("1", "5", "21", "exp"))
-    return boards.wide_board(st.long_strategies(r, ["horizon"]), ["1", "5", "21", "exp"])
+    """Wide board with a star where the bootstrap interval leaves out zero."""
+    r = sliced(spark, sf_dir, horizons=(1, 5, 21, "exp"))
+    return boards.wide_board(st.scoreboard(r, ["horizon"]), ["1", "5", "21", "exp"])
 
 
 DIFF_SQL = f"""{TWO_GROUPS},
-a AS (SELECT strategy, horizon, count(pnl) AS n_a, avg(pnl) AS mean_a FROM long WHERE {BASE} AND horizon <> '0' GROUP BY ALL),
-b AS (SELECT strategy, horizon, count(pnl) AS n_b, avg(pnl) AS mean_b, FROM b_long WHERE {BASE} AND horizon <> '0' GROUP BY ALL),
-d AS (SELECT strategy, horizon, n_a, n_b, CASE WHEN n_a >= 5 AND n_b >= 5 THEN mean_a END AS mean_a, CASE WHEN n_a >= 5 AND n_b >= 5 THEN mean_b END AS mean_b,
-  CASE WHEN n_a >= 5 AND n_b >= 5 THEN mean_a - mean_b END AS difference FROM a JOIN b USING (strategy, horizon))"""
+abase AS (SELECT * FROM long WHERE {BASE} AND horizon <> '0'), bbase AS (SELECT * FROM b_long WHERE {BASE} AND horizon <> '0'),
+{means_cte('p', 'abase', 'strategy, horizon', EVENT_ID, 'pnl', 1)}, {means_cte('q', 'bbase', 'strategy, horizon', EVENT_ID, 'pnl', 2)},
+dci AS (SELECT strategy, horizon, quantile_cont(pr.mean - qr.mean, 0.025) AS ci_lo, quantile_cont(pr.mean - qr.mean, 0.975) AS ci_hi FROM pr JOIN qr USING (strategy, horizon, rep) GROUP BY ALL),
+a AS (SELECT strategy, horizon, count(pnl) AS n_a, avg(pnl) AS mean_a FROM abase GROUP BY ALL),
+b AS (SELECT strategy, horizon, count(pnl) AS n_b, avg(pnl) AS mean_b, FROM bbase GROUP BY ALL),
+d AS (SELECT strategy, horizon, n_a, n_b, {", ".join(f"CASE WHEN n_a >= 5 AND n_b >= 5 THEN {e} END AS {c}" for c, e in (("mean_a", "mean_a"), ("mean_b", "mean_b"), ("difference", "mean_a - mean_b"), ("ci_lo", "ci_lo"), ("ci_hi", "ci_hi")))}
+  FROM a JOIN b USING (strategy, horizon) LEFT JOIN dci USING (strategy, horizon))"""
+DIFF_COLS = ["mean_a", "mean_b", "difference", "ci_lo", "ci_hi"]
 
 
-def _difference(spark, sf_dir):
-    long = [st.long_strategies(sliced(results(spark, sf_dir, t)).where("horizon <> '0'"), ["horizon"]) for t in (TAG, PLACEBO_TAG)]
-    return boards.difference(*long, ["strategy", "horizon"])
+def _difference(spark, sf_dir, horizons=(*C.HORIZONS, "exp")):
+    b = bars(spark, sf_dir)
+    return boards.difference(*[sliced(spark, sf_dir, t, horizons=horizons, b=b) for t in (TAG, PLACEBO_TAG)], ["horizon"], list(C.STRATEGIES), st.event_id())
 
 
-@query("difference_board", f"""{DIFF_SQL} SELECT strategy, horizon, n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(difference, 6) AS difference FROM d""")
+@query("difference_board", f"""{DIFF_SQL} SELECT strategy, horizon, n_a, n_b, {", ".join(f"round({c}, 6) AS {c}" for c in DIFF_COLS)} FROM d""")
 def difference_board(spark, sf_dir):
-    """Means of two event groups on the horizons both have."""
-    return rounded(_difference(spark, sf_dir), ["mean_a", "mean_b", "difference"])
+    """Means of two event groups on the horizons both have, with the interval of their difference."""
+    return rounded(_difference(spark, sf_dir), DIFF_COLS)
 
 
-@query("rank_board", f"""{DIFF_SQL} SELECT strategy, round(avg(difference), 6) AS edge, max(n_a) AS n_events FROM d
+@query("rank_board", f"""{DIFF_SQL} SELECT strategy, round(avg(difference), 6) AS edge, count(*) FILTER (ci_lo > 0 OR ci_hi < 0) AS horizons_ci_excludes_0, max(n_a) AS n_events FROM d
 WHERE horizon IN ('21', '42', 'exp') AND strategy <> 'stock' GROUP BY 1""")
 def rank_board(spark, sf_dir):
     """A4."""
-    return rounded(boards.rank(_difference(spark, sf_dir)), ["edge"])
+    return rounded(boards.rank(_difference(spark, sf_dir, (21, 42, "exp"))), ["edge"])
 
 
-@query("decay_table", f"""{RESULTS} SELECT horizon, count(ratio) AS n, round(avg(ratio), 6) AS mean_ratio, round(median(ratio), 6) AS median_ratio,
-  round(avg((ratio > 1)::INT), 6) AS share_above_1 FROM results WHERE {BASE} AND horizon <> '0' GROUP BY 1""")
+DECAY_COLS = ["mean_ratio", "median_ratio", "share_above_1", "ci_lo", "ci_hi"]
+
+
+@query("decay_table", f"""{RESULTS}, slice AS (SELECT * FROM results WHERE {BASE} AND horizon <> '0'), {ci_cte('s', 'slice', 'horizon', EVENT_ID, 'ratio')},
+t AS (SELECT horizon, count(ratio) AS n, avg(ratio) AS mean_ratio, median(ratio) AS median_ratio, avg((ratio > 1)::INT) AS share_above_1 FROM slice WHERE ratio IS NOT NULL GROUP BY 1)
+SELECT horizon, n, {", ".join(f"round({c}, 6) AS {c}" for c in DECAY_COLS)} FROM t JOIN sci USING (horizon)""")
 def decay_table(spark, sf_dir):
     """A5."""
-    r = sliced(results(spark, sf_dir)).where("horizon <> '0'")
-    return rounded(boards.decay(r), ["mean_ratio", "median_ratio", "share_above_1"])
+    return rounded(boards.decay(sliced(spark, sf_dir), st.event_id()), DECAY_COLS)
 
 
 @query("implied_headline", f"""{RESULTS} SELECT round(median(implied_move), 6) AS median_implied, round(median(abs(realized)), 6) AS median_realized,
   round(avg((abs(realized) > implied_move)::INT), 6) AS share_realized_above FROM results WHERE {BASE} AND horizon = 'exp' AND realized IS NOT NULL""")
 def implied_headline(spark, sf_dir):
     """A39."""
-    r = sliced(results(spark, sf_dir)).where("horizon = 'exp' AND realized IS NOT NULL")
+    r = sliced(spark, sf_dir, horizons=("exp",)).where("realized IS NOT NULL")
     return rounded(boards.headline(r), ["median_implied", "median_realized", "share_realized_above"])
 
 
-@query("sensitivity_grid", f"""{RESULTS} SELECT bucket, entry, otm, strategy, {STATS} FROM long WHERE horizon = '21' GROUP BY ALL""")
+@query("sensitivity_grid", f"""{RESULTS}, slice AS (SELECT * FROM long WHERE horizon = '21'), {ci_cte('s', 'slice', 'bucket, entry, otm, strategy', EVENT_ID, 'pnl')},
+g AS (SELECT bucket, entry, otm, strategy, count(pnl) AS n, avg(pnl) AS mean, median(pnl) AS median, avg((pnl > 0)::INT) AS hit_rate FROM slice GROUP BY ALL)
+SELECT bucket, entry, otm, strategy, n, {", ".join(f"round({c}, 6) AS {c}" for c in BOARD_COLS)}, coalesce(ci_lo > 0 OR ci_hi < 0, false) AS starred FROM g JOIN sci USING (bucket, entry, otm, strategy)""")
 def sensitivity_grid(spark, sf_dir):
-    """Every parameter combination in one aggregation."""
-    r = results(spark, sf_dir).where("horizon = '21'")
-    keys = ["bucket", "entry", "otm"]
-    return rounded(st.scoreboard(st.long_strategies(r, keys), [*keys, "strategy"]), ["mean", "median", "hit_rate"])
+    """Every parameter combination in one aggregation, with intervals and a star where they leave out zero."""
+    g = st.scoreboard(results(spark, sf_dir, horizons=(21,)), ["bucket", "entry", "otm"])
+    return rounded(g.withColumn("starred", boards.off_zero()), BOARD_COLS)
 
 
 @query("sensitivity_pivot", f"""{RESULTS}, g AS (SELECT bucket, entry, otm, strategy, round(avg(pnl), 6) AS mean FROM long WHERE horizon = '21' GROUP BY ALL)
 SELECT bucket, entry, strategy, max(mean) FILTER (otm = 0.03::DOUBLE) AS otm_3, max(mean) FILTER (otm = 0.05::DOUBLE) AS otm_5, max(mean) FILTER (otm = 0.1::DOUBLE) AS otm_10 FROM g GROUP BY ALL""")
 def sensitivity_pivot(spark, sf_dir):
     """A10."""
-    r = st.long_strategies(results(spark, sf_dir).where("horizon = '21'"), ["bucket", "entry", "otm"])
+    r = st.long_strategies(results(spark, sf_dir, horizons=(21,)), ["bucket", "entry", "otm"])
     g = r.groupBy("bucket", "entry", "strategy").pivot("otm", [0.03, 0.05, 0.1]).agg(F.round(F.avg("pnl"), 6))
     return g.toDF("bucket", "entry", "strategy", "otm_3", "otm_5", "otm_10")
 
@@ -441,8 +457,9 @@ NET_SQL = CAP_SQL.replace(PRICED, RESULTS)
 SELECT strategy, count(net) AS n, round(avg(pnl), 6) AS mean_gross, round(avg(net), 6) AS mean_net, round(median(net), 6) AS median_net, round(avg((net > 0)::INT), 6) AS share_net_positive FROM j GROUP BY 1""")
 def net_cost_summary(spark, sf_dir):
     """Results joined to their trade plans, net of round-trip costs."""
-    p, _, b = priced(spark, sf_dir)
-    r = st.long_strategies(sliced(st.evaluate(p, b, AS_OF)).where("horizon = '21'"), ["ticker", "event_date", "bucket", "s_entry"])
+    b = bars(spark, sf_dir)
+    p, _, _ = priced(spark, sf_dir, b=b)
+    r = st.long_strategies(sliced(spark, sf_dir, horizons=(21,), b=b), ["ticker", "event_date", "bucket", "s_entry"])
     return rounded(boards.net_summary(r, stage(st.capacity(p, b, "post"), "plans")), ["mean_gross", "mean_net", "median_net", "share_net_positive"])
 
 
@@ -450,5 +467,5 @@ def net_cost_summary(spark, sf_dir):
   FROM long WHERE {BASE} AND horizon <> '0' GROUP BY ALL) SELECT strategy, horizon, round(in_mean, 6) AS in_mean, round(out_mean, 6) AS out_mean, sign(in_mean) = sign(out_mean) AS same_sign FROM s""")
 def in_out_sample(spark, sf_dir):
     """Two study windows side by side."""
-    r = st.long_strategies(sliced(results(spark, sf_dir)).where("horizon <> '0'"), ["horizon", "event_date"])
+    r = st.long_strategies(sliced(spark, sf_dir), ["horizon", "event_date"])
     return rounded(boards.in_out(r, "1999-01-01"), ["in_mean", "out_mean"])
