@@ -75,3 +75,27 @@ def test_exact_quantiles(spark):
     df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs], "k string, v double")
     for r in exact_quantiles(df, ["k"], "v", {"q1": 0.1, "m": 0.5, "q9": 0.975}).collect():
         np.testing.assert_allclose([r.q1, r.m, r.q9], np.quantile(groups[r.k], [0.1, 0.5, 0.975]), rtol=1e-12)
+
+
+def test_placebo_draws_are_whole(spark):
+    """Dense, sparse and blocked tickers: every draw is a row, sessions keep the gap and come from all admissible ones."""
+    import datetime as dt
+    from collections import Counter
+
+    from tidemark.functions import calendar as cal
+    from tidemark.operators import events as ev
+    day = lambda s: dt.date.fromisoformat(s)
+    dense = [("dense", f"d{i}", day("2000-01-10") + dt.timedelta(20 * i)) for i in range(40)]  # nothing is 15 days from all of them, but the ends
+    sparse = [("sparse", f"s{i}", d) for i, d in enumerate([day("2000-03-01"), day("2000-03-01"), day("2001-02-15")])]
+    pool = cal.sessions(spark, "1999-01-01", "2003-12-31").where("session BETWEEN '2000-01-03' AND '2001-12-31'").select("session")
+    events = spark.createDataFrame(dense + sparse, "ticker string, event_id string, filing_date date")
+    got = ev.placebo(events, pool, n=300, gap_days=15, seed=3).collect()
+    assert sorted(r.draw for r in got) == list(range(300))
+    free = {t: [s.session for s in pool.collect() if all(abs((s.session - d).days) > 15 for k, _, d in dense + sparse if k == t)] for t in ("dense", "sparse")}
+    assert all(r.filing_date in free[r.ticker] and r.reason is None for r in got if free[r.ticker])
+    assert all(r.filing_date is None and r.reason == "no_admissible_session" for r in got if not free[r.ticker])
+    share = Counter(r.ticker for r in got)["dense"] / 300
+    assert 0.8 < share < 1 and len({r.filing_date for r in got if r.ticker == "sparse"}) > 3
+    blocked = ev.placebo(events.where("ticker = 'dense'"), pool.where("session BETWEEN '2000-03-01' AND '2001-06-01'"), n=50, gap_days=30, seed=1).collect()
+    assert len(blocked) == 50 and {r.reason for r in blocked} == {"no_admissible_session"}
+    assert ev.placebo(events.limit(0), pool, n=5, gap_days=1, seed=1).count() == 0

@@ -41,29 +41,45 @@ def hash_unit(*parts) -> F.Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
-def placebo(events: DataFrame, sessions: DataFrame, n: int, gap_days: int, seed: int, attempts: int = 25) -> DataFrame:
-    """Ordinary sessions at least `gap_days` away from any event of the same ticker.
+def placebo(events: DataFrame, sessions: DataFrame, n: int, gap_days: int, seed: int) -> DataFrame:
+    """`n` ordinary sessions more than `gap_days` away from every event of the same ticker: (draw, ticker, event_id, filing_date, reason).
 
-    The n source events are the smallest hash values (a bounded top-n, proportional to how often a ticker
-    has events). Each tries up to `attempts` hashed sessions and keeps the first admissible one. Nearness
-    is decided from the first and last event day per (ticker, gap-wide bucket): anything in the same
-    bucket is too close, the neighbours only matter through their nearest edge.
+    Draws are with replacement, and each is a row. A draw takes the event whose digest is next at or above its own number (the first one after
+    the last), so tickers come up as often as they have events, and then a rank among the sessions that are admissible for the ticker. Those lie
+    between neighbouring event days, less the gap on both sides: their counts, summed along the ticker's days, lead from the rank to the session
+    without tries. Where no session is admissible `filing_date` is null and `reason` says so. Without events there are no rows.
     """
-    picked = (events.select("ticker", "event_id").withColumn("_h", hash_unit(F.lit(seed), F.lit("pick"), F.col("event_id")))
-              .orderBy("_h", "event_id").limit(n))
-    ranked = sessions.withColumn("_i", (F.row_number().over(W.partitionBy(F.lit(0)).orderBy("session")) - 1).cast("bigint"))
-    n_sessions = sessions.count()   # calendar dimension, a local relation
-    tries = (picked.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
-             .withColumn("_i", F.floor(hash_unit(F.lit(seed), F.col("event_id"), F.col("attempt")) * F.lit(n_sessions))))
-    tries = tries.join(F.broadcast(ranked), "_i").select("ticker", "event_id", "attempt", F.col("session").alias("filing_date"))
-    edges = (events.withColumn("_b", F.floor(F.unix_date("filing_date") / gap_days))
-             .groupBy("ticker", "_b").agg(F.min("filing_date").alias("_lo"), F.max("filing_date").alias("_hi")))
-    near = (tries.withColumn("_own", F.floor(F.unix_date("filing_date") / gap_days))
-            .withColumn("_b", F.explode(F.array(F.col("_own") - 1, F.col("_own"), F.col("_own") + 1)))
-            .join(edges, ["ticker", "_b"], "left")
-            .withColumn("_close", F.when(F.col("_b") == F.col("_own"), F.col("_lo").isNotNull())
-                        .when(F.col("_b") < F.col("_own"), F.datediff("filing_date", "_hi") <= gap_days)
-                        .otherwise(F.datediff("_lo", "filing_date") <= gap_days)))
-    free = (near.groupBy("ticker", "event_id", "attempt", "filing_date")
-            .agg(F.bool_or(F.coalesce("_close", F.lit(False))).alias("_c")).where("NOT _c"))
-    return free.groupBy("event_id", "ticker").agg(F.min_by("filing_date", "attempt").alias("filing_date"))
+    unit = lambda what: hash_unit(F.lit(seed), F.lit(what), F.col("draw"))
+    draws = events.sparkSession.range(n).withColumnRenamed("id", "draw").select("draw", unit("event").alias("u"), unit("session").alias("v"))
+    own = events.where("ticker IS NOT NULL AND filing_date IS NOT NULL").select("ticker", "event_id", "filing_date")
+    keyed = own.select(F.struct(hash_unit(F.lit(seed), F.lit("pick"), F.col("event_id")).alias("h"), "event_id", "ticker").alias("e"))
+    cell = lambda c: F.floor(F.col(c) * n)
+    cells = keyed.groupBy(cell("e.h").alias("cell")).agg(F.min("e").alias("e"))  # n rows at most, as all below that is not per ticker
+    inside = (keyed.withColumn("cell", cell("e.h")).join(F.broadcast(draws.withColumn("cell", cell("u"))), "cell").where("e.h >= u")
+              .groupBy("draw").agg(F.min("e").alias("near")))
+    after = cells.select("cell", F.lit(None).cast("bigint").alias("draw"), "e").unionByName(draws.select(cell("u").alias("cell"), "draw", F.lit(None).cast(keyed.schema["e"].dataType).alias("e")))
+    ahead = W.partitionBy(F.lit(0)).orderBy("cell").rangeBetween(1, W.unboundedFollowing)
+    nxt = after.select("draw", F.first("e", ignorenulls=True).over(ahead).alias("next"), F.min("e").over(W.partitionBy(F.lit(0))).alias("first")).where("draw IS NOT NULL")
+    picked = draws.join(nxt, "draw").join(inside, "draw", "left").select("draw", "v", F.coalesce("near", "next", "first").alias("e")).where("e IS NOT NULL").select("draw", "v", "e.ticker", "e.event_id")
+
+    ranked = sessions.select(F.col("session").alias("day")).distinct()  # the calendar: a row per day; only its two ends come to the driver
+    a, z = ranked.agg(F.date_sub(F.min("day"), 1), F.date_add(F.max("day"), 1)).first()
+    upto = W.partitionBy(F.lit(0)).orderBy("day").rowsBetween(W.unboundedPreceding, 0)
+    days = (events.sparkSession.range(1).select(F.explode(F.sequence(F.lit(a), F.lit(z))).alias("day")).join(ranked.withColumn("open", F.lit(1)), "day", "left")
+            .select("day", F.coalesce("open", F.lit(0)).alias("open"), F.sum(F.coalesce("open", F.lit(0))).over(upto).alias("upto")))
+    counted = lambda day, name: days.select(F.col("day").alias(day), F.col("upto").alias(name))
+    w = W.partitionBy("ticker").orderBy("d")
+    seen = own.join(F.broadcast(picked.select("ticker").distinct()), "ticker", "left_semi").select("ticker", F.col("filing_date").alias("d")).distinct()
+    lag, lead = F.lag("d").over(w), F.lead("d").over(w)
+    gaps = seen.select("ticker", lag.alias("lo"), F.col("d").alias("hi"), lead.isNull().alias("last"))
+    gaps = gaps.select("ticker", "lo", "hi").unionByName(gaps.where("last").select("ticker", F.col("hi").alias("lo"), F.lit(None).cast("date").alias("hi")))
+    inner = lambda c: F.least(F.greatest(c, F.lit(a)), F.lit(z))
+    gaps = gaps.select("ticker", inner(F.coalesce(F.date_add("lo", gap_days), F.lit(a))).alias("after"), inner(F.coalesce(F.date_sub("hi", gap_days + 1), F.lit(z))).alias("until"))
+    gaps = gaps.join(F.broadcast(counted("after", "n_after")), "after").join(F.broadcast(counted("until", "n_until")), "until").where("n_until > n_after")
+    along = W.partitionBy("ticker").orderBy("n_after")
+    gaps = gaps.select("ticker", "n_after", (F.col("n_until") - F.col("n_after")).alias("size"))
+    gaps = gaps.select("ticker", "n_after", "size", (F.sum("size").over(along) - F.col("size")).alias("skipped"), F.sum("size").over(W.partitionBy("ticker")).alias("free"))
+    k = F.floor(F.col("v") * F.col("free"))
+    hit = picked.join(gaps, "ticker").where((k >= F.col("skipped")) & (k < F.col("skipped") + F.col("size"))).select("draw", (F.col("n_after") + k - F.col("skipped") + 1).alias("upto"))
+    found = hit.join(F.broadcast(days.where("open = 1").select("upto", F.col("day").alias("filing_date"))), "upto").select("draw", "filing_date")
+    return picked.join(found, "draw", "left").select("draw", "ticker", "event_id", "filing_date", F.when(F.col("filing_date").isNull(), "no_admissible_session").alias("reason"))

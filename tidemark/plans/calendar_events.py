@@ -112,16 +112,15 @@ def events_by_year(spark, sf_dir):
 
 @query("placebo_sample", f"""WITH {CAL_CTE}, {FILINGS_CTE},
 evid AS (SELECT *, cik || ':' || filing_date AS event_id FROM ev),
-picked AS (SELECT ticker, event_id FROM evid
-  ORDER BY ('0x' || substr(md5('7|pick|' || event_id), 1, 8))::BIGINT / 4294967296.0, event_id LIMIT 120),
-pool AS (SELECT session, row_number() OVER (ORDER BY session) - 1 AS i, count(*) OVER () AS n FROM cal_sessions
-         WHERE session BETWEEN DATE '1995-01-01' AND DATE '2001-08-01'),
-tries AS (SELECT ticker, event_id, attempt, floor(('0x' || substr(md5('7|' || event_id || '|' || attempt), 1, 8))::BIGINT
-   / 4294967296.0 * (SELECT max(n) FROM pool))::BIGINT AS i FROM picked, range(25) r(attempt)),
-dated AS (SELECT ticker, event_id, attempt, session FROM tries JOIN pool USING (i)),
-free AS (SELECT * FROM dated d WHERE NOT EXISTS (SELECT 1 FROM evid e WHERE e.ticker = d.ticker
-   AND abs(date_diff('day', e.filing_date, d.session)) <= 30))
-SELECT event_id, ticker, arg_min(session, attempt) AS filing_date FROM free GROUP BY ALL""")
+keyed AS (SELECT *, ('0x' || substr(md5('7|pick|' || event_id), 1, 8))::BIGINT / 4294967296.0 AS h FROM evid),
+draws AS (SELECT draw, ('0x' || substr(md5('7|event|' || draw), 1, 8))::BIGINT / 4294967296.0 AS u, ('0x' || substr(md5('7|session|' || draw), 1, 8))::BIGINT / 4294967296.0 AS v FROM range(120) r(draw)),
+picked AS (SELECT draw, v, coalesce(k.event_id, f.event_id) AS event_id, coalesce(k.ticker, f.ticker) AS ticker FROM draws d
+  ASOF LEFT JOIN keyed k ON d.u <= k.h CROSS JOIN (SELECT event_id, ticker FROM keyed ORDER BY h, event_id LIMIT 1) f),
+free AS (SELECT t.ticker, s.session, row_number() OVER (PARTITION BY t.ticker ORDER BY s.session) - 1 AS i, count(*) OVER (PARTITION BY t.ticker) AS n
+  FROM (SELECT DISTINCT ticker FROM picked) t, cal_sessions s WHERE s.session BETWEEN DATE '1995-01-01' AND DATE '2001-08-01'
+  AND NOT EXISTS (SELECT 1 FROM evid e WHERE e.ticker = t.ticker AND abs(date_diff('day', e.filing_date, s.session)) <= 30))
+SELECT draw, p.ticker, event_id, f.session AS filing_date, CASE WHEN f.session IS NULL THEN 'no_admissible_session' END AS reason
+FROM picked p LEFT JOIN free f ON f.ticker = p.ticker AND f.i = floor(p.v * f.n)""")
 def placebo_sample(spark, sf_dir):
     e = study_events(spark, sf_dir).withColumn("event_id", F.concat_ws(":", "cik", F.col("filing_date").cast("string")))
     pool = cal.sessions(spark, START, END).where(F.col("session").between("1995-01-01", "2001-08-01"))

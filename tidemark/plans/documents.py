@@ -85,30 +85,28 @@ BYTES = " || ".join(f"chr({c})" for c in [*range(2, 9), *range(14, 28)])
 NOVELTY = f"""WITH {STATEMENTS_CTE},
 cur AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY char_start) - 1 AS pos, translate(regexp_replace(quoted_text, '{WS}+', ' ', 'g'), '{ACCENTS}', {BYTES}) AS t FROM stm),
 pf AS (SELECT doc_id, lag(doc_id) OVER (PARTITION BY source, lang ORDER BY doc_id) AS prior_id FROM documents),
-pr AS (SELECT c.doc_id, c.pos, p.pos AS prior_pos, 1 - levenshtein(c.t, p.t) / greatest(length(c.t), length(p.t)) AS s FROM cur c JOIN pf USING (doc_id) JOIN cur p ON p.doc_id = pf.prior_id
-  AND abs(length(c.t) - length(p.t)) <= floor(greatest(length(c.t), length(p.t)) * 0.35 + 1e-9)),
-best AS (SELECT doc_id, pos, max(s) AS similarity, arg_max(prior_pos, (s, -prior_pos)) AS prior_pos FROM pr WHERE s >= 0.65 GROUP BY ALL)
-SELECT c.doc_id, prior_id, c.pos::INT AS pos, round(similarity, 6) AS similarity, CASE WHEN similarity = 1 THEN 'unchanged' WHEN similarity IS NOT NULL THEN 'changed' ELSE 'new_statement' END AS novelty, prior_pos::INT AS prior_pos
+pr AS (SELECT c.doc_id, c.pos, p.pos AS prior_pos, 1 - levenshtein(c.t, p.t) / greatest(length(c.t), length(p.t)) AS s FROM cur c JOIN pf USING (doc_id) JOIN cur p ON p.doc_id = pf.prior_id),
+best AS (SELECT doc_id, pos, max(s) AS similarity, arg_max(prior_pos, (s, -prior_pos)) AS prior_pos FROM pr GROUP BY ALL)
+SELECT c.doc_id, prior_id, c.pos::INT AS pos, round(coalesce(similarity, 0), 6) AS similarity, CASE WHEN similarity = 1 THEN 'unchanged' WHEN similarity >= 0.65 THEN 'changed' ELSE 'new_statement' END AS novelty,
+  CASE WHEN similarity >= 0.65 THEN prior_pos END::INT AS prior_pos
 FROM cur c JOIN pf USING (doc_id) LEFT JOIN best b USING (doc_id, pos) WHERE prior_id IS NOT NULL"""
 
 
 def filing_pairs(spark, sf_dir):
-    """Every document with the previous one of its (source, language); texts become statement arrays."""
+    """Every document with the previous one of its (source, language), by id only."""
     d = table(spark, sf_dir, "documents")
     f = d.select(F.concat_ws("/", "source", "lang").alias("issuer"), F.timestamp_seconds(F.col("doc_id") * 86400).alias("at"), "doc_id")
-    pairs = wd.prior_filing(f, "issuer", "at", ["doc_id"]).where("prior_doc_id IS NOT NULL").select("doc_id", "prior_doc_id")
-    arr = F.transform(tx.statement_array(F.col("text")), lambda x, i: F.struct(i.alias("pos"), F.regexp_replace(x["quoted_text"], WS + "+", " ").alias("text"), x["sec_item"].alias("item")))
-    texts = d.select("doc_id", arr.alias("s"))
-    j = pairs.join(texts.withColumnRenamed("s", "current"), "doc_id")
-    return j.join(texts.select(F.col("doc_id").alias("prior_doc_id"), F.col("s").alias("prior")), "prior_doc_id")
+    return wd.prior_filing(f, "issuer", "at", ["doc_id"]).where("prior_doc_id IS NOT NULL").select("doc_id", F.col("prior_doc_id").alias("prior_id"))
 
 
 @query("novelty_best", NOVELTY)
 def novelty_best(spark, sf_dir):
     """J31, J32, F9."""
-    p = stage(filing_pairs(spark, sf_dir), "pairs").repartition("doc_id")
-    b = p.select("doc_id", F.col("prior_doc_id").alias("prior_id"), F.inline(wd.best_prior(F.col("current"), F.col("prior"))))
-    return rounded(b, ["similarity"])
+    each = F.transform(tx.statement_array(F.col("text")), lambda x, i: F.struct(i.alias("pos"), F.regexp_replace(x["quoted_text"], WS + "+", " ").alias("text"), x["sec_item"].alias("item")))
+    statements = stage(table(spark, sf_dir, "documents").select("doc_id", F.inline(each)), "statements")
+    pairs = stage(filing_pairs(spark, sf_dir), "pairs")
+    prior = pairs.join(statements.withColumnRenamed("doc_id", "prior_id"), "prior_id")
+    return rounded(wd.best_prior(pairs.join(statements, "doc_id"), prior, ["doc_id", "prior_id"]), ["similarity"])
 
 
 @query("span_weight_signal", """WITH s AS (SELECT conv_id, length(text) AS w, CASE role WHEN 'user' THEN 0.2::DOUBLE WHEN 'assistant' THEN 0.1::DOUBLE ELSE 0.3::DOUBLE END AS neg,
