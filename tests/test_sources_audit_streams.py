@@ -1,3 +1,5 @@
+import numpy as np
+import time
 import hashlib
 import json
 from datetime import date, datetime
@@ -123,3 +125,35 @@ def test_stream_counts_filings_out_of_order(spark, tmp_path):
         mk(ids, year).write.mode("append").parquet(src)
         sp.incremental_counts(sp.file_stream(spark, src, "*.parquet", mk([], 2024).schema), "accession", ["company", "form"], out, ck).awaitTermination()
     assert sp.counted(spark, out, ["company", "form"]).first().n == 12
+
+
+def test_late_quotes_and_orders_meet_whatever_batch_they_come_in(spark, tmp_path):
+    """Three batches out of order, months apart, give the pairs of one batch join; what cannot match is kept with its reason."""
+    from datetime import datetime, timedelta
+
+    from tidemark.streaming import pipelines as sp
+    rng = np.random.default_rng(3)
+    t0 = datetime(2024, 1, 1)
+    rows = []
+    for i in range(240):
+        at = t0 + timedelta(minutes=int(rng.integers(0, 60 * 24 * 100)))
+        side = "order" if i % 3 == 0 else "quote"
+        rows.append((side, f"{side}{i}", "hot" if i % 2 else f"k{i % 5}", at, at + timedelta(minutes=int(rng.integers(0, 200)))))
+    odd = [("quote", "q-null", None, t0, t0), ("quote", "q-clock", "hot", None, t0), ("order", None, "hot", t0, t0), ("note", "n", "hot", t0, t0), ("quote", "q-early", "hot", t0, t0 - timedelta(1)), rows[0], rows[100]]
+    schema = "side string, id string, k string, at timestamp, seen_at timestamp"
+    order = rng.permutation(len(rows))
+    for b in range(3):
+        part = [rows[i] for i in order[b::3]] + (odd if b == 2 else [])
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)  # files are taken in order of their time
+    age = 3 * 86400
+    out = f"{tmp_path}/out"
+    stream = sp.file_stream(spark, f"{tmp_path}/in", "*.parquet", spark.read.parquet(f"{tmp_path}/in").schema, 1)
+    sp.quotes_for_orders(stream, age, out, f"{tmp_path}/check").awaitTermination()
+    got = [(r.order_id, r.quote_id) for r in spark.read.parquet(f"{out}/matches").collect()]
+    want = sorted((o[1], q[1]) for o in rows if o[0] == "order" for q in rows if q[0] == "quote" and o[2] == q[2] and 0 <= (o[3] - q[3]).total_seconds() <= age and q[4] <= o[3])
+    assert sorted(got) == want and len(want) > 20
+    rejected = sorted((r.reason, r.id) for r in spark.read.parquet(f"{out}/rejected").collect() if r.id)
+    assert rejected == sorted([("no_key", "q-null"), ("no_clock", "q-clock"), ("unknown_side", "n"), ("seen_before_event", "q-early"), ("duplicate", rows[0][1]), ("duplicate", rows[100][1])])
+    assert spark.read.parquet(f"{out}/rejected").where("id IS NULL").count() == 1
+    assert spark.read.parquet(f"{out}/matches").select("batch").distinct().count() == 3

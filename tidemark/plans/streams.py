@@ -43,11 +43,9 @@ def stream_documents(spark, sf_dir):
 @query("stream_quotes", """WITH q AS (SELECT event_id AS quote_id, user_id AS k, ts AS quote_at FROM events WHERE event_type <> 'error'), o AS (SELECT event_id AS order_id, user_id AS k, ts AS order_at FROM events WHERE event_type = 'error')
 SELECT order_id, arg_max(quote_id, (quote_at, quote_id)) AS quote_id FROM o JOIN q USING (k) WHERE quote_at BETWEEN order_at - INTERVAL 6 HOUR AND order_at GROUP BY 1""")
 def stream_quotes(spark, sf_dir):
-    """Latest visible quote per order from a stream-stream join."""
-    e = _events(spark, sf_dir)
-    q = e.where("event_type <> 'error'").select(F.col("event_id").alias("quote_id"), F.col("user_id").alias("k"), F.col("at").alias("quote_at"), F.col("at").alias("seen_at"))
-    o = _events(spark, sf_dir).where("event_type = 'error'").select(F.col("event_id").alias("order_id"), F.col("user_id").alias("k"), F.col("at").alias("order_at"))
-    out = _place(spark, "matches")
-    pairs = sp.quotes_for_orders(o, q, "k", "order_at", "quote_at", "seen_at", "6 HOURS", "31 days").select("order_id", "quote_id", "quote_at")
-    pairs.writeStream.format("parquet").option("path", out).option("checkpointLocation", _place(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(pairs.schema).parquet(out).groupBy("order_id").agg(F.max_by("quote_id", F.struct("quote_at", "quote_id")).alias("quote_id"))
+    """Latest visible quote per order from stored sides."""
+    order = F.col("event_type") == "error"
+    rows = _events(spark, sf_dir).where("event_type IS NOT NULL").select(F.when(order, "order").otherwise("quote").alias("side"), F.col("event_id").alias("id"), F.col("user_id").alias("k"), "at", F.col("at").alias("seen_at"))
+    out = _place(spark, "quotes")
+    sp.quotes_for_orders(rows, 6 * 3600, out, _place(spark, "checkpoint")).awaitTermination()
+    return spark.read.parquet(f"{out}/matches").groupBy("order_id").agg(F.max_by("quote_id", F.struct("quote_at", "quote_id")).alias("quote_id"))

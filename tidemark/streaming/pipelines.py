@@ -63,13 +63,63 @@ def document_batches(pages: DataFrame, doc: str, html: str, out: str, checkpoint
     return pages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def quotes_for_orders(orders: DataFrame, quotes: DataFrame, key: str, order_at: str, quote_at: str, seen_at: str, age: str, late: str) -> DataFrame:
-    """Stream-stream interval join — quotes stamped within `age` before the order and visible by then.
-
-    Both sides carry watermarks and the age bounds the join state.
+def quotes_for_orders(rows: DataFrame, age: int, out: str, checkpoint: str, day_seconds: int = 86400) -> StreamingQuery:
+    """Quotes stamped at most `age` seconds before an order and visible by then, however late either side arrives.
+
+    `rows` carries both sides: side ('order' or 'quote'), id, k (key), at (its own clock), seen_at (when a quote became visible). Every micro-batch is
+    stored by side and day, then its orders meet all stored quotes and its quotes the orders of earlier batches. Both joins are equi-joins on
+    key and age-wide time bucket, over the stored days that the batch touches. Nothing leaves by age. Rows that can match nothing go to
+    `rejected` with a reason: no_id, no_key, no_clock, unknown_side, seen_before_event, duplicate (of an id in this or an earlier batch).
+    A replayed batch replaces what it wrote.
     """
-    o = orders.withWatermark(order_at, late)
-    q = quotes.withWatermark(quote_at, late).withColumnRenamed(key, "_k")
-    cond = ((F.col(key) == F.col("_k")) & (F.col(quote_at) <= F.col(order_at)) & (F.col(quote_at) >= F.col(order_at) - F.expr(f"INTERVAL {age}"))
-            & (F.col(seen_at) <= F.col(order_at)))
-    return o.join(q, cond, "inner").drop("_k")
+    kept = ["id", "k", "at", "seen_at"]
+    bucket = lambda c: F.floor(F.unix_micros(c) / (age * 1_000_000))
+    day = F.floor(F.unix_micros("at") / (day_seconds * 1_000_000))
+
+    def stored(df: DataFrame, side: str, before: int, days: DataFrame, reach: tuple[int, int]) -> DataFrame | None:
+        """Rows of `side` from batches before `before`, in days within `reach` of `days`."""
+        found = written(df.sparkSession, f"{out}/{side}")
+        if found is None:
+            return None
+        near = days.select(F.explode(F.sequence(F.col("day") + reach[0], F.col("day") + reach[1])).alias("day")).distinct()
+        return found.where(F.col("batch") < before).join(F.broadcast(near), "day", "left_semi")
+
+    def run(df: DataFrame, batch: int) -> None:
+        spark = df.sparkSession
+        clock = F.col("at").isNull() | ((F.col("side") == "quote") & F.col("seen_at").isNull())
+        reason = (F.when(~F.coalesce(F.col("side").isin("order", "quote"), F.lit(False)), "unknown_side").when(F.col("id").isNull(), "no_id").when(F.col("k").isNull(), "no_key")
+                  .when(clock, "no_clock").when((F.col("side") == "quote") & (F.col("seen_at") < F.col("at")), "seen_before_event"))
+        marked = df.select("side", *kept).withColumn("reason", reason)
+        sound = marked.where("reason IS NULL").drop("reason")
+        new = sound.groupBy("side", "id").agg(F.min(F.struct("at", "k", "seen_at")).alias("r"), F.count("*").alias("n"))
+        fresh, again = new.select("side", "id", "r.*", "n"), []
+        for side in ("order", "quote"):
+            known = written(spark, f"{out}/{side}")
+            mine = fresh.where(F.col("side") == side)
+            if known is not None:
+                seen = known.where(F.col("batch") < batch).select("id")
+                again.append(mine.join(seen, "id", "left_semi").withColumn("n", F.col("n") + 1))
+                mine = mine.join(seen, "id", "left_anti")
+            again.append(mine)
+            mine.select(*kept, day.alias("day"), F.lit(batch).alias("batch")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "day").parquet(f"{out}/{side}")
+        twice = again[0]
+        for part in again[1:]:
+            twice = twice.unionByName(part)
+        twice = twice.where("n > 1").select("side", *kept, F.lit("duplicate").alias("reason"), F.explode(F.sequence(F.lit(2), F.col("n").cast("int")))).drop("col")
+        marked.where("reason IS NOT NULL").unionByName(twice).withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{out}/rejected")
+        wide = -(-age // day_seconds)
+        now = {side: spark.read.parquet(f"{out}/{side}").where(F.col("batch") == batch) for side in ("order", "quote")}
+        pairs = []
+        for side, other, before, reach in (("order", "quote", batch + 1, (-wide, 0)), ("quote", "order", batch, (0, wide))):
+            far = stored(df, other, before, now[side].select("day").distinct(), reach)
+            pairs.append((now["order"], far) if side == "order" else (far, now["quote"]))
+        found = None
+        for o, q in pairs:
+            o = o.select(F.col("id").alias("order_id"), "k", F.col("at").alias("order_at"), F.explode(F.array(bucket("at") - 1, bucket("at"))).alias("b"))
+            q = q.select(F.col("id").alias("quote_id"), "k", F.col("at").alias("quote_at"), "seen_at", bucket("at").alias("b"))
+            gap = F.unix_micros("order_at") - F.unix_micros("quote_at")
+            m = o.join(q, ["k", "b"]).where(gap.between(0, age * 1_000_000) & (F.col("seen_at") <= F.col("order_at"))).select("order_id", "quote_id", "order_at", "quote_at")
+            found = m if found is None else found.unionByName(m)
+        found.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{out}/matches")
+
+    return rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
