@@ -157,3 +157,31 @@ def test_late_quotes_and_orders_meet_whatever_batch_they_come_in(spark, tmp_path
     assert rejected == sorted([("no_key", "q-null"), ("no_clock", "q-clock"), ("unknown_side", "n"), ("seen_before_event", "q-early"), ("duplicate", rows[0][1]), ("duplicate", rows[100][1])])
     assert spark.read.parquet(f"{out}/rejected").where("id IS NULL").count() == 1
     assert spark.read.parquet(f"{out}/matches").select("batch").distinct().count() == 3
+
+
+def test_latest_quote_of_a_size_with_a_hot_instrument(spark):
+    """Against all pairs, with most rows in one key, broken quantities, sizes beyond the tree and quotes too old."""
+    from datetime import datetime, timedelta
+
+    from tidemark.operators import accounts as ac
+    rng = np.random.default_rng(5)
+    t0 = datetime(2024, 1, 1)
+    at = lambda hours: t0 + timedelta(seconds=int(rng.integers(0, hours * 3600)))
+    size = lambda: float(rng.choice([0, 1, 2.5, 3, 7, 8, 9, 64, 65.5, 3e6, 5e6]))
+    quotes = []
+    for i in range(220):
+        a, bid = at(60), float(rng.integers(10, 20))
+        quotes.append((f"q{i:03d}", "hot" if i % 3 else "cold", a, a + timedelta(seconds=int(rng.integers(0, 900))), bid, bid + 1, size(), size(), "update"))
+    orders = [(i, "hot" if i % 2 else "cold", at(70), "buy" if i % 3 else "sell", float(rng.choice([0.5, 1, 2, 2.2, 7.5, 8, 64, 65, 2.5e6, 4e6]))) for i in range(160)]
+    qd = spark.createDataFrame(quotes, "quote_id string, k string, at timestamp, available_at timestamp, bid double, ask double, bid_size double, ask_size double, evidence_kind string")
+    od = spark.createDataFrame(orders, "oid int, k string, t timestamp, side string, n double")
+    got = {r.oid: (r.quote_id, r.price) for r in ac.fill_price(od, qd, "k", "oid", "t", "side", "n", 6 * 3600.0).collect()}
+    assert len(got) == len(orders)
+    served = 0
+    for oid, k, t, side, n in orders:
+        each = [(a, v, i, ask if side == "buy" else bid) for i, q, a, v, bid, ask, bs, az, _ in quotes
+                if q == k and a <= t and v <= t and (t - a).total_seconds() <= 6 * 3600 and (az if side == "buy" else bs) >= n]
+        best = max(each, default=None)
+        assert got[oid] == ((best[2], best[3]) if best else (None, None)), oid
+        served += best is not None
+    assert 40 < served < 160

@@ -14,6 +14,10 @@ from ..staging import stage
 from .asof import epoch_bucket, prefix_max, running_total
 
 
+#: Children of a node of the size tree, and its levels: whole sizes below _FAN ** _LEVELS are leaves of their own.
+_FAN, _LEVELS = 8, 7
+
+
 def entry_quote(orders: DataFrame, quotes: DataFrame, key: str, at: str, max_age: float, bucket_seconds: int = 3600) -> DataFrame:
     """Latest usable quote known at the clock, not older than `max_age` seconds.
 
@@ -33,12 +37,15 @@ def entry_quote(orders: DataFrame, quotes: DataFrame, key: str, at: str, max_age
 def fill_price(orders: DataFrame, quotes: DataFrame, key: str, oid: str, at: str, side: str, quantity: str, max_age: float) -> DataFrame:
     """Most recent quote that can serve the whole order on its side.
 
-    Nearly all orders are served by the latest visible quote. Only orders whose latest quote is too small look
-    further back, through an equi-join on age-wide time buckets.
+    Nearly all orders are served by the latest visible quote. For the others the question is the latest quote of at least a size. Whole sizes are
+    leaves of a tree of _FAN children a node: a quote stands in its node of every level, and the sizes from an order's quantity on are at
+    most _FAN - 1 whole nodes a level. Each is a plain as-of lookup (running maxima per key, side and node), so no order meets all quotes of a
+    hot key. Only a quantity that is no whole number, or beyond the tree, also looks at the one leaf that its bound cuts.
     """
     q = quotes.where((F.col("available_at") >= F.col("at")) & (F.col("bid") <= F.col("ask")) & (F.col("evidence_kind") == "update"))
     q = stage(q.withColumn("_seen", F.greatest("at", "available_at")).withColumn("_size", F.greatest("bid_size", "ask_size")).where("_size > 0"), "quotes")
-    best = F.struct(F.col("at").alias("quote_at"), F.col("available_at").alias("quote_available"), "quote_id", "bid", "ask", "bid_size", "ask_size")
+    fields = [F.col("at").alias("quote_at"), F.col("available_at").alias("quote_available"), "quote_id", "bid", "ask", "bid_size", "ask_size"]
+    best = F.struct(*fields)
     age = lambda c: (F.unix_micros(F.col(at)) - F.unix_micros(c)) / 1e6
     buy = F.col(side) == "buy"
     ok = lambda p: F.when(buy, F.col(f"{p}ask_size")).otherwise(F.col(f"{p}bid_size")) >= F.col(quantity)
@@ -46,16 +53,35 @@ def fill_price(orders: DataFrame, quotes: DataFrame, key: str, oid: str, at: str
     first = stage(prefix_max(orders, q, [key], at, "_seen", best, "_q", epoch_bucket(3600)), "latest")
     known = F.col("_q").isNotNull() & (age(F.col("_q.quote_at")) <= max_age)
     served = first.where(known & ok("_q.")).select(*orders.columns, price("_q.").alias("price"), F.col("_q.quote_id").alias("quote_id"))
-    small = first.where(known & ~ok("_q.")).select(*orders.columns)
+    small = stage(first.where(known & ~ok("_q.")).select(*orders.columns), "small_orders")
     none = first.where(~F.coalesce(known, F.lit(False))).select(*orders.columns, F.lit(None).cast("double").alias("price"), F.lit(None).cast(quotes.schema["quote_id"].dataType).alias("quote_id"))
+    # quotes in the tree, by the side that takes them
+    bits, top = _FAN.bit_length() - 1, _FAN ** _LEVELS - 1
+    leaf = lambda c: F.least(F.floor(c), F.lit(top)).cast("bigint")
+    sides = F.explode(F.array(*[F.struct(F.lit(b).alias("_buy"), leaf(F.col(c)).alias("_leaf")) for b, c in ((True, "ask_size"), (False, "bid_size"))])).alias("_s")
+    placed = q.join(small.select(key).distinct(), key, "left_semi").select("*", sides).select("*", "_s.*").where("_leaf >= 0")
+    levels = [F.struct(F.lit(l).alias("_level"), F.shiftright("_leaf", bits * l).alias("_node")) for l in range(_LEVELS)]
+    in_tree = placed.select(key, "_buy", "_seen", best.alias("_best"), F.inline(F.array(*levels)))
+    need = F.greatest(F.ceil(F.col(quantity)), F.lit(0)).cast("bigint")
+
+    def later(l):
+        own = F.shiftright("_need", bits * l)
+        start, end = own + (0 if l == 0 else 1), own + (_FAN - 1) - own % _FAN
+        return F.when(start <= end, F.transform(F.sequence(start, end), lambda n: F.struct(F.lit(l).alias("_level"), n.alias("_node")))).otherwise(F.array().cast("array<struct<_level:int,_node:bigint>>"))
+
+    asked = small.select(F.col(oid), F.col(key), F.col(at), buy.alias("_buy"), need.alias("_need")).where(F.col("_need") <= top)
+    asked = asked.select(oid, key, at, "_buy", F.inline(F.flatten(F.array(*[later(l) for l in range(_LEVELS)]))))
+    met = prefix_max(asked, in_tree, [key, "_buy", "_level", "_node"], at, "_seen", F.col("_best"), "_q", epoch_bucket(3600)).where("_q IS NOT NULL").select(oid, "_q")
+    # the leaf that a broken quantity cuts
+    cut = small.where((F.col(quantity) != F.floor(F.col(quantity))) | (need > top)).select("*", buy.alias("_buy"), leaf(F.col(quantity)).alias("_leaf"))
     width = int(max(max_age, 1))
     b = lambda c: F.floor(F.unix_micros(c) / (width * 1_000_000))
-    s = small.withColumn("_b", F.explode(F.array(b(F.col(at)) - 1, b(F.col(at)))))
-    c = s.join(q.withColumn("_b", b(F.col("at"))).withColumnRenamed("at", "quote_at"), [key, "_b"])
-    c = c.where((age(F.col("quote_at")).between(0, max_age)) & (F.col("available_at") <= F.col(at)) & ok(""))
-    pick = c.groupBy(oid).agg(F.max_by(F.struct(price("").alias("price"), "quote_id"), F.struct("quote_at", "available_at", "quote_id")).alias("_p"))
-    back = small.join(pick, oid, "left").select(*orders.columns, "_p.price", "_p.quote_id")
-    return served.unionByName(back).unionByName(none)
+    s = cut.withColumn("_b", F.explode(F.array(b(F.col(at)) - 1, b(F.col(at)))))
+    c = s.join(placed.select(key, "_buy", "_leaf", b(F.col("at")).alias("_b"), best.alias("_q"), "_seen"), [key, "_buy", "_leaf", "_b"])
+    edge = c.where((F.col("_seen") <= F.col(at)) & ok("_q.")).select(oid, "_q")
+    pick = met.unionByName(edge).groupBy(oid).agg(F.max("_q").alias("_q"))
+    back = small.join(pick, oid, "left").withColumn("_q", F.when(age(F.col("_q.quote_at")).between(0, max_age), F.col("_q")))
+    return served.unionByName(back.select(*orders.columns, price("_q.").alias("price"), F.col("_q.quote_id").alias("quote_id"))).unionByName(none)
 
 
 def next_session(public: DataFrame, sessions: DataFrame, at: str, latency: int, entry_delay: int, exit_before: int) -> DataFrame:
