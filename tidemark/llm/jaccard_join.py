@@ -297,9 +297,9 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     surveyed = survey(docs, k)
     rows = surveyed.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "id")
     regions = windows(docs, k, percent, frequent(surveyed))
-    # regions with at least two different sets, and their most ordinary member
-    cells, _ = staged_small(regions.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min(F.struct("rare", "id", "n")).alias("p")).where("least < most")
-                            .select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.rare").alias("pivot_rare")), "jaccard-cells")
+    # regions with at least two different sets, and their most ordinary member; they grow with the corpus, so the join shuffles at every size
+    cells = stage(regions.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min(F.struct("rare", "id", "n")).alias("p")).where("least < most")
+                  .select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.rare").alias("pivot_rare")), "jaccard-cells")
     live = stage(regions.join(cells, "key").select("key", "id", "n", "pos", "pivot", "pivot_n", "pivot_rare").distinct(), "jaccard-live")
     profile = stage(surveyed.where("kind = 0 and n > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").cast("int").alias("n"), F.first("slots").alias("slots")), "jaccard-profile")
     nodes = profile.select("id", "first")
