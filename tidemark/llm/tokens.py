@@ -19,9 +19,9 @@ import pyarrow.compute as pc
 from tidemark.llm.common import release, sliced
 
 #: Pieces that a worker remembers (about 200 bytes each); when full it starts anew.
-MEMORY = 400_000
+MEMORY = 500_000
 #: Bytes of text that are cut at a time.
-STEP = 1 << 21
+STEP = 1 << 22
 # White space that a piece must not start with.
 _AWKWARD = r" [ \t\n\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
