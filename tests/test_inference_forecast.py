@@ -126,3 +126,30 @@ def test_boards_carry_intervals(spark):
     top = boards.rank(spark.createDataFrame([("call", "21", 3.0, 2.0, 4.0, 80), ("call", "42", 1.0, -1.0, 2.0, 80), ("call", "exp", 1.0, None, None, 3)],
                                             "strategy string, horizon string, difference double, ci_lo double, ci_hi double, n_a long")).collect()
     assert [(r.strategy, r.horizons_ci_excludes_0) for r in top] == [("call", 1)]
+
+
+def test_binomial_p_in_the_row_at_any_size(spark):
+    from math import comb
+    cases = [(k, n) for n in (1, 2, 3, 7, 12, 31) for k in range(n + 1)] + [(480, 1000), (500, 1000), (0, 1000), (49_700, 100_000)]
+    got = {(r.k, r.n): r.p_value for r in inf.binomial_p(spark.createDataFrame(cases, "k long, n long"), [], "k", "n").collect()}
+    for k, n in cases:
+        if n > 5000:
+            continue
+        pk = comb(n, k)
+        want = min(1.0, sum(c for c in (comb(n, i) for i in range(n + 1)) if c <= pk * (1 + 1e-7)) / 2 ** n)
+        assert got[k, n] == pytest.approx(want, rel=1e-9)
+    assert got[49_700, 100_000] == pytest.approx(0.058, abs=0.002)
+
+
+def test_ranks_with_half_of_the_rows_in_one_key(spark):
+    rng = np.random.default_rng(7)
+    rows = [("hot" if i % 2 else f"k{i % 6}", float(rng.integers(0, 40)) if i % 3 else float(rng.normal()), float(rng.normal())) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, a double, b double")
+    import pandas as pd
+    want = pd.DataFrame(rows, columns=["k", "a", "b"])
+    ranked = {(r.k, r.a): r.r for r in inf.ranks(df, ["k"], "a", "r", pieces=7).collect()}
+    for (k, a), r in zip(want[["k", "a"]].itertuples(index=False), want.groupby("k")["a"].rank()):
+        assert ranked[k, a] == r
+    got = {r.k: r.spearman for r in inf.spearman(df, ["k"], "a", "b").collect()}
+    for k, g in want.groupby("k"):
+        assert got[k] == pytest.approx(np.corrcoef(g["a"].rank(), g["b"].rank())[0, 1])

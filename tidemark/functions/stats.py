@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from math import e as E
 
@@ -70,3 +71,17 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 def bonferroni(p: Column, tests: Column) -> Column:
     """R13."""
     return F.least(p * tests, F.lit(1.0))
+
+
+# Coefficients of Stirling's series of the log-gamma function.
+_STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188)
+
+
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x >= 1, by Stirling's series at x + 10 and the recurrence back."""
+    z = x.cast("double") + 10
+    shift = F.lit(0.0)
+    for i in range(10):
+        shift = shift + F.log(x + i)
+    tail = sum((F.lit(c) / F.pow(z, F.lit(2 * k + 1.0)) for k, c in enumerate(_STIRLING)), F.lit(0.0))
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + tail - shift

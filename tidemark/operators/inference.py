@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..staging import stage
 from .quantiles import exact_quantiles
 
 
@@ -32,37 +33,50 @@ def psr_dsr(mom: DataFrame, trials: int = 47) -> DataFrame:
 
 
 def binomial_p(counts: DataFrame, keys: Sequence[str], k: str, n: str) -> DataFrame:
-    """Two-sided exact binomial p against one half.
+    """Two-sided exact binomial p against one half, in the row.
 
-    Log factorials come from one running sum over 1..max(n); n counts episodes or days.
+    Against one half the outcomes no likelier than k are both tails from the nearer one, m = min(k, n - k): twice the lower tail, or 1 in the
+    middle. The tail is the probability of m, by log-gamma, times a sum of falling ratios that ends after some 45 standard deviations.
     """
-    top = counts.agg(F.max(n).alias("t"))
-    seq = top.select(F.explode(F.sequence(F.lit(0), F.col("t"))).alias("i"))
-    w = W.partitionBy(F.lit(0)).orderBy("i").rowsBetween(W.unboundedPreceding, 0)
-    lf = F.broadcast(seq.select("i", F.sum(F.when(F.col("i") > 0, F.log("i")).otherwise(0.0)).over(w).alias("lf")))
-    j = counts.withColumn("i", F.explode(F.sequence(F.lit(0), F.col(n))))
-    j = j.join(lf.select("i", F.col("lf").alias("l1")), "i").withColumn("r", F.col(n) - F.col("i"))
-    j = j.join(lf.select(F.col("i").alias("r"), F.col("lf").alias("l2")), "r").join(lf.select(F.col("i").alias(n), F.col("lf").alias("l3")), n)
-    j = j.withColumn("pmf", F.exp(F.col("l3") - F.col("l1") - F.col("l2") - F.col(n) * F.log(F.lit(2.0))))
-    at = j.where(F.col("i") == F.col(k)).select(*keys, F.col("pmf").alias("pk"))
-    j = j.join(at, list(keys))
-    p = F.sum(F.when(F.col("pmf") <= F.col("pk") * (1 + 1e-7), F.col("pmf")))
-    return j.groupBy(*keys, k, n).agg(F.least(p, F.lit(1.0)).alias("p_value"))
+    m, size = F.least(F.col(k), F.col(n) - F.col(k)), F.col(n)
+    log_pmf = stats.log_gamma(size + 1) - stats.log_gamma(m + 1) - stats.log_gamma(size - m + 1) - size * F.log(F.lit(2.0))
+    steps = F.least(m, F.ceil(F.sqrt(size) * 45) + 1).cast("int")
+    start = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
+
+    def fall(acc, i):
+        t = acc["t"] * (m - i + 1) / (size - m + i)
+        return F.struct(t.alias("t"), (acc["s"] + t).alias("s"))
+    ratios = F.when(steps < 1, F.lit(1.0)).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(steps, F.lit(1))), start, fall, lambda x: x["s"]))
+    p = F.when(2 * m == size, F.lit(1.0)).otherwise(F.least(2 * F.exp(log_pmf) * ratios, F.lit(1.0)))
+    return counts.select(*keys, k, n, p.alias("p_value"))
+
+
+def ranks(d: DataFrame, keys: Sequence[str], value: str, name: str, pieces: int = 64) -> DataFrame:
+    """Average ranks of the values of each key: (keys, value, name), a row per distinct value.
+
+    Values are counted first. Rows are dealt to ranges of the value (edges from a mergeable sketch of all keys together), counted and ranked
+    inside (key, range), and each range starts at the sum of the ranges before it, so a key with most of the rows is spread over all ranges.
+    """
+    cnt = d.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    edges = d.agg(F.percentile_approx(value, F.array(*[F.lit(i / pieces) for i in range(1, pieces)]), 1000).alias("e")).select(F.array_distinct("e").alias("e"))
+    cnt = cnt.withColumn("_e", edges.scalar()).withColumn("_piece", F.size(F.filter("_e", lambda e: e < F.col(value)))).drop("_e")
+    cnt = stage(cnt, "ranks")   # read twice
+    sums = cnt.groupBy(*keys, "_piece").agg(F.sum("_n").alias("_s"))   # `pieces` rows a key at most
+    before = sums.withColumn("_before", F.sum("_s").over(W.partitionBy(*keys).orderBy("_piece")) - F.col("_s")).drop("_s")
+    w = W.partitionBy(*keys, "_piece").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    inside = cnt.withColumn("_in", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    return inside.join(before, [*keys, "_piece"]).select(*keys, value, (F.col("_before") + F.col("_in") + (F.col("_n") + 1) / 2).alias(name))
 
 
 def spearman(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
     """Rank correlation with average ranks.
 
-    Ranks come from value counts, so ties are reduced before the ordered window.
+    Ranks come from value counts in ranges of the value, so ties are reduced and no window holds a whole key.
     """
     d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    def ranks(c):
-        cnt = d.groupBy(*keys, c).agg(F.count("*").alias("_n"))
-        w = W.partitionBy(*keys).orderBy(c).rowsBetween(W.unboundedPreceding, -1)
-        return cnt.select(*keys, c, (F.coalesce(F.sum("_n").over(w), F.lit(0)) + (F.col("_n") + 1) / 2).alias(f"_r_{c}"))
-    r = d.join(ranks(a), [*keys, a]).join(ranks(b), [*keys, b])
+    r = d.join(ranks(d, keys, a, "_ra"), [*keys, a]).join(ranks(d, keys, b, "_rb"), [*keys, b])
     hit = F.avg((F.signum(a) == F.signum(b)).cast("int"))
-    return r.groupBy(*keys).agg(F.count("*").alias("n"), F.corr(f"_r_{a}", f"_r_{b}").alias("spearman"), hit.alias("hit_rate"))
+    return r.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("_ra", "_rb").alias("spearman"), hit.alias("hit_rate"))
 
 
 def quantile_buckets(df: DataFrame, keys: Sequence[str], by: str, bins: int = 10) -> DataFrame:

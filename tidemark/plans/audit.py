@@ -10,48 +10,66 @@ from ..operators.asof import running_total
 from ..staging import stage
 from .registry import query, table
 
-CUST = "to_json({'c_custkey': c_custkey, 'c_mktsegment': c_mktsegment, 'c_name': c_name, 'c_nationkey': c_nationkey})"
-
-
-def content_sql(name, source, obj):
+# Columns of the provided tables by kind: i integer, s text, f double, t timestamp, v vector of floats.
+COLUMNS = {
+    "region": "r_regionkey i, r_name s", "nation": "n_nationkey i, n_name s, n_regionkey i",
+    "customer": "c_custkey i, c_name s, c_nationkey i, c_acctbal f, c_mktsegment s", "supplier": "s_suppkey i, s_name s, s_nationkey i, s_acctbal f",
+    "part": "p_partkey i, p_name s, p_brand s, p_type s, p_size i, p_retailprice f",
+    "orders": "o_orderkey i, o_custkey i, o_orderstatus s, o_totalprice f, o_orderdate t, o_orderpriority s",
+    "lineitem": "l_orderkey i, l_partkey i, l_suppkey i, l_linenumber i, l_quantity f, l_extendedprice f, l_discount f, l_tax f, l_returnflag s, l_linestatus s, l_shipdate t",
+    "events": "event_id i, ts t, user_id i, event_type s, value f, props s", "documents": "doc_id i, text s, lang s, source s, n_chars i",
+    "embeddings": "vec_id i, embedding v, label i", "pages": "page_id i, url s, html s", "benchmark": "item_id i, text s",
+    "labels": "doc_id i, quality i, toxic i", "conversations": "conv_id i, turn i, role s, text s"}
+
+
+def _encoded_sql(c: str, kind: str) -> str:
+    number = lambda x, digits=12: f"'F' || CASE WHEN isnan({x}::DOUBLE) THEN 'NaN' WHEN isinf({x}::DOUBLE) THEN CASE WHEN {x} > 0 THEN 'Infinity' ELSE '-Infinity' END ELSE printf('%.{digits}e', {x}::DOUBLE + 0) END || ';'"
+    out = {"i": f"'I' || {c} || ';'", "s": f"'S' || strlen({c}) || ':' || {c}", "f": number(c), "t": f"'T' || epoch_us({c}) || ';'",
+           "v": f"'A' || len({c}) || ':' || coalesce(list_aggregate(list_transform({c}, lambda x: CASE WHEN x IS NULL THEN 'N' ELSE {number('x', 8)} END), 'string_agg', ''), '')"}[kind]
+    return f"CASE WHEN {c} IS NULL THEN 'N' ELSE {out} END"
+
+
+def content_sql(name: str, source: str | None = None) -> str:
     words = ", ".join(f"coalesce(sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT), 0)::BIGINT::VARCHAR" for i in range(8))
-    return f"""SELECT '{name}' AS table_name, count(*) AS rows, sha256(concat_ws('|', count(*)::VARCHAR, {words})) AS sha256 FROM (SELECT sha256({obj}::VARCHAR) AS h FROM {source})"""
+    row = " || ".join(f"'{len(c)}:{c}=' || {_encoded_sql(c, k)}" for c, k in sorted(x.split() for x in COLUMNS[name].split(", ")))
+    return f"SELECT '{name}' AS table_name, count(*) AS rows, sha256(concat_ws('|', count(*)::VARCHAR, {words})) AS sha256 FROM (SELECT sha256({row}) AS h FROM {source or name})"
 
 
-def cust(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+ALL_TABLES = " UNION ALL ".join(content_sql(t) for t in COLUMNS)
 
 
-def nat(spark, sf_dir):
-    return table(spark, sf_dir, "nation")
+def tables(spark, sf_dir):
+    return {t: table(spark, sf_dir, t) for t in COLUMNS}
 
 
-NAT = "to_json({'n_name': n_name, 'n_nationkey': n_nationkey, 'n_regionkey': n_regionkey})"
+@query("table_manifest", ALL_TABLES)
+def table_manifest(spark, sf_dir):
+    """All columns of all provided tables."""
+    return au.manifest(tables(spark, sf_dir))
 
 
-@query("table_manifest", f"{content_sql('customer', 'customer', CUST)} UNION ALL {content_sql('nation', 'nation', NAT)}")
-def table_manifest(spark, sf_dir):
-    """V1, K1, F11."""
-    return au.manifest({"customer": cust(spark, sf_dir), "nation": nat(spark, sf_dir)})
+CHANGED = {"customer": "(SELECT * REPLACE (CASE WHEN c_custkey = 7 THEN 'X' ELSE c_name END AS c_name) FROM customer)", "lineitem": "(SELECT * REPLACE (l_tax + CASE WHEN l_orderkey % 100 = 1 THEN 0.01 ELSE 0 END AS l_tax) FROM lineitem)"}
 
 
-@query("manifest_compare", f"""WITH a AS ({content_sql('customer', 'customer', CUST)} UNION ALL {content_sql('nation', 'nation', NAT)}),
-b AS ({content_sql('customer', "(SELECT * REPLACE (CASE WHEN c_custkey = 7 THEN 'X' ELSE c_name END AS c_name) FROM customer)", CUST)} UNION ALL {content_sql('nation', 'nation', NAT)})
+@query("manifest_compare", f"""WITH a AS ({ALL_TABLES}), b AS ({" UNION ALL ".join(content_sql(t, CHANGED.get(t)) for t in COLUMNS if t != "labels")})
 SELECT table_name, a.rows AS rows_a, b.rows AS rows_b, coalesce(a.sha256 = b.sha256, false) AS identical FROM a FULL JOIN b USING (table_name)""")
 def manifest_compare(spark, sf_dir):
-    """J43."""
-    changed = cust(spark, sf_dir).withColumn("c_name", F.when(F.col("c_custkey") == 7, "X").otherwise(F.col("c_name")))
-    return au.compare_manifests(au.manifest({"customer": cust(spark, sf_dir), "nation": nat(spark, sf_dir)}), au.manifest({"customer": changed, "nation": nat(spark, sf_dir)}))
+    """A run against one with a changed name, changed taxes and a missing table."""
+    a = tables(spark, sf_dir)
+    b = {t: d for t, d in a.items() if t != "labels"}
+    b["customer"] = b["customer"].withColumn("c_name", F.when(F.col("c_custkey") == 7, "X").otherwise(F.col("c_name")))
+    b["lineitem"] = b["lineitem"].withColumn("l_tax", F.col("l_tax") + F.when(F.col("l_orderkey") % 100 == 1, 0.01).otherwise(0.0))
+    return au.compare_manifests(au.manifest(a), au.manifest(b))
 
 
-@query("table_diff", """WITH a AS (SELECT c_custkey, c_name FROM customer), b AS (SELECT c_custkey, CASE WHEN c_nationkey = 3 THEN upper(c_name) ELSE c_name END AS c_name FROM customer),
+@query("table_diff", """WITH a AS (SELECT * FROM orders), b AS (SELECT * REPLACE (CASE WHEN o_custkey % 50 = 3 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice) FROM orders WHERE o_orderkey % 97 <> 0),
 l AS (SELECT * FROM a EXCEPT ALL SELECT * FROM b), r AS (SELECT * FROM b EXCEPT ALL SELECT * FROM a)
-SELECT c_custkey, c_name, 'left' AS side, count(*) AS copies FROM l GROUP BY ALL UNION ALL SELECT c_custkey, c_name, 'right', count(*) FROM r GROUP BY ALL""")
+SELECT *, 'left' AS side, count(*) AS copies FROM l GROUP BY ALL UNION ALL SELECT *, 'right', count(*) FROM r GROUP BY ALL""")
 def table_diff(spark, sf_dir):
-    """J43, T9."""
-    a = table(spark, sf_dir, "customer")
-    b = a.withColumn("c_name", F.when(F.col("c_nationkey") == 3, F.upper("c_name")).otherwise(F.col("c_name")))
-    return au.table_diff(a.select("c_custkey", "c_name"), b.select("c_custkey", "c_name"))
+    """All columns of the orders against a run with changed and missing rows."""
+    a = table(spark, sf_dir, "orders")
+    b = a.where("o_orderkey % 97 <> 0").withColumn("o_totalprice", F.when(F.col("o_custkey") % 50 == 3, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return au.table_diff(a, b)
 
 
 @query("export_audit", """WITH e AS (SELECT 'doc_' || doc_id AS table_name, CASE WHEN doc_id < 30 THEN -1 ELSE n_chars END AS expected_rows, CASE WHEN lang = 'de' THEN sha256('x') ELSE upper(sha256(text)) END AS expected_sha256 FROM documents),

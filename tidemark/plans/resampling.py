@@ -36,7 +36,7 @@ def boot_diff(spark, sf_dir):
     return rounded(rs.bootstrap_difference(e.where("value > 50"), e.where("value <= 50"), ["k"], "event_id", "value"), ["ci_lo", "ci_hi"])
 
 
-ONE = f"{BT}, one AS (SELECT series, day, net_ret, px_ret * in_season::INT AS bench, pos_prev, px_ret, row_number() OVER (PARTITION BY series ORDER BY day) AS ord FROM bt WHERE series = '1-URGENT')"
+EVERY = f"{BT}, one AS (SELECT series, day, net_ret, px_ret * in_season::INT AS bench, pos_prev, px_ret, row_number() OVER (PARTITION BY series ORDER BY day) AS ord FROM bt)"
 
 
 def block_cte(x, cols, seed, src="one"):
@@ -45,50 +45,49 @@ def block_cte(x, cols, seed, src="one"):
     tot = ", ".join(f"sum(b.s_{c} - a.s_{c}) AS s_{c}, sum(b.q_{c} - a.q_{c}) AS q_{c}" for c in cols)
     sh = ", ".join(f"CASE WHEN (q_{c} - s_{c} * s_{c} / n) / (n - 1) > 1e-30 THEN s_{c} / n / sqrt((q_{c} - s_{c} * s_{c} / n) / (n - 1)) * sqrt(252) END AS {c}" for c in cols)
     return f"""
-{x}p AS (SELECT ord, {sums} FROM {src} WINDOW w AS (ORDER BY ord) UNION ALL SELECT 0, {zero}),
-{x}g AS (SELECT rep, slot, n, floor({hashed(f"'{seed}'", "rep", "slot")} * (n - 20))::INT AS a FROM (SELECT max(ord) AS n FROM {x}p), range(5000) r(rep), range(5000) s(slot) WHERE slot < ceil(n / 21.0)),
-{x}t AS (SELECT rep, n, {tot} FROM {x}g JOIN {x}p a ON a.ord = {x}g.a JOIN {x}p b ON b.ord = {x}g.a + least(21, n - slot * 21) GROUP BY rep, n),
-{x}h AS (SELECT rep, {sh} FROM {x}t)"""
+{x}p AS (SELECT series, ord, {sums} FROM {src} WINDOW w AS (PARTITION BY series ORDER BY ord) UNION ALL SELECT DISTINCT series, 0, {zero} FROM {src}),
+{x}g AS (SELECT series, rep, slot, n, floor({hashed(f"'{seed}'", "rep", "slot")} * (n - 20))::INT AS a FROM (SELECT series, max(ord) AS n FROM {x}p GROUP BY 1), range(5000) r(rep), range(5000) s(slot) WHERE slot < ceil(n / 21.0)),
+{x}t AS (SELECT {x}g.series, rep, n, {tot} FROM {x}g JOIN {x}p a ON a.series = {x}g.series AND a.ord = {x}g.a JOIN {x}p b ON b.series = {x}g.series AND b.ord = {x}g.a + least(21, n - slot * 21) GROUP BY ALL),
+{x}h AS (SELECT series, rep, {sh} FROM {x}t)"""
 
 
-def _one(spark, sf_dir):
-    d = backtest(spark, sf_dir).where("series = '1-URGENT'")
-    return d.withColumn("bench", F.col("px_ret") * F.col("in_season").cast("int"))
+def _series(spark, sf_dir):
+    return backtest(spark, sf_dir).withColumn("bench", F.col("px_ret") * F.col("in_season").cast("int"))
 
 
-@query("block_boot", f"""{ONE}, {block_cte('k', ['net_ret', 'bench'], 0)}
-SELECT '1-URGENT' AS series, round(quantile_cont(net_ret, 0.025), 5) AS sharpe_lo, round(quantile_cont(net_ret, 0.975), 5) AS sharpe_hi,
-  round(quantile_cont(net_ret - bench, 0.025), 5) AS diff_lo, round(quantile_cont(net_ret - bench, 0.975), 5) AS diff_hi, round(avg((net_ret - bench <= 0)::INT), 6) AS diff_p FROM kh""")
+@query("block_boot", f"""{EVERY}, {block_cte('k', ['net_ret', 'bench'], 0)}
+SELECT series, round(quantile_cont(net_ret, 0.025), 5) AS sharpe_lo, round(quantile_cont(net_ret, 0.975), 5) AS sharpe_hi,
+  round(quantile_cont(net_ret - bench, 0.025), 5) AS diff_lo, round(quantile_cont(net_ret - bench, 0.975), 5) AS diff_hi, round(avg((net_ret - bench <= 0)::INT), 6) AS diff_p FROM kh GROUP BY 1""")
 def block_boot(spark, sf_dir):
-    """Block bootstrap of a Sharpe ratio and of its paired difference to a seasonal benchmark."""
-    r = stage(rs.block_sharpes(_one(spark, sf_dir), ["series"], "day", ["net_ret", "bench"]).withColumn("d", F.col("net_ret") - F.col("bench")), "reps")
+    """Block bootstrap of every series' Sharpe ratio and of its paired difference to a seasonal benchmark."""
+    r = stage(rs.block_sharpes(_series(spark, sf_dir), ["series"], "day", ["net_ret", "bench"]).withColumn("d", F.col("net_ret") - F.col("bench")), "reps")
     a = rs.interval(r, ["series"], "net_ret").toDF("series", "sharpe_lo", "sharpe_hi")
     b = rs.interval(r, ["series"], "d").toDF("series", "diff_lo", "diff_hi")
     p = r.groupBy("series").agg(F.round(F.avg((F.col("d") <= 0).cast("int")), 6).alias("diff_p"))
     return rounded(a.join(b, "series").join(p, "series"), ["sharpe_lo", "sharpe_hi", "diff_lo", "diff_hi"], 5)
 
 
-@query("centred_p", f"""{ONE}, cen AS (SELECT ord, net_ret - avg(net_ret) OVER () AS c FROM one), {block_cte('k', ['c'], 1, 'cen')},
-ob AS (SELECT avg(net_ret) / stddev_samp(net_ret) * sqrt(252) AS o FROM one) SELECT '1-URGENT' AS series, round(avg((c >= o)::INT), 6) AS p_value FROM kh, ob WHERE c IS NOT NULL""")
+@query("centred_p", f"""{EVERY}, cen AS (SELECT series, ord, net_ret - avg(net_ret) OVER (PARTITION BY series) AS c FROM one), {block_cte('k', ['c'], 1, 'cen')},
+ob AS (SELECT series, avg(net_ret) / stddev_samp(net_ret) * sqrt(252) AS o FROM one GROUP BY 1) SELECT series, round(avg((c >= o)::INT), 6) AS p_value FROM kh JOIN ob USING (series) WHERE c IS NOT NULL GROUP BY 1""")
 def centred_p(spark, sf_dir):
-    """R5."""
-    d = _one(spark, sf_dir)
+    """R5, every series."""
+    d = _series(spark, sf_dir)
     obs = d.groupBy("series").agg(se.moment_sharpe(F.col("net_ret")).alias("observed"), F.avg("net_ret").alias("_m"))
-    c = d.join(F.broadcast(obs), "series").withColumn("c", F.col("net_ret") - F.col("_m"))
+    c = d.join(obs, "series").withColumn("c", F.col("net_ret") - F.col("_m"))
     reps = rs.block_sharpes(c, ["series"], "day", ["c"], seed=1)
     return rounded(inf.centred_p(reps, ["series"], "c", obs), ["p_value"])
 
 
-@query("perm_test", f"""{ONE}, o AS (SELECT ord - 1 AS ord, pos_prev AS p, px_ret AS r FROM one), n AS (SELECT count(*) AS n FROM o),
-ob AS (SELECT sum(p * r) / n / sqrt((sum(p * r * p * r) - sum(p * r) * sum(p * r) / n) / (n - 1)) * sqrt(252) AS o FROM o, n GROUP BY n),
-dr AS (SELECT 1 + floor({hashed("'0'", "'shift'", "id")} * (n - 1))::INT AS shift, count(*) AS w FROM range(5000) t(id), n GROUP BY 1),
-mv AS MATERIALIZED (SELECT shift, w, p, (ord + shift) % n AS target FROM dr, n, o),
-g AS (SELECT shift, w, sum(mv.p * b.r) AS s, sum(mv.p * b.r * mv.p * b.r) AS q FROM mv JOIN o b ON b.ord = target GROUP BY 1, 2),
-h AS (SELECT w, CASE WHEN (q - s * s / n) / (n - 1) > 1e-30 THEN s / n / sqrt((q - s * s / n) / (n - 1)) * sqrt(252) END AS sh FROM g, n)
-SELECT '1-URGENT' AS series, round(any_value(o), 6) AS observed, round(sum(CASE WHEN sh >= o THEN w ELSE 0 END) / sum(w), 6) AS p_value FROM h, ob WHERE sh IS NOT NULL""")
+@query("perm_test", f"""{EVERY}, o AS (SELECT series, ord - 1 AS ord, pos_prev AS p, px_ret AS r FROM one), n AS (SELECT series, count(*) AS n FROM o GROUP BY 1),
+ob AS (SELECT series, sum(p * r) / n / sqrt((sum(p * r * p * r) - sum(p * r) * sum(p * r) / n) / (n - 1)) * sqrt(252) AS o FROM o JOIN n USING (series) GROUP BY series, n),
+dr AS (SELECT series, 1 + floor({hashed("'0'", "'shift'", "id")} * (n - 1))::INT AS shift, count(*) AS w FROM range(5000) t(id), n GROUP BY ALL),
+mv AS MATERIALIZED (SELECT series, shift, w, p, (ord + shift) % n AS target FROM dr JOIN n USING (series) JOIN o USING (series)),
+g AS (SELECT mv.series, shift, w, sum(mv.p * b.r) AS s, sum(mv.p * b.r * mv.p * b.r) AS q FROM mv JOIN o b ON b.series = mv.series AND b.ord = target GROUP BY ALL),
+h AS (SELECT series, w, CASE WHEN (q - s * s / n) / (n - 1) > 1e-30 THEN s / n / sqrt((q - s * s / n) / (n - 1)) * sqrt(252) END AS sh FROM g JOIN n USING (series))
+SELECT series, round(any_value(o), 6) AS observed, round(sum(CASE WHEN sh >= o THEN w ELSE 0 END) / sum(w), 6) AS p_value FROM h JOIN ob USING (series) WHERE sh IS NOT NULL GROUP BY 1""")
 def perm_test(spark, sf_dir):
-    """R6."""
-    return rounded(rs.shift_permutation(_one(spark, sf_dir), ["series"], "day", "pos_prev", "px_ret"), ["observed", "p_value"])
+    """R6, every series."""
+    return rounded(rs.shift_permutation(_series(spark, sf_dir), ["series"], "day", "pos_prev", "px_ret"), ["observed", "p_value"])
 
 
 COMP = """o AS (SELECT (o_orderdate::DATE - DATE '1970-01-01') // 5 AS block, o_custkey || ':' || strftime(o_orderdate, '%Y-%m') AS g, o_totalprice / 1000 - 150 AS diff FROM orders),
