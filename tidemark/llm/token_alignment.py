@@ -35,9 +35,9 @@ from tidemark.llm.tokens import _AWKWARD, _LINE, Pieces, vocabulary
 from tidemark.staging import stage
 
 #: Bytes of text in a block; steps of a piece of the merge.
-BLOCK, WORK = 1 << 21, 64
+BLOCK, WORK = 1 << 20, 64
 #: Distinct words, and their bytes, that a worker remembers.
-MEMORY, MEMORY_BYTES = 400_000, 1 << 25
+MEMORY, MEMORY_BYTES = 150_000, 1 << 24
 _WHOLE = _AWKWARD + r"|^[ \n]| $|\x{2581}"
 #: Before a whole text among the words; no word holds it.
 _MARK = "▁"
