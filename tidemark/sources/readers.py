@@ -32,8 +32,8 @@ def _colons(ddl: str) -> str:
 
 
 def csv_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Header CSV with forced types; malformed rows fail the job."""
-    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+    """Header CSV with forced types and doubled quotes inside quoted cells; malformed rows fail the job."""
+    return spark.read.schema(schema).option("header", True).option("escape", '"').option("mode", "FAILFAST").csv(path)
 
 
 def strict_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -159,7 +159,7 @@ def registrations(spark: SparkSession, path: str) -> DataFrame:
 
 def ledger(spark: SparkSession, path: str) -> DataFrame:
     """Exact line text and order of a hash-chained ledger (one file, line number within the file)."""
-    body = spark.read.option("wholetext", True).text(path)
+    body = spark.read.text(path, wholetext=True)
     lines = body.select(F.col("_metadata.file_path").alias("file_path"), F.posexplode(F.split("value", "\n")).alias("seq", "line"))
     return lines.where(F.length(F.trim("line")) > 0)
 
