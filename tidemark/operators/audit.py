@@ -220,9 +220,3 @@ def reconciliation(facts: DataFrame, keys: Sequence[str], as_of: str | None = No
     r = g.select(*keys, F.inline(F.array(*[F.struct(F.lit(n).alias("check_name"), F.col(f"{n}_reported").alias("reported"), F.col(f"{n}_calc").alias("computed")) for n in names])))
     diff = F.col("reported") - F.col("computed")
     return r.withColumn("residual", diff).withColumn("status", F.when(diff.isNull(), "not_disclosed").when(F.abs(diff) <= 0.5, "reconciled").otherwise("unresolved"))
-
-
-def derived_quarter(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """V6: missing fourth quarter from the year and its three quarters."""
-    x = lambda p: F.max(F.when(F.col("period") == p, F.col("value")))
-    return facts.groupBy(*keys).agg((x("FY") - x("Q1") - x("Q2") - x("Q3")).alias("q4_derived"))

@@ -3,7 +3,7 @@
 import importlib
 
 _MODULES = ("calendar_events", "marks", "study", "resampling", "series", "weather", "documents",
-            "catalog", "audit", "accounts", "forecast", "streams", "landed")
+            "catalog", "audit", "accounts", "forecast", "streams", "landed", "facts")
 
 
 def load() -> None:
