@@ -268,33 +268,6 @@ def test_suffix_tree(docs, rows, empty):
     assert suffix_tree.score(empty).count() == 0
 
 
-def test_automaton_uses_longest_kept_suffix():
-    """Against a direct look-up of the longest kept context at every byte."""
-    rng = np.random.default_rng(2)
-    d = suffix_tree.DEPTH
-    text = rng.choice([97, 98, 99, 10], 3000).astype(np.uint8)
-    stream = np.concatenate([np.full(d, 10, np.uint8), text])
-    kept = {b"", b"a", b"ba", b"cba", b"b", b"ab", b"bbc"}
-    rows = []
-    for key in kept:
-        seen = collections.Counter(int(stream[i]) for i in range(d, len(stream)) if bytes(stream[i - len(key):i]) == key or not key)
-        rows += [(len(key), int.from_bytes(key, "big"), s, c) for s, c in seen.items()]
-    net = suffix_tree.Automaton(rows)
-    table = {b"": None}
-    probability = {}
-    for key in sorted(kept, key=len):
-        n = np.zeros(256)
-        for length, context, s, c in rows:
-            if length == len(key) and context == int.from_bytes(key, "big"):
-                n[s] = c
-        up = next((probability[key[i:]] for i in range(1, len(key) + 1) if key[i:] in probability), None)
-        m = np.count_nonzero(n)
-        probability[key] = (n + 0.5) / (n.sum() + 128) if up is None else (n + m * up) / (n.sum() + m)
-        assert probability[key].sum() == pytest.approx(1)
-    direct = [math.log10(probability[max((k for k in kept if bytes(stream[i - len(k):i]) == k), key=len)][stream[i]]) for i in range(d, len(stream))]
-    assert np.allclose(net.score(stream), direct, atol=1e-5) and table
-
-
 def test_license_scan(docs, rows, empty):
     token = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     by = collections.defaultdict(list)
@@ -317,3 +290,14 @@ def test_license_overlaps(spark):
     assert got.labels == "cc-by-nc,cc-by-nc-sa,lgpl-2.1,mit,mit-0" and got.base_labels == "cc-by-nc"
     rules = license_rules.rules()
     assert len(rules) > 200 and all(re.compile(p.replace("(?= )", "")) for _, _, p, *_ in rules)
+
+
+def test_exact_dedup_stage_tells_rows_of_one_id_apart(spark):
+    """A copy goes even where another row of its id stays; wholly equal rows are one; extra and clashing columns stay as they are."""
+    from tidemark.llm.exact_dedup import stage_exact_dedup
+    rows = [(1, "a", 10), (2, "b", 20), (2, "a", 21), (3, "c", 30), (3, "c", 30), (None, "d", 40), (None, " d", 41), (None, "a", 42), (4, None, 50), (5, "", 51), (6, "b  ", 60), (6, "e", 61)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept int").repartition(3)
+    got = sorted(((r.doc_id, r.text, r.kept) for r in stage_exact_dedup(spark, docs, "").collect()), key=str)
+    assert sorted((i, t) for i, t, _ in got if i is not None) == [(1, "a"), (2, "b"), (3, "c"), (4, None), (6, "b  "), (6, "e")]
+    assert [t for i, t, _ in got if i is None] in (["d"], [" d"], ["d", " d"], [" d", "d"])
+    assert stage_exact_dedup(spark, docs.limit(0), "").columns == ["doc_id", "text", "kept"]

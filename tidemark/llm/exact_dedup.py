@@ -44,17 +44,24 @@ def refine(docs: DataFrame, digest_all: bool = False) -> DataFrame:
 
 
 def stage_exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their exact copies; the row with the smallest doc_id of each group stays, and of rows that repeat doc_id and text one."""
+    """Documents without their exact copies; of each group the row with the smallest doc_id stays, and of rows that repeat doc_id and text one.
+
+    Decisions are by doc_id where all rows of an id fare alike; rows of the other ids are told apart by the digest of their text.
+    """
     found = stage(refine(docs), "dedup-result")
     once = keep_rows(docs, found.where("kept").select("doc_id").distinct(), "dedup-kept")
-    again = found.where("kept and group_size > 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    if again.isEmpty():
+    per_id = found.groupBy("doc_id").agg(F.bool_or("kept").alias("some"), F.bool_and("kept").alias("all"), F.count_if(F.col("kept") & (F.col("group_size") > 1)).alias("n"))
+    odd = per_id.where("some AND (NOT all OR n > 1)").select("doc_id")
+    if odd.isEmpty():
         return once
-    repeated = keep_rows(once, again, "dedup-repeated")
-    ids, _ = staged_small(again.toDF("__again"), "dedup-again")
-    single = once.join(ids, once["doc_id"].eqNullSafe(F.col("__again")), "left_anti")
-    body = F.regexp_replace(whole("text"), SPACE, " ")
-    return single.unionByName(repeated.withColumn("__body", F.sha2(body.cast("binary"), 256)).dropDuplicates(["doc_id", "__body"]).drop("__body"))
+    ids, _ = staged_small(odd.toDF("__again"), "dedup-again")
+    plain = once.join(ids, once["doc_id"].eqNullSafe(F.col("__again")), "left_anti")
+    body = F.sha2(F.regexp_replace(whole("text"), SPACE, " ").cast("binary"), 256)
+    apart = once.join(ids, once["doc_id"].eqNullSafe(F.col("__again")), "left_semi").withColumn("__body", body)
+    gone = found.where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    gone, _ = staged_small(gone.join(ids, F.col("__id").eqNullSafe(F.col("__again")), "left_semi"), "dedup-gone")
+    apart = apart.join(gone, apart["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__body") == F.col("__digest")), "left_anti")
+    return plain.unionByName(apart.dropDuplicates(["doc_id", "__body"]).drop("__body"))
 
 
 SQL = r"""

@@ -23,8 +23,8 @@ from tidemark.llm.common import query, table
 SAMPLE, WINDOWS, WINDOW = 4000, 4, 192
 WIDTHS, FILTERS, DIMS = (2, 3, 4, 5), 8, 8
 EPOCHS, BATCH, RATE = 6, 128, 0.004
-#: The pipeline rejects texts without letters and those whose best language has a lower score.
-FLOOR = 0.3
+#: The pipeline rejects texts without letters and those whose best language scores less than this many times an even share of the learnt languages.
+FLOOR = 1.2
 _SPAN = max(WIDTHS)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -193,18 +193,24 @@ def _texts(net: ByteNet, data: np.ndarray, starts: np.ndarray, ends: np.ndarray)
     return mean - np.log(np.exp(mean).sum(axis=1, keepdims=True))
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    """`docs` (doc_id, text, lang, more) with lang_pred and score added."""
-    guess = predictor(train(docs))
+def identify(docs: DataFrame, net: ByteNet | None = None) -> DataFrame:
+    """`docs` (doc_id, text, lang, more) with lang_pred and score added, by `net` or by one trained on them."""
+    guess = predictor(net or train(docs))
     lettered = has_letter(F.col("text"))
     found = docs.withColumn("__p", guess(F.when(lettered, F.col("text"))))
     return found.withColumns({"lang_pred": F.coalesce("__p.lang", F.lit("und")), "score": F.coalesce("__p.score", F.lit(0.0))}).drop("__p")
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known: texts without letters and those with a score under FLOOR go."""
+    """Documents whose language is known: texts without letters go, and those whose best score is under FLOOR times an even share.
+
+    Without labelled text nothing can be told apart: then only texts without letters go.
+    """
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", "lang")
-    return identify(inner).where((F.col("lang_pred") != "und") & (F.col("score") >= FLOOR)).select("row.*")
+    net = train(inner)
+    if net is None:
+        return inner.where(has_letter(F.col("text"))).select("row.*")
+    return identify(inner, net).where((F.col("lang_pred") != "und") & (F.col("score") >= FLOOR / len(net.labels))).select("row.*")
 
 
 @query("op4_language_id")

@@ -247,63 +247,6 @@ def probabilities(survey_rows: DataFrame) -> DataFrame:
     return survey_rows.where("kind = 2").select("batch", "code", "codes", "counts").groupBy("code").applyInArrow(run, "batch long, grams binary, logs binary")
 
 
-class Automaton:
-    """A tree in one process, no longer used by `score`. States are the prefixes of kept contexts; each predicts by its longest kept suffix. Tables are (state, symbol), log10 probabilities."""
-
-    def __init__(self, rows: list[tuple[int, int, int, int]], depth: int = DEPTH):
-        used = np.unique([r[2] for r in rows]).astype(np.int64)
-        self.symbol = np.full(256, len(used), np.int64)  # the last column stands for each byte that training never saw
-        self.symbol[used] = np.arange(len(used))
-        width = len(used) + 1
-        counts: dict[bytes, np.ndarray] = {}
-        for length, context, symbol, n in rows:
-            key = int(context).to_bytes(depth, "big")[depth - length:]
-            counts.setdefault(key, np.zeros(width))[self.symbol[symbol]] = n
-        root = counts.pop(b"", np.zeros(width))
-        table = {b"": (root + 0.5) / (root.sum() + 128)}
-        for key in sorted(counts, key=len):
-            up = next(table[key[i:]] for i in range(1, len(key) + 1) if key[i:] in table)
-            n = counts[key]
-            weight = np.count_nonzero(n)
-            table[key] = (n + weight * up) / (n.sum() + weight)
-        states = {b"": 0}
-        for key in sorted(table, key=lambda k: (len(k), k)):
-            for i in range(1, len(key) + 1):
-                states.setdefault(key[:i], 0)
-        order = sorted(states, key=lambda k: (len(k), k))
-        states = {k: i for i, k in enumerate(order)}
-        step = np.zeros((len(order), width), np.int32)
-        logp = np.zeros((len(order), width), np.float32)
-        children: dict[bytes, list[bytes]] = {}
-        for key in order[1:]:
-            children.setdefault(key[:-1], []).append(key)
-        for key, i in states.items():
-            fail = next((states[key[k:]] for k in range(1, len(key)) if key[k:] in states), 0) if key else 0
-            if key:
-                step[i] = step[fail]
-            for c in children.get(key, ()):
-                step[i, self.symbol[c[-1]]] = states[c]
-            best = next(key[k:] for k in range(len(key) + 1) if key[k:] in table)
-            logp[i] = np.log10(table[best])
-        self.step, self.logp, self.width, self.depth = step.reshape(-1), logp.reshape(-1), width, depth
-        self.contexts = len(table) - 1
-
-    def score(self, stream: np.ndarray) -> np.ndarray:
-        """log10 probability of every byte of a stream but the first `depth`, which are only context."""
-        n = len(stream) - self.depth
-        lanes = max(1, -(-n // STRETCH))
-        symbols = np.full(lanes * STRETCH + self.depth, self.symbol[END], np.int64)
-        symbols[:len(stream)] = self.symbol[stream]
-        view = np.lib.stride_tricks.as_strided(symbols, (STRETCH + self.depth, lanes), (symbols.itemsize, symbols.itemsize * STRETCH))
-        out, state = np.empty((STRETCH, lanes), np.float32), np.zeros(lanes, np.int64)
-        for t in range(STRETCH + self.depth):
-            key = state * self.width + view[t]
-            if t >= self.depth:
-                out[t - self.depth] = self.logp[key]
-            state = self.step[key]
-        return out.T.reshape(-1)[:n]
-
-
 def score(docs: DataFrame) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = survey(docs)
