@@ -14,7 +14,7 @@ from ..staging import stage
 from .asof import epoch_bucket, prefix_max, running_total
 
 
-#: Children of a node of the size tree, and its levels: whole sizes below _FAN ** _LEVELS are leaves of their own.
+#: Children of a node of the size tree, and its levels at most: whole sizes below _FAN ** _LEVELS are leaves of their own.
 _FAN, _LEVELS = 8, 7
 
 
@@ -55,14 +55,17 @@ def fill_price(orders: DataFrame, quotes: DataFrame, key: str, oid: str, at: str
     served = first.where(known & ok("_q.")).select(*orders.columns, price("_q.").alias("price"), F.col("_q.quote_id").alias("quote_id"))
     small = stage(first.where(known & ~ok("_q.")).select(*orders.columns), "small_orders")
     none = first.where(~F.coalesce(known, F.lit(False))).select(*orders.columns, F.lit(None).cast("double").alias("price"), F.lit(None).cast(quotes.schema["quote_id"].dataType).alias("quote_id"))
-    # quotes in the tree, by the side that takes them
-    bits, top = _FAN.bit_length() - 1, _FAN ** _LEVELS - 1
+    # quotes in the tree, by the side that takes them; it is as deep as the largest of these orders asks (one number comes to the driver)
+    need = F.greatest(F.ceil(F.col(quantity)), F.lit(0)).cast("bigint")
+    largest, depth = small.agg(F.max(need)).first()[0] or 0, 1
+    while depth < _LEVELS and _FAN ** depth - 1 < largest:
+        depth += 1
+    bits, top = _FAN.bit_length() - 1, _FAN ** depth - 1
     leaf = lambda c: F.least(F.floor(c), F.lit(top)).cast("bigint")
     sides = F.explode(F.array(*[F.struct(F.lit(b).alias("_buy"), leaf(F.col(c)).alias("_leaf")) for b, c in ((True, "ask_size"), (False, "bid_size"))])).alias("_s")
     placed = q.join(small.select(key).distinct(), key, "left_semi").select("*", sides).select("*", "_s.*").where("_leaf >= 0")
-    levels = [F.struct(F.lit(l).alias("_level"), F.shiftright("_leaf", bits * l).alias("_node")) for l in range(_LEVELS)]
+    levels = [F.struct(F.lit(l).alias("_level"), F.shiftright("_leaf", bits * l).alias("_node")) for l in range(depth)]
     in_tree = placed.select(key, "_buy", "_seen", best.alias("_best"), F.inline(F.array(*levels)))
-    need = F.greatest(F.ceil(F.col(quantity)), F.lit(0)).cast("bigint")
 
     def later(l):
         own = F.shiftright("_need", bits * l)
@@ -70,7 +73,7 @@ def fill_price(orders: DataFrame, quotes: DataFrame, key: str, oid: str, at: str
         return F.when(start <= end, F.transform(F.sequence(start, end), lambda n: F.struct(F.lit(l).alias("_level"), n.alias("_node")))).otherwise(F.array().cast("array<struct<_level:int,_node:bigint>>"))
 
     asked = small.select(F.col(oid), F.col(key), F.col(at), buy.alias("_buy"), need.alias("_need")).where(F.col("_need") <= top)
-    asked = asked.select(oid, key, at, "_buy", F.inline(F.flatten(F.array(*[later(l) for l in range(_LEVELS)]))))
+    asked = asked.select(oid, key, at, "_buy", F.inline(F.flatten(F.array(*[later(l) for l in range(depth)]))))
     met = prefix_max(asked, in_tree, [key, "_buy", "_level", "_node"], at, "_seen", F.col("_best"), "_q", epoch_bucket(3600)).where("_q IS NOT NULL").select(oid, "_q")
     # the leaf that a broken quantity cuts
     cut = small.where((F.col(quantity) != F.floor(F.col(quantity))) | (need > top)).select("*", buy.alias("_buy"), leaf(F.col(quantity)).alias("_leaf"))

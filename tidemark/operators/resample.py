@@ -36,6 +36,10 @@ def weights(sizes: DataFrame, replicates: int, seed: int) -> DataFrame:
     return drawn.groupBy("m", "rep", "idx").agg(F.count("*").alias("w"))
 
 
+#: Weight of each 16-bit draw.
+_WEIGHT = np.searchsorted(np.array(POISSON), np.arange(1 << 16), "right").astype(np.float64)
+
+
 def _coefficients(replicates: int, seed: int) -> np.ndarray:
     """Three numbers below PRIME for each replicate, from digests of seed, replicate and their place."""
     digest = lambda rep, k: int(hashlib.md5(f"{seed}|{rep}|{k}".encode()).hexdigest()[:8], 16) % PRIME
@@ -46,7 +50,7 @@ def _weights(h: np.ndarray, abc: np.ndarray) -> np.ndarray:
     """Poisson(1) weight of each row (its number h) in each replicate."""
     x = (abc[0] * h[:, None] + abc[1]) % PRIME
     u = (x * ((x + abc[2]) % PRIME) % PRIME) >> 15
-    return np.searchsorted(np.array(POISSON), u, "right").astype(np.float64)
+    return _WEIGHT[u]
 
 
 def _parts(batch: pa.RecordBatch, keys: int):
@@ -120,7 +124,8 @@ def replicate_sums(df: DataFrame, keys: Sequence[str], row_id: str | Column, val
         out = _summed({k[:-1] + (k[-1],): v for k, v in held.items()}, ["-"], [*types, pa.string()])
         return pa.record_batch([*out.columns[:n + 1], *out.columns[n + 2:]], names=[f"k{i}" for i in range(n)] + ["name", "w", "wx"])
 
-    drawn = d.mapInArrow(draw, schema)
+    # thousands of draws a row cost far more than moving its few numbers, so a small or uneven scan is spread first
+    drawn = d.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(draw, schema)
     groups = [f"k{i}" for i in range(n)] + ["name"]
     joined = drawn.withColumn("_p", F.pmod(F.spark_partition_id(), F.lit(_PIECES))).repartition(*groups, "_p").drop("_p").mapInArrow(join, schema)
     each = joined.select(*groups, F.posexplode(F.arrays_zip("w", "wx")).alias("rep", "s"))
