@@ -2,6 +2,10 @@
 
 Language ID drops documents without a recognised language; exact dedup and the Jaccard join keep one document of each group; mixing repeats or
 leaves out documents so that sources come near their target weights; packing cuts what is left into token sequences and returns their pieces.
+
+Defined cases: texts that are null, empty or without letters go in the first stage; rows that repeat a doc_id are told apart by their text in exact
+dedup and are one document in the Jaccard join; a null doc_id is kept there; a null source is a source of its own; further columns, also ones named
+like those of the operators, stay as they are up to packing; an empty table gives an empty result; very long texts are handled whole.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ STAGES = [
     ("packing", stage_pack),
 ]
 
-#: The network of the first stage and the tokenizer of the last have no SQL; the stages are tested against brute force.
+#: The network of the first stage and the tokenizer of the last have no SQL; tests/llm/test_pipeline_stages.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
