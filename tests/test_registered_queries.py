@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUICK = ("session_align", "event_collapse", "placebo_sample", "scoreboard", "drawdown", "wilson_binomial", "dup_content", "filing_counts", "award_summary", "table_manifest", "fill_price", "gate_reasons", "label_gate", "stream_counts")
+QUICK = ("session_align", "event_collapse", "placebo_sample", "scoreboard", "drawdown", "wilson_binomial", "dup_content", "filing_counts", "award_summary", "table_manifest", "fill_price", "gate_reasons", "label_gate", "stream_counts", "pnl_path", "fact_views", "derived_quarters", "jsonl_errors", "stored_bodies", "snapshot_csv", "table_diff", "spearman", "stream_quotes")
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("TIDEMARK_ORACLE") == "all" else QUICK
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 

@@ -400,13 +400,13 @@ use AS (SELECT * FROM priced WHERE leg_code IN ('C_K', 'P_K', 'C_U0.05', 'P_L0.0
 pb AS (SELECT DISTINCT ticker, event_date, t_pre, t_0, bucket, expiration_date, spot, o.ord_incl AS o0, x.ord_incl AS o1 FROM use JOIN cal_day o ON o.day = t_0
   JOIN cal_day x ON x.day = least(expiration_date, DATE '{AS_OF}') WHERE x.ord_incl >= o.ord_incl),
 steps AS (SELECT pb.*, s.session AS day, s.ord - o0 AS step FROM pb JOIN cal_sessions s ON s.ord BETWEEN o0 AND o1),
-pd AS (SELECT s.*, leg_code, contract_ticker, strike FROM steps s JOIN use USING (ticker, event_date, bucket)),
+pd AS MATERIALIZED (SELECT s.*, leg_code, contract_ticker, strike FROM steps s JOIN use USING (ticker, event_date, bucket)),
 {mark_cte('pd', 'pm')},
 pw AS (SELECT ticker, event_date, bucket, expiration_date, t_0, day, step, max(strike) FILTER (leg_code = 'C_K') AS k, max(mark) FILTER (leg_code = 'C_K') AS c, max(mark) FILTER (leg_code = 'P_K') AS p,
   max(mark) FILTER (leg_code = 'C_U0.05') AS cu, max(mark) FILTER (leg_code = 'P_L0.05') AS pl FROM pd LEFT JOIN pm USING (contract_ticker, day) GROUP BY ALL),
 ps AS (SELECT *, k * exp(-0.04::DOUBLE * (greatest(date_diff('day', day, expiration_date), 0)::DOUBLE / 365)) + c - p AS s FROM pw)
-SELECT x.ticker, x.event_date, x.bucket, x.step::INT AS sessions_held, round(((x.s - e.s) + (x.pl - e.pl) - (x.cu - e.cu)) / e.s, 6) AS pnl
-FROM ps x JOIN ps e ON (e.ticker, e.event_date, e.bucket) = (x.ticker, x.event_date, x.bucket) AND e.step = 0"""
+SELECT ticker, event_date, bucket, step::INT AS sessions_held, round(((s - first_value(s) OVER w) + (pl - first_value(pl) OVER w) - (cu - first_value(cu) OVER w)) / first_value(s) OVER w, 6) AS pnl
+FROM ps WINDOW w AS (PARTITION BY ticker, event_date, bucket ORDER BY step)"""
 
 
 @query("pnl_path", PATH_SQL)
