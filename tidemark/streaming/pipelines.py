@@ -14,8 +14,9 @@ from ..sources import sinks
 
 
 def file_stream(spark: SparkSession, folder: str, pattern: str, schema, max_files: int | None = None) -> DataFrame:
-    r = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-    return (r.option("maxFilesPerTrigger", max_files) if max_files else r).parquet(folder)
+    """Files of `folder` whose path matches `pattern`; a match that is itself a folder of part files gives its files."""
+    r = spark.readStream.schema(schema)
+    return (r.option("maxFilesPerTrigger", max_files) if max_files else r).parquet(f"{folder}/{{{pattern}}}")   # braces: a plain name, too, is looked up as a pattern
 
 
 def written(spark: SparkSession, path: str) -> DataFrame | None:
