@@ -13,6 +13,18 @@ from pyspark.sql import functions as F
 from ..constants import SESSIONS_PER_YEAR
 
 
+def ratio(a: Column | str, b: Column | str) -> Column:
+    """a / b by IEEE rules: over zero the quotient is infinite, or NaN for zero over zero; null only where a part is."""
+    x, y = (F.col(c).cast("double") if isinstance(c, str) else c.cast("double") for c in (a, b))
+    return F.when((y == 0) & x.isNotNull(), x * float("inf")).otherwise(F.try_divide(x, y))
+
+
+def log_growth(ret: str) -> Column:
+    """ln(1 + r): a loss of everything is minus infinity, a larger one has no logarithm (NaN), so that what it compounds to is not read as a return."""
+    r = F.col(ret)
+    return F.when(r < -1, F.lit(float("nan"))).when(r == -1, F.lit(float("-inf"))).otherwise(F.log1p(r))
+
+
 def by(keys: Sequence[str], order: str):
     return W.partitionBy(*keys).orderBy(order)
 
@@ -41,7 +53,7 @@ def drawdown(d: DataFrame, keys: Sequence[str], day: str, value: str, base: Colu
 
 def compound(d: DataFrame, keys: Sequence[str], day: str, ret: str) -> DataFrame:
     """Running product of 1 + r."""
-    return d.withColumn("equity", F.exp(F.sum(F.log1p(ret)).over(by(keys, day).rowsBetween(W.unboundedPreceding, 0))))
+    return d.withColumn("equity", F.exp(F.sum(log_growth(ret)).over(by(keys, day).rowsBetween(W.unboundedPreceding, 0))))
 
 
 def episodes(d: DataFrame, keys: Sequence[str], day: str, pos: str, pnl: str) -> DataFrame:
@@ -96,7 +108,7 @@ def performance(d: DataFrame, keys: Sequence[str], day: str, base: float, split:
 
 def monthly_returns(d: DataFrame, keys: Sequence[str], day: str, ret: str) -> DataFrame:
     """Compounded months, one row per year."""
-    m = d.groupBy(*keys, F.year(day).alias("year"), F.month(day).alias("m")).agg((F.exp(F.sum(F.log1p(ret))) - 1).alias("r"))
+    m = d.groupBy(*keys, F.year(day).alias("year"), F.month(day).alias("m")).agg((F.exp(F.sum(log_growth(ret))) - 1).alias("r"))
     return m.groupBy(*keys, "year").pivot("m", list(range(1, 13))).agg(F.first("r")).toDF(*keys, "year", *[f"m{i:02d}" for i in range(1, 13)])
 
 
