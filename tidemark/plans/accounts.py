@@ -18,15 +18,15 @@ def quotes(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("event_type <> 'error'")
     at = F.col("ts").cast("timestamp")
     v = F.col("value")
-    return e.select(F.col("event_id").alias("quote_id"), F.col("user_id").alias("instrument_id"), at.alias("at"), F.timestamp_micros(F.unix_micros(at) + F.round(v * 100_000_000).cast("bigint")).alias("available_at"), v.alias("bid"),
-                    (v * 1.01).alias("ask"), (F.round(v * 2).cast("int") % 40).alias("bid_size"), (F.round(v * 3).cast("int") % 50).alias("ask_size"), F.lit("update").alias("evidence_kind"),
+    return e.select(F.col("event_id").alias("quote_id"), F.col("user_id").alias("instrument_id"), at.alias("at"), F.timestamp_micros(F.unix_micros(at) + F.rint(v * 100_000_000).cast("bigint")).alias("available_at"), v.alias("bid"),
+                    (v * 1.01).alias("ask"), (F.rint(v * 2).cast("int") % 40).alias("bid_size"), (F.rint(v * 3).cast("int") % 50).alias("ask_size"), F.lit("update").alias("evidence_kind"),
                     F.lit("USD").alias("currency"), F.lit(True).alias("raw_price"))
 
 
 def orders(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("event_type = 'error'")
     return e.select(F.col("event_id").alias("order_id"), F.col("user_id").alias("instrument_id"), F.col("ts").cast("timestamp").alias("order_at"), F.when(F.col("value") > 40, "buy").otherwise("sell").alias("side"),
-                    (1 + F.round("value").cast("int") % 20).alias("quantity"))
+                    (1 + F.rint("value").cast("int") % 20).alias("quantity"))
 
 
 @query("quote_asof", f"""WITH {QUOTES_CTE}, c AS (SELECT order_id, arg_max(quote_id, (at_ts, available_at, quote_id)) AS quote_id FROM o JOIN q USING (instrument_id) WHERE at_ts <= order_at AND available_at <= order_at AND order_at - at_ts <= INTERVAL 6 HOUR AND bid_size > 0 AND ask_size > 0 AND bid > 0 GROUP BY 1)
