@@ -181,22 +181,24 @@ def reconcile_trades(exits: DataFrame, trades: DataFrame, orders: DataFrame) ->
     return j.select("decision_id", "cash_gain", reason.alias("reason"))
 
 
-def nav_panel(sessions: DataFrame, marks: DataFrame, daily: DataFrame, account: Sequence[str], initial: float) -> DataFrame:
+def nav_panel(sessions: DataFrame, marks: DataFrame, daily: DataFrame, account: Sequence[str], initial: float, off: float | None = None) -> DataFrame:
     """NAV, return and reason per account and session.
 
     sessions: account keys, period, session_id, close_at. marks: account keys, period, mark_session, mark_at, nav. daily: account keys,
     period, gain, final_equity, is_flat (last ledger row of the session). Windows cover one account's sessions.
+    A mark is the ledger's within `off` units, however large both are; without it within a share of 1e-10.
     """
     k = [*account, "period"]
     j = sessions.join(marks, k, "left").join(daily, k, "left")
     near = lambda a, b: F.abs(a - b) <= F.greatest(1e-10 * F.greatest(F.abs(a), F.abs(b)), F.lit(1e-6))
+    marked = near(F.col("nav"), F.col("final_equity")) if off is None else F.abs(F.col("nav") - F.col("final_equity")) <= off
     w = W.partitionBy(*account).orderBy("period")
     open_position = F.coalesce(~F.col("is_flat"), F.lit(False))
     j = j.withColumn("_locked", F.coalesce(F.max(open_position.cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)) == 1, F.lit(False)))
     reason = (F.when(open_position, "unresolved_position_or_ledger").when(F.col("_locked"), "prior_unresolved_position").when(F.col("mark_session").isNull(), "missing_mark")
               .when(F.col("mark_session") != F.col("session_id"), "mark_session_mismatch").when(~F.col("mark_at").eqNullSafe(F.col("close_at")), "mark_timestamp_mismatch")
               .when(F.col("nav").isNull(), "missing_nav").when(~finite(F.col("nav")) | (F.col("nav") <= 0), "nonpositive_nav")
-              .when(F.col("final_equity").isNotNull() & ~near(F.col("nav"), F.col("final_equity")), "mark_ledger_mismatch"))
+              .when(F.col("final_equity").isNotNull() & ~marked, "mark_ledger_mismatch"))
     j = j.withColumn("reason", reason).withColumn("nav", F.when(F.col("reason").isNull(), F.col("nav")))
     prev = F.when(F.row_number().over(w) == 1, F.lit(initial)).otherwise(F.lag("nav").over(w))
     j = j.withColumn("_prev", prev)

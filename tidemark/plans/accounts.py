@@ -144,14 +144,14 @@ def nav_inputs(spark, sf_dir):
   CASE WHEN nav IS NULL THEN r1 WHEN prev IS NULL THEN 'prior_nav_missing' END AS reason FROM k""")
 def nav_panel(spark, sf_dir):
     """J25, W11."""
-    return rounded(rounded(ac.nav_panel(*nav_inputs(spark, sf_dir), ["account"], 1e6), ["nav"], 2), ["net_return"], 9)
+    return rounded(rounded(ac.nav_panel(*nav_inputs(spark, sf_dir), ["account"], 1e6, off=0.001), ["nav"], 2), ["net_return"], 9)
 
 
 @query("account_sharpe", f"""WITH {NAV_CTE}, x AS (SELECT account, CASE WHEN nav IS NOT NULL AND prev IS NOT NULL THEN nav / prev - 1 END AS r FROM k)
 SELECT account, count(r) AS periods, round(avg(r) * sqrt(252) / stddev_samp(r), 6) AS sharpe, round(avg((r > 0)::INT), 6) AS win_rate FROM x GROUP BY 1""")
 def account_sharpe(spark, sf_dir):
     """A29."""
-    return rounded(ac.account_sharpe(ac.nav_panel(*nav_inputs(spark, sf_dir), ["account"], 1e6), ["account"], 60), ["sharpe", "win_rate"])
+    return rounded(ac.account_sharpe(ac.nav_panel(*nav_inputs(spark, sf_dir), ["account"], 1e6, off=0.001), ["account"], 60), ["sharpe", "win_rate"])
 
 
 @query("gate_reasons", """WITH c AS (SELECT c_custkey, CASE WHEN c_nationkey = 4 THEN 'dup' ELSE c_custkey::VARCHAR END AS id, c_nationkey, c_acctbal, c_mktsegment FROM customer), n AS (SELECT id, count(*) AS n FROM c GROUP BY 1)
