@@ -98,12 +98,13 @@ def performance(d: DataFrame, keys: Sequence[str], day: str, base: float, split:
         F.try_divide(F.sum(F.greatest("net_pnl", F.lit(0.0))), -F.sum(F.least("net_pnl", F.lit(0.0)))).alias("profit_factor"))
     j = g.join(ep, pk, "left")
     ann, years = F.sqrt(F.lit(float(SESSIONS_PER_YEAR))), F.col("trading_days") / SESSIONS_PER_YEAR
-    cagr = F.pow(F.col("_last") / F.col("_b"), 1 / years) - 1
-    return j.select(*pk, "trading_days", (F.col("_last") / F.col("_b") - 1).alias("total_return"), cagr.alias("cagr"), (F.col("_sd") * ann).alias("volatility"),
-                    F.try_divide(F.col("_m"), F.col("_sd")).__mul__(ann).alias("sharpe"), F.try_divide(F.col("_m"), F.col("_down")).__mul__(ann).alias("sortino"),
-                    "max_drawdown", F.try_divide(cagr, F.abs("max_drawdown")).alias("calmar"), "episodes", "win_rate", "avg_episode_pnl", "profit_factor", "net_pnl",
-                    (F.col("_traded") / years).alias("turnover"), "costs", (F.try_divide(F.col("costs"), F.col("_traded_usd")) * 1e4).alias("cost_bps"),
-                    "uncharged_changes", (F.col("costs") / F.col("episodes") / F.col("_b") * 1e4).alias("cost_per_episode_bps"), "time_in_market")
+    growth = ratio("_last", "_b")
+    cagr = F.pow(growth, 1 / years) - 1
+    return j.select(*pk, "trading_days", (growth - 1).alias("total_return"), cagr.alias("cagr"), (F.col("_sd") * ann).alias("volatility"),
+                    (ratio("_m", "_sd") * ann).alias("sharpe"), (ratio("_m", "_down") * ann).alias("sortino"),
+                    "max_drawdown", ratio(cagr, F.abs("max_drawdown")).alias("calmar"), "episodes", "win_rate", "avg_episode_pnl", "profit_factor", "net_pnl",
+                    (F.col("_traded") / years).alias("turnover"), "costs", (ratio("costs", "_traded_usd") * 1e4).alias("cost_bps"),
+                    "uncharged_changes", (ratio(F.col("costs") / F.col("episodes"), F.col("_b")) * 1e4).alias("cost_per_episode_bps"), "time_in_market")
 
 
 def monthly_returns(d: DataFrame, keys: Sequence[str], day: str, ret: str) -> DataFrame:
