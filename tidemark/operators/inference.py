@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..staging import stage
 from .quantiles import exact_quantiles
+from .skew import key_lookup
 
 
 def moments(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -83,7 +84,7 @@ def quantile_buckets(df: DataFrame, keys: Sequence[str], by: str, bins: int = 10
     """Bucket number (1..bins) from exact quantile edges, right-closed like the usual qcut."""
     probs = {f"_q{i}": i / bins for i in range(1, bins)}
     edges = exact_quantiles(df, keys, by, probs)
-    j = df.join(edges, list(keys))
+    j = key_lookup(df, edges, keys)
     return j.withColumn("bucket", 1 + sum((F.col(by) > F.col(c)).cast("int") for c in probs)).drop(*probs)
 
 

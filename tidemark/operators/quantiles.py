@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from .skew import key_lookup
+
 _ACCURACY = 10_000
 _SLACK = 4.0 / _ACCURACY
 
@@ -31,10 +33,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
                  (F.col("_mn") if p <= _SLACK else F.when(small, F.col("_mn")).otherwise(F.col("_e")[2 * i])).alias("_lo"),
                  (F.col("_mx") if p >= 1 - _SLACK else F.when(small, F.col("_mx")).otherwise(F.col("_e")[2 * i + 1])).alias("_hi"))
         for i, (name, p) in enumerate(probs.items())]))
-    wanted = sketch.select(*keys, "_n", brackets)
     group = [*keys, "_q"]
     # Values under the bracket collapse into one NULL entry per map task; NULL sorts first in the window.
-    counts = (v.join(wanted, list(keys)).where("_v <= _hi")
+    counts = (key_lookup(v, sketch, keys).select(*keys, "_v", "_n", brackets).where("_v <= _hi")
               .groupBy(*group, "_p", "_n", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v"))
               .agg(F.count("*").alias("_cnt")))
     w = W.partitionBy(*group).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)

@@ -7,7 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import stage
+
 SHARE = 1000
+#: Per-key results of at most this many rows are broadcast whole.
+SMALL = 100_000
+
+
+def key_lookup(rows: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join of `rows` to a one-row-per-key table: broadcast after counting it, or by `hot_lookup` if it is large.
+
+    Left to the planner, a few keys fill few shuffle partitions, a broadcast is refused for that, and one task sorts all rows of a key.
+    """
+    kept = stage(per_key, "per-key")
+    if kept.count() <= SMALL:
+        return rows.join(F.broadcast(kept), list(keys))
+    sized = stage(kept.join(rows.groupBy(*keys).agg(F.count("*").alias("_rows")), list(keys)), "per-key-sized")
+    return hot_lookup(rows, sized, keys, "_rows", "inner").drop("_rows")
 
 
 def hot_lookup(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], count: str, how: str = "left") -> DataFrame:
