@@ -1,5 +1,5 @@
 """Landed files: the provided tables are written the way they would arrive, into the shared stage folder, and read back (S1-S3, S5-S8, S13-S16,
-S18-S24, K4, K5). Files of one document each follow a page of many rows, so their number is a small share of the rows."""
+S18-S24, K4, K5). A file holds a page of many rows or an array of many documents, so the number of files is a small share of the rows."""
 
 from __future__ import annotations
 
@@ -15,6 +15,8 @@ from .registry import query, table
 
 #: Rows of a landed page.
 PAGE = 500
+#: Pages, and small documents, that one landed file holds as an array: a few MB.
+PAGES, DOCUMENTS = 50, 5000
 
 
 def _place(spark, name: str) -> str:
@@ -35,10 +37,16 @@ def _documents(df: DataFrame, name: str, key: str) -> str:
     return to
 
 
+def _arrays(df: DataFrame, name: str, key: str, each: int) -> str:
+    """JSON documents (column value), those of `each` neighbouring keys as the array of one file."""
+    joined = F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]"))
+    return _documents(df.groupBy(F.floor(F.col(key) / each).alias("file")).agg(joined.alias("value")), name, "file")
+
+
 def _pages(df: DataFrame, name: str, number, row) -> str:
-    """API pages: {"status", "results": [rows of one page], "next_url"}."""
+    """API pages: {"status", "results": [rows of one page], "next_url"}, PAGES of them a file."""
     body = F.to_json(F.struct(F.lit("OK").alias("status"), F.collect_list(row).alias("results"), F.lit("https://example.org/next").alias("next_url")))
-    return _documents(df.groupBy(F.floor(number / PAGE).alias("page")).agg(body.alias("value")), name, "page")
+    return _arrays(df.groupBy(F.floor(number / PAGE).alias("page")).agg(body.alias("value")), name, "page", PAGES)
 
 
 @query("api_pages", """SELECT lpad(o_orderkey::VARCHAR, 12, '0') AS accession_number, o_custkey::VARCHAR AS cik, o_orderdate::DATE AS filing_date, o_orderpriority AS tertiary_category, ['c' || (o_custkey % 7), 'x'] AS tickers FROM orders""")
@@ -134,11 +142,11 @@ def filers_with_form(spark, sf_dir):
 
 @query("issuer_metadata", """SELECT lpad(s_suppkey::VARCHAR, 10, '0') AS cik, s_name AS name, CASE WHEN s_nationkey % 5 = 0 THEN NULL ELSE (1000 + s_nationkey)::VARCHAR END AS sic, 'Nation ' || s_nationkey AS sic_description FROM supplier""")
 def issuer_metadata(spark, sf_dir):
-    """Four fields of one large document per issuer; padding is trimmed, other members are not read."""
+    """Four fields of one document per issuer, many documents a file; padding is trimmed, other members are not read."""
     s = table(spark, sf_dir, "supplier")
     body = F.to_json(F.struct(F.col("s_suppkey").cast("string").alias("cik"), F.concat(F.lit(" "), "s_name", F.lit("  ")).alias("name"), F.when(F.col("s_nationkey") % 5 != 0, (F.col("s_nationkey") + 1000).cast("string")).alias("sic"),
                               F.concat(F.lit("Nation "), F.col("s_nationkey").cast("string"), F.lit(" ")).alias("sicDescription"), F.array(F.lit(1), F.lit(2)).alias("filings")))
-    return rd.issuer_metadata(spark, _documents(s.select("s_suppkey", body.alias("value")), "issuers", "s_suppkey"))
+    return rd.issuer_metadata(spark, _arrays(s.select("s_suppkey", body.alias("value")), "issuers", "s_suppkey", DOCUMENTS))
 
 
 @query("award_rows", """SELECT p_brand AS recipient_name, 'A' || p_partkey AS award_id, '' AS start_date, '' AS end_date, CASE WHEN p_size % 4 = 0 THEN 0 ELSE p_retailprice END AS award_amount, p_type AS awarding_agency,
