@@ -11,6 +11,56 @@ from pyspark.sql import functions as F, types as T
 from ..functions import scalars as fn
 
 
+#: Powers of ten that a double holds exactly.
+_TENS = tuple(10.0 ** k for k in range(23))
+
+
+def _two_product(a: Column, b: Column) -> tuple[Column, Column]:
+    """a * b as a rounded product and its exact error (Dekker)."""
+    def split(x):
+        c = x * 134217729.0
+        high = c - (c - x)
+        return high, x - high
+    (ah, al), (bh, bl), p = split(a), split(b), a * b
+    return p, ((ah * bh - p) + ah * bl + al * bh) + al * bl
+
+
+def scientific(x: Column, digits: int) -> Column:
+    """x as %.<digits>e in C: the binary value itself rounded, a tie to even.
+
+    Java's formatter rounds the shortest decimal half up, which is another number only at a tie or next to one. Where x, scaled to an integer of
+    digits + 1 places, may be so near one half, `_exact` decides. It stands in a lambda, to be evaluated for those alone.
+    """
+    return F.when(_near_tie(x, digits), F.get(F.transform(F.array(x), lambda v: _exact(v, digits)), F.lit(0))).otherwise(F.format_string(f"%.{digits}e", x))
+
+
+def _near_tie(x: Column, digits: int) -> Column:
+    a = F.abs(x)
+    y = a * F.pow(F.lit(10.0), F.lit(digits) - F.floor(F.log10(a)))
+    return F.coalesce(F.abs(y - F.floor(y) - 0.5) < 0.02, F.lit(False))
+
+
+def _exact(x: Column, digits: int) -> Column:
+    """`scientific` where the fraction of the scaled number is near one half: the exact product decides. Numbers that no exact power of ten scales
+    (below 10^(digits - 22), from 10^(digits + 23)) and those whose scaled value leaves the range are left to the formatter."""
+    tens = F.array(*[F.lit(t) for t in _TENS])
+    a = F.abs(x)
+    p = F.lit(digits) - F.floor(F.log10(a)).cast("int")
+    ten = F.get(tens, F.abs(p))
+    y = F.when(p >= 0, a * ten).otherwise(a / ten)
+    low = F.floor(y).cast("double")
+    tie = low + 0.5
+    up, up_error = _two_product(a, ten)
+    down, down_error = _two_product(tie, ten)
+    over = F.when(p >= 0, (up - tie) + up_error).otherwise((a - down) - down_error)
+    near = F.when((over > 0) | ((over == 0) & (low % 2 == 1)), low + 1).otherwise(low)
+    n = F.when(F.abs(y - tie) < 0.01, near).otherwise(F.rint(y))
+    s, e = n.cast("bigint").cast("string"), F.lit(digits) - p
+    own = F.concat(F.when(x < 0, "-").otherwise(""), F.substring(s, 1, 1), F.lit("."), F.substring(s, 2, digits), F.when(e < 0, "e-").otherwise("e+"), F.lpad(F.abs(e).cast("string"), 2, "0"))
+    fits = (a > 0) & (F.abs(p) <= 22) & (y >= 10.0 ** digits) & (y < 10.0 ** (digits + 1) - 1)
+    return F.when(fits, own).otherwise(F.format_string(f"%.{digits}e", x))
+
+
 def encoded(value: Column, kind: T.DataType) -> Column:
     """Any value as text that tells types, nulls and borders apart, the same in every engine: N null, S<bytes>:<text>, I integer, Q decimal,
     F double with 13 and float with 9 significant digits (minus zero is zero, FNaN, FInfinity), B boolean, D day number, T microseconds, X hex bytes,
@@ -29,7 +79,7 @@ def encoded(value: Column, kind: T.DataType) -> Column:
         out = F.concat(F.lit("X"), F.octet_length(value).cast("string"), F.lit(":"), F.hex(value))
     elif isinstance(kind, (T.FloatType, T.DoubleType)):
         x = value.cast("double")
-        out = F.concat(F.lit("F"), F.when(F.isnan(x), "NaN").when(F.abs(x) == float("inf"), F.when(x > 0, "Infinity").otherwise("-Infinity")).otherwise(F.format_string("%.8e" if isinstance(kind, T.FloatType) else "%.12e", x + F.lit(0.0))), F.lit(";"))
+        out = F.concat(F.lit("F"), F.when(F.isnan(x), "NaN").when(F.abs(x) == float("inf"), F.when(x > 0, "Infinity").otherwise("-Infinity")).otherwise(scientific(x + F.lit(0.0), 8 if isinstance(kind, T.FloatType) else 12)), F.lit(";"))
     elif isinstance(kind, T.BooleanType):
         out = F.concat(F.lit("B"), F.when(value, "1").otherwise("0"))
     elif isinstance(kind, T.DateType):
