@@ -30,14 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import query, sliced, table
+from tidemark.llm.common import query, release, sliced, table
 from tidemark.llm.tokens import _AWKWARD, _LINE, Pieces, vocabulary
 from tidemark.staging import stage
 
 #: Bytes of text in a block; steps of a piece of the merge.
 BLOCK, WORK = 1 << 20, 64
 #: Distinct words, and their bytes, that a worker remembers.
-MEMORY, MEMORY_BYTES = 150_000, 1 << 24
+MEMORY, MEMORY_BYTES = 100_000, 1 << 23
 _WHOLE = _AWKWARD + r"|^[ \n]| $|\x{2581}"
 #: Before a whole text among the words; no word holds it.
 _MARK = "▁"
@@ -121,6 +121,7 @@ class Both:
         """Ids of all texts one after another and the number of each text's, for both sides."""
         if len(self.number) > MEMORY or self.held > MEMORY_BYTES:
             self.forget()
+            release()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         whole = pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False)
         split = pc.split_pattern(pc.replace_substring_regex(pc.if_else(pa.array(whole), "", texts), _LINE, "\\1 \n"), " ")
@@ -200,7 +201,8 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, block: int = BLOCK, work:
                                       names=[x.split()[0] for x in _BLOCK.split(", ")])
         finally:
             both.forget()
-            pa.default_memory_pool().release_unused()
+            del decimals
+            release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _BLOCK)
 
