@@ -88,6 +88,19 @@ def test_range_coder_round_trips():
         range_coder.encode(np.array([range_coder.IDS + 1], np.uint32))
 
 
+def test_range_coder_learns_from_the_whole_sequence():
+    """op1: ids that one other always follows cost next to nothing, and the models are stored once, not learnt anew in every block."""
+    rng = np.random.default_rng(2)
+    ids = np.stack([a := rng.integers(0, 30000, 40_000).astype(np.uint32), a + 30000], 1).ravel()
+    coded = range_coder.encode(ids)
+    assert (range_coder.decode(coded) == ids).all()
+    assert len(range_coder.encode(np.tile(ids[:50], 2000))) < 8_000
+    damaged = bytearray(coded)
+    damaged[60] ^= 4  # in the models
+    with pytest.raises(ValueError):
+        range_coder.decode(bytes(damaged))
+
+
 def test_url_filter(spark):
     urls = ["http://a.com/x", "http://A.Example.com/en/1?q#f", "https://www.example.com/en/", "https://m.www.example.com/en/9", "http://b.net/es/2", "http://net/fr/", "http://b.net/ES/2", "http://example.com", "http://notexample.com/en/1", None, "no scheme/en", "http://", "ftp://x.org#/en/", "http://q.org?://b.com/", "http://casino-win.org/play", "http://casino-win.org/play", "http://x.com:80/a"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("score", F.lit(1))
