@@ -29,6 +29,8 @@ from tidemark.staging import stage
 LIMIT, GRAIN, END = 4096, 32, 2
 #: Rows that a bucket of a class has on average.
 BUCKET_ROWS = 50_000
+#: Bytes of text that are tokenized at a time: little, since in the pipeline the executors are already full when packing begins.
+STEP = 1 << 20
 #: The program stops when its bound is this near.
 GAP = 5e-4
 
@@ -119,7 +121,7 @@ def cut(docs: DataFrame, path: str, limit: int = LIMIT, end: int = END) -> DataF
 
     def run(batches):
         words = pieces(path, blanks=False)
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, step=STEP):
             ids, counts = words.encode(batch.column(1))
             doc, start, length, crc, total, at = [], [], [], [], [], 0
             for k, n in enumerate(counts.tolist()):
@@ -191,7 +193,7 @@ def sequences(docs: DataFrame, packed: DataFrame, path: str, limit: int = LIMIT,
 
     def run(batches):
         words = pieces(path, blanks=False)
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, step=STEP):
             ids, counts = words.encode(batch.column(1))
             ends = np.cumsum(counts)
             for k, stop in enumerate(ends.tolist()):
