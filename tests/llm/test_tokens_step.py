@@ -1,9 +1,10 @@
-"""Memory of tokenizing in packing."""
+"""Memory of tokenizing in packing, and pieces that are put together from parts."""
 
 import random
 import tracemalloc
 
 import pyarrow as pa
+from tokenizers import Tokenizer
 
 from tidemark.llm import packing, tokens
 
@@ -21,3 +22,32 @@ def test_packing_tokenizes_little_at_a_time():
         assert tracemalloc.get_traced_memory()[1] < 40e6
     finally:
         tracemalloc.stop()
+
+
+def test_marks_and_line_feeds_do_not_ask_for_a_word_again():
+    class Counted:
+        def __init__(self, model):
+            self.model, self.asked = model, []
+
+        def tokenize(self, text):
+            self.asked.append(text)
+            return self.model.tokenize(text)
+
+    texts = ["so Wort Wort, Wort. Wort### Wort.$$$\nWort!! naïve naïve,*** it's it've. <|endoftext|>, a_b_ __ Wort'. é%%%\n\nWort"] * 2
+    texts += ["".join(random.Random(i).choices(["Wort", "é", " ", "  ", "\n", ".", ",###", "'", "'s", "_", "12", "日", "\r", "<|", "|>", "<|endoftext|>", "MIXed"], k=20)) for i in range(2000)]
+    for name, blanks in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        path = tokens.vocabulary(name)
+        own = tokens.Pieces(path, blanks)
+        own.model = counted = Counted(own.model)
+        ids, counts = own.encode(pa.array(texts))
+        want = [e.ids for e in Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)]
+        assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+        assert len(counted.asked) == len(set(counted.asked))
+
+
+def test_a_word_learnt_as_a_part_is_not_learnt_again():
+    words = [f" {a}{b}{c}{d}" for a in "abcdefghijklm" for b in "abcdefghijklm" for c in "abcdefghijklm" for d in "abcdefghijk"]
+    path = tokens.vocabulary("byte_bpe_50k.json")
+    text = "x" + ",".join(words) + ";" + "".join(words)
+    ids, _ = tokens.Pieces(path, True).encode(pa.array([text]))
+    assert ids.tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
