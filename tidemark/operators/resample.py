@@ -46,10 +46,20 @@ def _coefficients(replicates: int, seed: int) -> np.ndarray:
     return np.array([[digest(rep, k) for rep in range(replicates)] for k in "abc"], np.int64)
 
 
+def _mod(v: np.ndarray) -> np.ndarray:
+    """v % PRIME for 0 <= v < 2^62, in place: 2^31 leaves 1, so the upper bits are added to the lower ones."""
+    for _ in range(2):
+        upper = v >> 31
+        v &= PRIME
+        v += upper
+    v[v == PRIME] = 0
+    return v
+
+
 def _weights(h: np.ndarray, abc: np.ndarray) -> np.ndarray:
     """Poisson(1) weight of each row (its number h) in each replicate."""
-    x = (abc[0] * h[:, None] + abc[1]) % PRIME
-    u = (x * ((x + abc[2]) % PRIME) % PRIME) >> 15
+    x = _mod(abc[0] * h[:, None] + abc[1])
+    u = _mod(x * _mod(x + abc[2])) >> 15
     return _WEIGHT[u]
 
 
@@ -95,14 +105,20 @@ def replicate_sums(df: DataFrame, keys: Sequence[str], row_id: str | Column, val
             x = np.stack([batch.column(n + 1 + j).to_numpy(zero_copy_only=False).astype(np.float64) for j in range(len(names))], axis=1)
             there = ~np.isnan(x)
             both = np.concatenate([there, np.where(there, x, 0.0)], axis=1)
-            for key, rows in _parts(batch, n):
-                sums = held.setdefault(key, np.zeros((2, len(names), replicates)))
-                for at in range(0, len(rows), _ROWS):
-                    some = rows[at:at + _ROWS]
-                    sums += (both[some].T @ _weights(number[some], abc)).reshape(2, len(names), replicates)
-                if len(held) * len(names) >= _HELD:
-                    yield _summed(held, names, types)
-                    held = {}
+            # rows of one id share their weights, whatever their keys: they are drawn once
+            ids, of = np.unique(number, return_inverse=True)
+            split = [(key, rows[np.argsort(of[rows], kind="stable")]) for key, rows in _parts(batch, n)]
+            for first in range(0, len(ids), _ROWS):
+                drawn = _weights(ids[first:first + _ROWS], abc)
+                for key, rows in split:
+                    a, b = np.searchsorted(of[rows], (first, first + _ROWS))
+                    for at in range(a, b, _ROWS):
+                        some = rows[at:min(at + _ROWS, b)]
+                        sums = held.setdefault(key, np.zeros((2, len(names), replicates)))
+                        sums += (both[some].T @ drawn[of[some] - first]).reshape(2, len(names), replicates)
+                    if len(held) * len(names) >= _HELD:
+                        yield _summed(held, names, types)
+                        held = {}
         if held:
             yield _summed(held, names, types)
 
@@ -124,8 +140,10 @@ def replicate_sums(df: DataFrame, keys: Sequence[str], row_id: str | Column, val
         out = _summed({k[:-1] + (k[-1],): v for k, v in held.items()}, ["-"], [*types, pa.string()])
         return pa.record_batch([*out.columns[:n + 1], *out.columns[n + 2:]], names=[f"k{i}" for i in range(n)] + ["name", "w", "wx"])
 
-    # thousands of draws a row cost far more than moving its few numbers, so a small or uneven scan is spread first
-    drawn = d.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(draw, schema)
+    # thousands of draws a row cost far more than moving its few numbers, so a small or uneven scan is spread first; by id, in the order of ids, so
+    # that a batch holds all rows of one (a few: one for each key)
+    spread = d.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_h").sortWithinPartitions("_h")
+    drawn = spread.mapInArrow(draw, schema)
     groups = [f"k{i}" for i in range(n)] + ["name"]
     joined = drawn.withColumn("_p", F.pmod(F.spark_partition_id(), F.lit(_PIECES))).repartition(*groups, "_p").drop("_p").mapInArrow(join, schema)
     each = joined.select(*groups, F.posexplode(F.arrays_zip("w", "wx")).alias("rep", "s"))
