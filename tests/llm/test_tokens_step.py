@@ -51,3 +51,16 @@ def test_a_word_learnt_as_a_part_is_not_learnt_again():
     text = "x" + ",".join(words) + ";" + "".join(words)
     ids, _ = tokens.Pieces(path, True).encode(pa.array([text]))
     assert ids.tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_alignment_gets_the_ids_of_words_and_keeps_no_second_memory():
+    from tidemark.llm import token_alignment
+    a, b = tokens.vocabulary("byte_bpe_50k.json"), tokens.vocabulary("piece_bpe_32k.model")
+    both = token_alignment.Both(a, b)
+    text = "so Wort Wort, naïve,***\nWort!! it's <|endoftext|> 日本"
+    ids, counts = both.encode(pa.array([text, "", text]))
+    plain = Tokenizer.from_file(a)
+    plain.encode_special_tokens = True
+    want = plain.encode(" " + text, add_special_tokens=False).ids
+    assert ids["a"].tolist() == want * 2 and counts["a"].tolist() == [len(want), 0, len(want)]
+    assert not both.a.number

@@ -105,7 +105,7 @@ class Both:
             full = [w if w[:1] == "\n" else " " + w.removeprefix(_MARK) for w in part]
             pieces = self.b.encode([w.removeprefix(_MARK) for w in part], num_threads=1)
             # the vocabulary's own blank before a line feed is a piece by itself
-            ids = {"a": self.a._tokenize(full), "b": [y[1:] if w[:1] == "\n" else y for w, y in zip(part, pieces)]}
+            ids = {"a": self.a.tokenized(full), "b": [y[1:] if w[:1] == "\n" else y for w, y in zip(part, pieces)]}
             a, b = self.bytes_a, self.bytes_b
             fits = [b"".join([a[k] for k in x]) == (own := w.encode()) == b"".join([b[k] for k in y]) for w, x, y in zip(full, ids["a"], ids["b"])]
             for side, found in ids.items():
