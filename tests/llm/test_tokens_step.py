@@ -64,3 +64,18 @@ def test_alignment_gets_the_ids_of_words_and_keeps_no_second_memory():
     want = plain.encode(" " + text, add_special_tokens=False).ids
     assert ids["a"].tolist() == want * 2 and counts["a"].tolist() == [len(want), 0, len(want)]
     assert not both.a.number
+
+
+def test_full_memory_keeps_what_comes_again():
+    name = "byte_bpe_50k.json"
+    own = tokens.Pieces(tokens.vocabulary(name), True, memory=2000)
+    asked, learn = [], own._learn
+    own._learn = lambda new: (asked.extend(new), learn(new))
+    r = random.Random(5)
+    often = ["often" + c for c in "abcdefgh"]
+    texts = [" ".join(often + ["".join(r.choice("abcdefghijklmnop") for _ in range(9)) + r.choice([",", "", "!"]) for _ in range(400)]) for _ in range(40)]
+    plain = Tokenizer.from_file(tokens.vocabulary(name))
+    for t in texts:
+        ids, _ = own.encode(pa.array([t]))
+        assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids
+    assert all(asked.count(" " + w) == 1 for w in often[1:]) and len(own.number) < 4000
