@@ -79,3 +79,21 @@ def test_full_memory_keeps_what_comes_again():
         ids, _ = own.encode(pa.array([t]))
         assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids
     assert all(asked.count(" " + w) == 1 for w in often[1:]) and len(own.number) < 4000
+
+
+def test_packing_gets_arrow_batches_of_few_documents(spark, monkeypatch):
+    sizes = []
+
+    def cut(docs, *_):
+        rows = docs.coalesce(1).mapInArrow(lambda batches: (pa.record_batch([[b.num_rows]], ["n"]) for b in batches), "n long")
+        return rows
+
+    def layout(staged, *_):
+        sizes.extend(r.n for r in staged.collect())
+
+    monkeypatch.setattr(packing, "cut", cut)
+    monkeypatch.setattr(packing, "layout", layout)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    packing.pack(spark.range(2500), "")
+    assert sum(sizes) == 2500 and max(sizes) <= 1000 and spark.conf.get(key) == before

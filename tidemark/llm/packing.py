@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import query, staged_small, table
+from tidemark.llm.common import arrow_rows, query, staged_small, table
 from tidemark.llm.tokens import pieces, small_batches, vocabulary
 from tidemark.staging import stage
 
@@ -31,6 +31,8 @@ LIMIT, GRAIN, END = 4096, 32, 2
 BUCKET_ROWS = 50_000
 #: Bytes of text that are tokenized at a time: little, since in the pipeline the executors are already full when packing begins.
 STEP = 1 << 20
+#: Pieces that a worker remembers, and documents of an Arrow batch, for the same reason.
+MEMORY, ROWS = 200_000, 1000
 #: The program stops when its bound is this near.
 GAP = 5e-4
 
@@ -120,7 +122,7 @@ def cut(docs: DataFrame, path: str, limit: int = LIMIT, end: int = END) -> DataF
     """(doc_id, text) -> one row per piece: doc_id, start, length, ids_crc32, doc_tokens."""
 
     def run(batches):
-        words = pieces(path, blanks=False)
+        words = pieces(path, blanks=False, memory=MEMORY)
         for batch in small_batches(batches, step=STEP):
             ids, counts = words.encode(batch.column(1))
             doc, start, length, crc, total, at = [], [], [], [], [], 0
@@ -182,7 +184,9 @@ def layout(cut_pieces: DataFrame, limit: int = LIMIT, grain: int = GRAIN) -> Dat
 
 def pack(docs: DataFrame, path: str, limit: int = LIMIT, grain: int = GRAIN, end: int = END) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    return layout(stage(cut(docs, path, limit, end), "pack-pieces"), limit, grain)
+    with arrow_rows(docs.sparkSession, ROWS):
+        cut_pieces = stage(cut(docs, path, limit, end), "pack-pieces")
+    return layout(cut_pieces, limit, grain)
 
 
 def sequences(docs: DataFrame, packed: DataFrame, path: str, limit: int = LIMIT, end: int = END, pad: int = 0) -> DataFrame:
@@ -192,7 +196,7 @@ def sequences(docs: DataFrame, packed: DataFrame, path: str, limit: int = LIMIT,
     """
 
     def run(batches):
-        words = pieces(path, blanks=False)
+        words = pieces(path, blanks=False, memory=MEMORY)
         for batch in small_batches(batches, step=STEP):
             ids, counts = words.encode(batch.column(1))
             ends = np.cumsum(counts)
